@@ -67,8 +67,7 @@ def join_checked(left: DataFrame, small: DataFrame, on, how: str = "inner", rows
 
 def words(col: Column) -> Column:
     """The words of a text in order; none for null or blank texts."""
-    bare = F.btrim(F.coalesce(col, F.lit("")), F.lit(BLANK_CHARS))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANK))
+    return F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(WORD), F.lit(0))
 
 
 def fence(df: DataFrame, **columns: Column) -> DataFrame:

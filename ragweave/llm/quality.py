@@ -28,7 +28,7 @@ from ragweave.llm.common import BLANK_CHARS, Tables, fence, join_checked, words
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 #: Added words of an average text, so that ratios of short texts lie near the centre.
 PRIOR_WORDS, PRIOR_LENGTH = 50, 5.0
 #: The least standard deviation of each transformed statistic: most texts have no symbols or
@@ -59,12 +59,13 @@ def _chi2_quantile(q: float, even: int) -> float:
 def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and a struct ``__q`` of the base statistics (the names in ``STATS``)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    less = lambda chars: F.length(F.translate(text, chars, ""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANK_CHARS)) != "")
     df = docs.select(*(F.col(c) for c in keep), *([] if "text" in keep else [F.col("text")]))
-    df = fence(df, __h=F.transform(words(F.col("text")), lambda w: F.xxhash64(w)), __lines=lines, __chars=less(BLANK_CHARS), __sym=F.length(text) - less(SYMBOLS))
+    df = fence(df, __w=words(F.col("text")), __lines=lines, __sym=F.size(F.split(text, SYMBOLS)) - 1)
     if "text" not in keep:
         df = df.drop("text")
+    chars = F.aggregate("__w", F.lit(0).cast("long"), lambda a, w: a + F.length(w))
+    df = fence(df, __h=F.transform("__w", lambda w: F.xxhash64(w)), __chars=chars).drop("__w")
     n = F.size("__h")
     at = lambda i, k: F.get(F.col("__h"), i + k)
     grams = F.when(n < WINDOW, F.array().cast("array<bigint>")).otherwise(F.transform(F.slice("__h", F.lit(1), n - (WINDOW - 1)), lambda h, i: F.xxhash64(h, *(at(i, k) for k in range(1, WINDOW)))))
@@ -135,10 +136,7 @@ def fit(stats: DataFrame, tables: Tables) -> DataFrame:
 
     Returns one row per group: g, n and PARAMS.
     """
-    q = math.log(1 / (1 - SUPPORT))  # a start for the bisection is not needed; see consistency below
-    inner = _chi2_quantile(SUPPORT, P)
-    consistency = SUPPORT / _chi2_cdf(inner, P + 2)
-    assert q > 0 and consistency > 1
+    consistency = SUPPORT / _chi2_cdf(_chi2_quantile(SUPPORT, P), P + 2)
     both = stats.select(F.explode(F.array("g", F.lit("*"))).alias("g"), *(f"x{i}" for i in range(P)))
     three = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     model = both.groupBy("g").agg(F.count("*").alias("n"), *(F.percentile(f"x{i}", three).alias(f"q{i}") for i in range(P)))
