@@ -71,7 +71,7 @@ def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
     grams = F.when(n < WINDOW, F.array().cast("array<bigint>")).otherwise(F.transform(F.slice("__h", F.lit(1), n - (WINDOW - 1)), lambda h, i: F.xxhash64(h, *(at(i, k) for k in range(1, WINDOW)))))
     dup = (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long")
     df = fence(df, __g=grams, __dup=dup, __n=n.cast("long")).drop("__h", "__lines")
-    pairs = F.array_sort(F.transform("__g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    pairs = F.sort_array(F.transform("__g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     none = F.array().cast("array<struct<h:bigint,i:int>>")
     df = fence(df, __s=F.when(F.size(F.array_distinct("__g")) < F.size("__g"), pairs).otherwise(none)).drop("__g")
     h = lambda i: F.get(F.col("__s"), i)["h"]

@@ -2,22 +2,62 @@
 
 from __future__ import annotations
 
-from ragweave.llm import mixing, quality
+from ragweave.llm import jpeg, linededup, mixing, pieces, quality, tokencount, urls, warc
 from ragweave.llm.common import table
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict = {"op1_mixing": mixing.ORACLE}
 
 
+def _query(build):
+    QUERIES[build.__name__] = build
+    return build
+
+
+@_query
 def op1_mixing(spark, sf_dir):
+    """Words that the mix takes of each document."""
     m = mixing.mix(table(spark, sf_dir, "documents"))
     return m.select("doc_id", "size", "source_size", "target", "taken")
 
 
-def op10_quality(spark, sf_dir):
-    return quality.judge(table(spark, sf_dir, "documents"))
+@_query
+def op2_urls(spark, sf_dir):
+    """The verdict on every page's url."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@_query
+def op3_linededup(spark, sf_dir):
+    """The lines that go from each document."""
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_jpeg(spark, sf_dir):
+    """Features read back from the stored form of each text."""
+    return jpeg.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES["op1_mixing"] = op1_mixing
-ORACLES["op1_mixing"] = mixing.ORACLE
-QUERIES["op10_quality"] = op10_quality
+@_query
+def op7_warc(spark, sf_dir):
+    """What each not-modified revisit of the pages' crawl log stands for."""
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
+@_query
+def op8_pieces(spark, sf_dir):
+    """Digests of each text's ids and of what they decode to."""
+    return pieces.report(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_tokencount(spark, sf_dir):
+    """Bytes and tokens of each text."""
+    return tokencount.report(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_quality(spark, sf_dir):
+    """Base statistics and verdict of each document."""
+    return quality.judge(table(spark, sf_dir, "documents"))
