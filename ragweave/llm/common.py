@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +34,27 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once for each Spark context (as ``--py-files`` would)."""
+    context = spark.sparkContext
+    if getattr(context, "_ragweave_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="ragweave-"), "ragweave.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._ragweave_shipped = True
+
+
 class Tables:
     """Tables written to the shared folder: they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/ragweave/{uuid.uuid4().hex}"
         self.n = 0
@@ -85,4 +104,5 @@ def hash128(*cols: Column) -> tuple[Column, Column]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

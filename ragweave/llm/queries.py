@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ragweave.llm import jpeg, linededup, mixing, pieces, quality, tokencount, urls, warc
+from ragweave.llm import jpeg, linededup, mixing, neardup, pieces, pii, quality, tokencount, urls, warc
 from ragweave.llm.common import table
 
 QUERIES: dict = {}
@@ -39,6 +39,18 @@ def op4_jpeg(spark, sf_dir):
     return jpeg.report(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op5_pii(spark, sf_dir):
+    """Personal data in each text."""
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_neardup(spark, sf_dir):
+    """The near-duplicate class of each document."""
+    return neardup.report(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op7_warc(spark, sf_dir):
     """What each not-modified revisit of the pages' crawl log stands for."""
