@@ -10,6 +10,8 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragweave.functions.session import stable_unions
+
 #: A word is a maximal run of anything but space, tab, newline, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
@@ -35,7 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the workers this package, once for each Spark context (as ``--py-files`` would)."""
+    """Give the workers this package, once for each Spark context (as ``--py-files`` would), and set up the session."""
+    stable_unions(spark)
     context = spark.sparkContext
     if getattr(context, "_ragweave_shipped", False):
         return

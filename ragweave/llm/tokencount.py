@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -35,13 +36,18 @@ from pyspark.sql import functions as F
 MODEL = "byte_bpe_50k.json"
 LIMIT = 512
 FREQUENT = 8192
-CACHE = 300_000
+CACHE = 1_000_000
 LONG = 200
 #: The pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Blocks whose characters all have had their class since early Unicode versions.
 STABLE = "\\x00-\u0377\u0400-\u0523\u2000-\u2027\u2030-\u205e\u20a0-\u20b5\u2190-\u21ff\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+#: The same pattern for texts of the characters below, whose classes ``re`` knows; it is the faster engine.
+PLAIN_PATTERN = r"""'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
+PLAIN = "\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u024f\u2010-\u2027"
 _CUT = regex.compile(PATTERN)
+_PLAIN_CUT = re.compile(PLAIN_PATTERN)
+_NOT_PLAIN = re.compile(f"[^{PLAIN}]")
 _OTHER = regex.compile(f"[^{STABLE}]")
 #: Per process: (path, name of the table) -> Counts.
 _COUNTS: dict = {}
@@ -53,6 +59,42 @@ def default_model() -> str:
     return public_tokenizers.path(MODEL)
 
 
+def pretokens(text: str) -> list[str]:
+    """What the tokenizer's pattern cuts a text into."""
+    return _CUT.findall(text) if _NOT_PLAIN.search(text) else _PLAIN_CUT.findall(text)
+
+
+def _byte_ranks(spec: dict) -> dict[bytes, int] | None:
+    """The vocabulary by bytes, if merges come in the order of their ids (so ids are merge ranks); else None."""
+    vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+    pairs = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in merges]
+    if any(vocab.get(p) != 256 + i for i, p in enumerate(pairs)):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(shown))}
+    words = {w: i for w, i in vocab.items() if i < 256 + len(merges)}
+    if len(words) != 256 + len(merges) or any(c not in byte for w in words for c in w):
+        return None
+    return {bytes(byte[c] for c in w): i for w, i in words.items()}
+
+
+class Lengths(dict):
+    """pre-token -> tokens: the frequent ones and a cache of up to CACHE others; misses are encoded."""
+
+    def __init__(self, frequent: dict[str, int], encode):
+        super().__init__(frequent)
+        self.frequent, self.encode = frequent, encode
+
+    def __missing__(self, piece: str) -> int:
+        n = self.encode(piece)
+        if len(piece) <= LONG:
+            if len(self) >= CACHE:
+                self.clear()
+                self.update(self.frequent)
+            self[piece] = n
+        return n
+
+
 class Counts:
     """Counts tokens of texts; ``frequent`` maps pre-tokens to lengths."""
 
@@ -65,55 +107,35 @@ class Counts:
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec["normalizer"]
         plain = plain and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and not spec.get("truncation") and not spec.get("padding")
         added = spec["added_tokens"]
-        plain = plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added)
-        self.plain = plain
-        self.added = regex.compile("|".join(regex.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"])))) if added else None
-        self.markers = [t["content"] for t in added]
-        self.lengths = dict(frequent or {})
-        self.fixed = len(self.lengths)
-        self.frequent = frequent or {}
+        self.plain = plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added)
+        self.markers = sorted((t["content"] for t in added), key=len, reverse=True)
+        self.marked = re.compile("|".join(map(re.escape, self.markers))) if added else None
+        self.lengths = Lengths(frequent or {}, self._encoder(spec) if self.plain else None)
+
+    def _encoder(self, spec: dict):
+        """A function giving the length of one pre-token; by ranks where they are the library's merges."""
+        ranks = _byte_ranks(spec)
+        if ranks is None:
+            return lambda piece: len(self.library.encode(piece, add_special_tokens=False).ids)
+        import tiktoken
+
+        single = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        return lambda piece: len(single(piece))
 
     def whole(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def cut(self, text: str) -> tuple[list[str], int]:
-        """Pre-tokens of a text and the number of added tokens in it."""
+    def one(self, text: str) -> int:
+        if not self.plain or not (text.isascii() or not _OTHER.search(text)):
+            return self.whole([text])[0]
+        lengths = self.lengths
         if not any(m in text for m in self.markers):
-            return _CUT.findall(text), 0
-        parts = self.added.split(text)
-        return [x for p in parts for x in _CUT.findall(p)], len(parts) - 1
-
-    def separable(self, text: str) -> bool:
-        return self.plain and (text.isascii() or not _OTHER.search(text))
-
-    def learn(self, pieces: list[str]) -> dict[str, int]:
-        """Lengths of pre-tokens that aren't known yet; they are kept if short."""
-        new = dict(zip(pieces, self.whole(pieces), strict=True))
-        if len(self.lengths) + len(new) > CACHE:
-            self.lengths = dict(self.frequent)
-        self.lengths.update((p, n) for p, n in new.items() if len(p) <= LONG)
-        return new
+            return sum(map(lengths.__getitem__, pretokens(text)))
+        parts = self.marked.split(text)
+        return len(parts) - 1 + sum(lengths[p] for part in parts for p in pretokens(part))
 
     def count(self, texts: list[str]) -> list[int]:
-        out = [0] * len(texts)
-        rest = [i for i, t in enumerate(texts) if not self.separable(t)]
-        for i, n in zip(rest, self.whole([texts[i] for i in rest]) if rest else [], strict=True):
-            out[i] = n
-        other = set(rest)
-        for i, t in enumerate(texts):
-            if i in other:
-                continue
-            pieces, n = self.cut(t)
-            known = self.lengths
-            try:
-                out[i] = n + sum([known[p] for p in pieces])
-            except KeyError:
-                new = self.learn(list({p for p in pieces if p not in known}))
-                at = self.lengths
-                if any(p not in at for p in new) or at is not known:
-                    at = {**known, **new}
-                out[i] = n + sum([at[p] for p in pieces])
-        return out
+        return [self.one(t) for t in texts]
 
 
 def _top(counts: Counter, n: int) -> Counter:
@@ -121,7 +143,7 @@ def _top(counts: Counter, n: int) -> Counter:
 
 
 def _pack(counts: Counter) -> bytes:
-    return json.dumps(list(counts.items())).encode()
+    return json.dumps([(p, n) for p, n in counts.items() if len(p) <= LONG]).encode()
 
 
 def _unpack(data: bytes) -> Counter:
@@ -138,7 +160,7 @@ def frequent_pretokens(docs: DataFrame, path: str | None = None, keep: int = FRE
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    counts.update([p for p in _CUT.findall(text) if len(p) <= 32])
+                    counts.update(pretokens(text))
                 if len(counts) > 40 * keep:  # space saving: the smallest go
                     counts = _top(counts, 10 * keep)
         if counts:
