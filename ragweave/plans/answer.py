@@ -47,16 +47,17 @@ class Answering:
         blank = questions.where(X.squeeze_ends(F.coalesce("text", F.lit(""))) == "")
         asked = routing.features(questions.where(X.squeeze_ends(F.coalesce("text", F.lit(""))) != ""), self.routes)
         asked = asked.join(F.broadcast(ranking.route_plans(spark)), "route")
-        hits = self.hits(asked)
+        hits = self.hits(asked).persist()  # top_k rows a question, read by five branches
         decided = ranking.decisions(asked.join(ranking.signals(hits, self.policy), "query_id", "left"), self.policy)
         flag = decided.select("query_id", "applied")
         marked = hits.join(flag, "query_id")
         # Only the hits to rescore reach the reranker.
         again = self.rerank(marked.where("applied"), F.col("rerank_top_n")).withColumn("score", F.col("rerank_score")).drop("rerank_score")
         final = marked.where("not applied").unionByName(again)
+        final = final.persist()
         gated = guardrails.gate(decided, final, self.answers)
         packed = guardrails.evidence(final, self.answers)
-        ready = gated.join(packed, "query_id", "left").withColumn("strict_overlap", F.when(F.col("strict"), F.lit(self.routes.strict_overlap)))
+        ready = gated.join(packed, "query_id", "left").withColumn("strict_overlap", F.when(F.col("strict"), F.lit(self.routes.strict_overlap))).persist()
         open_ = ready.where(F.col("sufficient") & (F.size("items") > 0))
         first = self._answered(open_, False)
         good = first.where("verified or status != 'grounded'")
