@@ -115,18 +115,22 @@ def content_tokens(c: Column) -> Column:
 
 
 def script_language(c: Column) -> Column:
-    """Language of the script with the most letters (the first seen of equals); ``und`` without letters."""
+    """Language of the script with the most letters (the first seen of equals); ``und`` without letters.
+
+    Texts without any letter beyond Latin, told by one scan, need no counting.
+    """
     text = F.coalesce(c, F.lit(""))
-    counted = [
-        F.struct(
-            F.regexp_count(text, F.lit(rf"(?=\p{{L}})\p{{Is{s}}}")).alias("n"),
-            (-F.length(F.regexp_extract(text, rf"(?s)^(.*?)(?=\p{{L}})\p{{Is{s}}}", 1))).alias("first"),
-            F.lit(code).alias("code"),
-        )
-        for s, code in SCRIPTS.items()
-    ]
-    best = F.array_max(F.array(*counted))
-    return F.when(best["n"] > 0, best["code"]).otherwise("und")
+
+    def counted(script: str, code: str) -> Column:
+        letter = rf"[\p{{Is{script}}}&&\p{{L}}]"
+        n = F.regexp_count(text, F.lit(letter))
+        first = F.when(n > 0, -F.length(F.regexp_extract(text, rf"(?s)^(.*?){letter}", 1)))
+        return F.struct(n.alias("n"), first.alias("first"), F.lit(code).alias("code"))
+
+    best = F.array_max(F.array(*(counted(s, code) for s, code in SCRIPTS.items())))
+    mixed = F.when(best["n"] > 0, best["code"]).otherwise("und")
+    latin = F.when(text.rlike(r"\p{L}"), F.lit("en")).otherwise("und")
+    return F.when(text.rlike(r"[\p{L}&&[^\p{IsLatin}]]"), mixed).otherwise(latin)
 
 
 def passage_id(query_id: Column, index: Column, language: Column) -> Column:
