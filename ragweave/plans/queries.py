@@ -637,6 +637,44 @@ def policy_comparison(spark, sf_dir):
     return per.groupBy("strategy").agg(*evaluation.metric_block(), M.share(F.col("applied"), 1).alias("pct_reranked"))
 
 
+@query("system_comparison", f"""WITH {_HYBRID}, {_GOLD},
+r AS (SELECT h.query_id, h.doc_id, row_number() OVER (PARTITION BY h.query_id ORDER BY round(len(list_intersect(list_distinct({_tokens('b.text')}), list_distinct({_tokens('d.text')}))) / len(list_distinct({_tokens('b.text')})), 6) DESC, h.rank) AS rank
+  FROM hits h JOIN benchmark b ON b.item_id = h.query_id JOIN documents d USING (doc_id)),
+a AS (SELECT 'dense' AS retriever, query_id, doc_id, rank FROM dense WHERE rank <= 10 UNION ALL SELECT 'bm25', query_id, doc_id, rank FROM bm WHERE rank <= 10 UNION ALL SELECT 'hybrid', query_id, doc_id, rank FROM hits UNION ALL SELECT 'hybrid+rerank', query_id, doc_id, rank FROM r),
+m AS (SELECT retriever, query_id, rank FROM a JOIN gold USING (query_id, doc_id)),
+q AS (SELECT retriever, g.query_id, min(rank) AS best FROM (VALUES ('dense'), ('bm25'), ('hybrid'), ('hybrid+rerank')) v(retriever) CROSS JOIN (SELECT DISTINCT query_id FROM gold) g LEFT JOIN m USING (retriever, query_id) GROUP BY ALL)
+SELECT retriever, count(*) AS n, round(avg(CASE WHEN best <= 1 THEN 1.0 ELSE 0.0 END), 4) AS recall_at_1, round(avg(CASE WHEN best <= 5 THEN 1.0 ELSE 0.0 END), 4) AS recall_at_5, round(avg(CASE WHEN best <= 10 THEN 1.0 ELSE 0.0 END), 4) AS recall_at_10, round(avg(coalesce(1.0 / best, 0)), 4) AS mrr FROM q GROUP BY 1""")
+def system_comparison(spark, sf_dir):
+    """Recall and reciprocal rank of dense, lexical, fused and always reranked search."""
+    stable_unions(spark)
+    q = questions(spark, sf_dir)
+    lists = hybrid_lists(spark, sf_dir, q, 20)
+    fused = ranking.fuse(lists)
+    hits = fused.join(documents(spark, sf_dir).select("doc_id", "text"), "doc_id").join(F.broadcast(q.withColumnRenamed("text", "query")), "query_id")
+    systems = [*((name, df.where("rank <= 10")) for name, df in lists), ("hybrid", fused), ("hybrid+rerank", ranking.rerank_lexical(hits, 12))]
+    named = lambda name, c: F.concat(F.lit(f"{name}:"), F.col(c).cast("string"))
+    ranked = gold = asked = None
+    found = _gold(spark, sf_dir)
+    for name, df in systems:
+        parts = (df.select(named(name, "query_id").alias("query_id"), "doc_id", "rank"), found.select(named(name, "query_id").alias("query_id"), "doc_id"), q.select(named(name, "query_id").alias("query_id"), F.lit(name).alias("retriever")))
+        ranked, gold, asked = parts if ranked is None else (a.unionByName(b) for a, b in zip((ranked, gold, asked), parts, strict=True))
+    return evaluation.per_query(ranked, gold, asked).groupBy("retriever").agg(*evaluation.metric_block())
+
+
+@query("gold_by_language", f"WITH {_PASSAGES} SELECT query_id, count(*) FILTER (language = 'en') AS english, count(*) FILTER (language <> 'en') AS native FROM passages WHERE selected GROUP BY 1")
+def gold_by_language(spark, sf_dir):
+    """Gold ids of each example by the language that ends them."""
+    e = _eval_examples(spark, sf_dir).where(F.size("gold_document_ids") > 0)
+    count = lambda keep: F.size(F.filter("gold_document_ids", keep)).cast("long")
+    return e.select("query_id", count(lambda g: g.endswith(":en")).alias("english"), count(lambda g: ~g.endswith(":en")).alias("native"))
+
+
+@query("flat_fields", "SELECT DISTINCT k AS key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS k FROM events) GROUP BY 1")
+def flat_fields(spark, sf_dir):
+    """The keys that JSON values have, and how often."""
+    return table(spark, sf_dir, "events").select(F.explode(F.json_object_keys("props")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+
 # Tables and sets ------------------------------------------------------------------------------
 
 

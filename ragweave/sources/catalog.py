@@ -109,3 +109,26 @@ def cache_hits(wanted: DataFrame, cache: DataFrame, dimension: int) -> DataFrame
 
 def statistics(df: DataFrame, column: str = "embedding") -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.max(F.size(column)).alias("dimension"))
+
+
+def flattened(kind: T.DataType, prefix: str = "") -> list[str]:
+    """Dotted paths of a schema's leaves; those in arrays of structs have ``[]``."""
+    if isinstance(kind, T.StructType):
+        return [p for f in kind for p in flattened(f.dataType, f"{prefix}.{f.name}" if prefix else f.name)]
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+        return flattened(kind.elementType, f"{prefix}[]")
+    return [prefix]
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A report as one JSON object a row."""
+    df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+
+
+def index_rows(df: DataFrame) -> DataFrame:
+    """An index's payload; vectors are not read."""
+    return df.drop("embedding")
+
+
+def document_ids(df: DataFrame) -> DataFrame:
+    return df.select("document_id").where("document_id is not null and document_id != ''").distinct()
