@@ -17,9 +17,9 @@ BROADCAST_QUERIES = 100_000
 SCORE_DIGITS = 6
 
 
-def _checked(df: DataFrame, rows: int = BROADCAST_QUERIES) -> DataFrame:
-    """``df`` marked for broadcast if it is that small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _small(df: DataFrame, rows: int = BROADCAST_QUERIES) -> bool:
+    """Whether ``df`` may be broadcast."""
+    return df.limit(rows + 1).count() <= rows
 
 
 def top_k(scored: DataFrame, k: int | Column, key: str = "query_id", score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -47,7 +47,7 @@ class LexicalIndex:
         by_doc = kept.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term"))
         postings = by_doc.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
         corpus = kept.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_length"))
-        df = kept.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        df = postings.groupBy("term").agg(F.count("*").alias("df"))  # the shuffle of the postings is used again
         raw = df.join(F.broadcast(corpus), F.lit(True)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
         mean = raw.agg(F.avg("raw").alias("mean_raw"))  # one row, as corpus
         idf = F.when(F.col("raw") < 0, F.lit(cfg.idf_floor) * F.col("mean_raw")).otherwise(F.col("raw"))
@@ -69,10 +69,11 @@ class LexicalIndex:
         """
         cfg = self.config
         asked = queries.select("query_id", F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-        weighted = self.terms.join(_checked(asked), "term")
+        small = _small(asked)
+        weighted = self.terms.join(F.broadcast(asked) if small else asked, "term")  # a row for each of asked at most
         norm = F.lit(1 - cfg.b) + F.lit(cfg.b) * F.col("length") / F.col("avg_length")
         part = F.col("qtf") * F.col("idf") * F.col("tf") * (cfg.k1 + 1) / (F.col("tf") + F.lit(cfg.k1) * norm)
-        hits = self.postings.join(_checked(weighted), "term")
+        hits = self.postings.join(F.broadcast(weighted) if small else weighted, "term")
         if allowed is not None:
             hits = hits.join(allowed.select("doc_id"), "doc_id", "left_semi")
         scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score")).where("score > 0")
