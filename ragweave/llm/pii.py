@@ -254,9 +254,15 @@ def find(texts: list[str], model) -> list[tuple[list, list]]:
 
 
 def train(docs: DataFrame):
-    """The model, from a bounded sample of the documents that may hold personal data."""
+    """The model, from a bounded sample of the documents that may hold personal data.
+
+    Only rows in a slice of the hash space, cut to some ``4 * TRAIN_DOCS`` rows by their count, are sorted.
+    """
     labelled = docs.where((F.length("text") <= TRAIN_CHARS) & F.col("text").rlike(r"@|[0-9]{4}|[0-9]\.[0-9]"))
-    rows = labelled.select("text", F.xxhash64(F.lit(11), "text").alias("h")).orderBy("h", "text").limit(TRAIN_DOCS).toArrow()
+    h = F.xxhash64(F.lit(11), *(["doc_id", "text"] if "doc_id" in docs.columns else ["text"]))
+    n, space = labelled.count(), 1 << 40
+    sliced = labelled.select("text", h.alias("h")).where(F.pmod(F.col("h"), F.lit(space)) < space * 4 * TRAIN_DOCS // max(n, 1))
+    rows = sliced.orderBy("h", "text").limit(TRAIN_DOCS).toArrow()
     return fit(rows.column("text").to_pylist())
 
 
