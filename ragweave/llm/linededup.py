@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragweave.llm.common import Tables, fence, hash128, join_checked, words
+from ragweave.llm.common import BLANK_CHARS, Tables, fence, hash128, join_checked, words
 
 MIN_WORDS = 5
 #: Null ids come last.
@@ -85,13 +85,15 @@ def dropped_lines(docs: DataFrame, tables: Tables) -> DataFrame:
     texts = join_checked(docs, where, "place")
     rows = _lines(texts, "place", "wanted").where(F.array_contains("wanted", F.col("line_no")))
     kept = tables.write(rows.select(F.struct("place", "line_no").alias("at"), "w").dropDuplicates(["at"]))
-    # The deletion neighbourhood of each; i is the word left out, -1 none.
-    n = F.size("w")
-    left_out = lambda i: F.concat(F.slice("w", F.lit(1), i), F.slice("w", i + 2, n))
-    variants = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(left_out(i)).alias("u"), F.xxhash64(F.lit(7), left_out(i)).alias("v"), i.alias("i")))
-    u, v = hash128(F.col("w"))
-    whole = F.array(F.struct(u.alias("u"), v.alias("v"), F.lit(-1).alias("i")))
-    keys = kept.select("at", n.alias("n"), F.inline(F.concat(whole, variants)))
+    # The deletion neighbourhood of each, over hashed words; i is the word left out, -1 none.
+    hashed = fence(kept, h=F.transform("w", lambda x: F.xxhash64(x))).drop("w")
+    n = F.size("h")
+    left_out = lambda i: F.concat(F.slice("h", F.lit(1), i), F.slice("h", i + 2, n))
+    key = lambda seq, i: F.struct(F.xxhash64(seq).alias("u"), F.xxhash64(F.lit(7), seq).alias("v"), i.alias("i"))
+    variants = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(left_out(i).alias("seq"), i.alias("i")))
+    variants = F.transform(variants, lambda x: key(x["seq"], x["i"]))
+    keys = hashed.select("at", n.alias("n"), F.inline(F.concat(F.array(key(F.col("h"), F.lit(-1))), variants)))
+    keys = tables.write(keys)
     # Replacements leave out the word at the same place; insertions turn the longer into the other.
     by_place = keys.where((F.col("i") >= 0) & (F.col("n") >= MIN_WORDS)).groupBy("u", "v", "i").agg(F.min("at").alias("other"), F.count("*").alias("c"))
     by_place = tables.write(by_place.where("c > 1").select("u", "v", "i", "other"))
@@ -105,7 +107,7 @@ def dropped_lines(docs: DataFrame, tables: Tables) -> DataFrame:
     both = pairs.join(kept, "at").join(kept.select(F.col("at").alias("other"), F.col("w").alias("w2")), "other")
     near = both.where(one_edit(F.col("w"), F.col("w2"))).select("at").distinct().select("at.place", "at.line_no", F.lit(True).alias("near"))
     out = tables.write(equal.union(near))
-    tables.drop(every, distinct, repeated, shared, some, where, by_place, by_whole)
+    tables.drop(every, distinct, repeated, shared, some, where, keys, by_place, by_whole)
     return out
 
 
@@ -124,6 +126,10 @@ def _marked(docs: DataFrame) -> DataFrame:
     return join_checked(docs, by, place == F.col("__place"), "left").drop("__place")
 
 
+def _has_word(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANK_CHARS)) != ""
+
+
 def rest_of(text: Column, gone: Column) -> Column:
     """The text without the lines numbered in ``gone``."""
     left = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i))
@@ -136,7 +142,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Documents that had words and have none left (every line of theirs stands in an earlier one) go.
     """
     marked = _marked(docs).withColumn("__rest", rest_of(F.col("text"), F.col("__gone")))
-    stays = F.col("__gone").isNull() | F.exists(F.split("__rest", "\n"), lambda x: F.size(words(x)) > 0)
+    stays = F.col("__gone").isNull() | F.exists(F.split("__rest", "\n"), _has_word)
     out = marked.where(stays)
     return out.select(*(F.col("__rest").alias(c) if c == "text" else F.col(c) for c in docs.columns))
 
@@ -144,7 +150,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_lines (with words), n_equal and n_near taken out, gone (their numbers, comma-joined)."""
     marked = _marked(docs.select("doc_id", "text"))
-    lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: F.size(words(x)) > 0)
+    lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), _has_word)
     number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     gone = F.coalesce(F.array_join(F.transform("__gone", lambda i: i.cast("string")), ","), F.lit(""))
     rest = F.sha2(rest_of(F.coalesce(F.col("text"), F.lit("")), F.col("__gone")), 256)
