@@ -19,19 +19,20 @@ hash, so the table has a fixed size; frequent words have their own cells in effe
 Links, classes and texts stay in tables in the shared folder; what comes to the driver are the
 document frequencies, of fixed size, and row counts.
 
-Defined results: rows that share a doc_id are one document, of which the least fingerprint stands
-for all; null and blank texts have no shingles and are classes of their own, as are rows with a
+Defined results: rows that share a doc_id are one document, in the classes of all their texts, of
+which one is compared; null and blank texts have no shingles and are classes of their own, as are rows with a
 null id among themselves by text; an empty table gives no rows; extra columns are passed on.
 """
 
 from __future__ import annotations
 
-import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragweave.llm.common import Tables, join_checked
@@ -42,40 +43,37 @@ BANDS, ROWS = 16, 4
 DF_BITS = 18
 #: Rows of the table of variates.
 VARIATES = 1 << 14
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Growth of the number of members that a round pairs with the rest.
 GROWTH = 8
 _STATE: dict = {}
 
 
 class _Hashes(dict):
-    """word -> 64-bit hash, remembered for up to CACHE_WORDS words."""
+    """word -> the 8 bytes of its hash, remembered for up to CACHE_WORDS words."""
 
-    def __missing__(self, word: str) -> int:
-        h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    def __missing__(self, word: str) -> bytes:
+        h = xxhash.xxh3_64_digest(word.encode("utf-8", "surrogatepass"))
         if len(self) >= CACHE_WORDS:
             self.clear()
         self[word] = h
         return h
 
 
-def _hashes() -> _Hashes:
-    return _STATE.setdefault("words", _Hashes())
-
-
 def word_hashes(text: str | None) -> np.ndarray:
-    h = _hashes()
-    return np.array([h[w] for w in text.lower().split()] if text else [], np.uint64)
+    """64-bit hashes of a text's words, in order."""
+    known = _STATE.setdefault("words", _Hashes())
+    return np.frombuffer(b"".join(map(known.__getitem__, text.lower().split())) if text else b"", np.uint64)
 
 
-def _variates() -> tuple[np.ndarray, ...]:
-    """r, 1 / r, beta and ln c of each table row and sample: r and c Gamma(2, 1), beta uniform."""
+def _variates() -> np.ndarray:
+    """For each table row and sample: 1 / r, beta, r and r (beta - 1) + ln c; r and c are Gamma(2, 1), beta uniform."""
     if "variates" not in _STATE:
         rng = np.random.Generator(np.random.PCG64(1810))
         shape = (VARIATES, BANDS * ROWS)
         gamma = lambda: -np.log((1 - rng.random(shape)) * (1 - rng.random(shape)))
         r, log_c, beta = gamma(), np.log(gamma()), rng.random(shape)
-        _STATE["variates"] = tuple(x.astype(np.float32) for x in (r, 1 / r, beta, log_c))
+        _STATE["variates"] = np.stack([1 / r, beta, r, r * (beta - 1) + log_c], axis=1).astype(np.float32)
     return _STATE["variates"]
 
 
@@ -103,21 +101,16 @@ def shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def sample(found: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Band keys of a weighted set: ``BANDS`` hashes of ``ROWS`` consistent samples (shingle and level) each."""
-    r, inverse, beta, log_c = _variates()
+    table = _variates()
     row = (found & np.uint64(VARIATES - 1)).astype(np.int64)
     log_w = np.log(weight).astype(np.float32)
     best = np.full(BANDS * ROWS, np.inf, np.float32)
     element, level = np.zeros(BANDS * ROWS, np.uint64), np.zeros(BANDS * ROWS, np.int64)
     every = np.arange(BANDS * ROWS)
-    for low in range(0, len(found), 1024):
-        at = row[low : low + 1024]
-        t = log_w[low : low + 1024, None] * inverse[at]
-        t += beta[at]
-        np.floor(t, out=t)
-        a = t - beta[at]
-        a += 1
-        a *= -r[at]
-        a += log_c[at]
+    for low in range(0, len(found), 512):
+        of = table[row[low : low + 512]]
+        t = np.floor(log_w[low : low + 512, None] * of[:, 0] + of[:, 1])
+        a = of[:, 3] - of[:, 2] * t  # ln c - r (t - beta + 1)
         first = a.argmin(axis=0)
         least = a[first, every]
         better = least < best
@@ -163,26 +156,22 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     return 1 + np.log((1 + df[-1]) / (1 + np.minimum(df[:-1], df[-1])))
 
 
-def fingerprint(text: Column) -> Column:
-    """A hash of the word sequence of a text, null without words."""
-    bare = F.btrim(F.regexp_replace(F.lower(text), r"(?U)[\s\x1c-\x1f]+", " "), F.lit(" "))
-    return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit(7), bare).alias("b")))
-
-
 def _signed(docs: DataFrame, idf) -> DataFrame:
-    """id, fp (null without words) and band keys of each row."""
+    """id, fp (of the word sequence, null without words) and band keys of each row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = idf.value
+        pair = pa.struct([("a", pa.int64()), ("b", pa.int64())])
         for batch in batches:
-            bands = []
+            bands, prints = [], []
             for text in batch.column("text"):
                 words = word_hashes(text.as_py())
                 bands.append(sample(*shingles(words, weights)) if len(words) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fp"), pa.array(bands, pa.list_(pa.int64()))], names=["id", "fp", "bands"])
+                a, b = struct.unpack("<qq", xxhash.xxh3_128_digest(words.tobytes()))
+                prints.append({"a": a, "b": b} if len(words) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints, pair), pa.array(bands, pa.list_(pa.int64()))], names=["id", "fp", "bands"])
 
-    df = docs.select("id", fingerprint(F.col("text")).alias("fp"), "text")
-    return df.mapInArrow(sign, "id long, fp struct<a:bigint,b:bigint>, bands array<bigint>")
+    return docs.select("id", "text").mapInArrow(sign, "id long, fp struct<a:bigint,b:bigint>, bands array<bigint>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
@@ -248,10 +237,10 @@ def classes(docs: DataFrame) -> DataFrame:
     banded = by_text.select("node", F.explode("bands").alias("band"))
     hot = tables.write(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"))
     shared = tables.write(join_checked(banded, hot, "band"))
-    # Texts of the nodes in them; equal rows of an id are one.
+    # Texts of the nodes in them; rows of an id are one.
     wanted = tables.write(shared.select(F.col("node").alias("id")).distinct())
-    texts = join_checked(docs, wanted, "id").withColumn("fp", fingerprint(F.col("text"))).where("fp is not null")
-    texts = tables.write(texts.groupBy("id").agg(F.min_by("text", "fp").alias("text")))
+    texts = join_checked(docs, wanted, "id").groupBy("id").agg(F.min_by("text", F.struct(F.length("text") == 0, F.xxhash64("text"))).alias("text"))
+    texts = tables.write(texts)
     pairs = tables.write(shared.where("node != least").select(F.col("least").alias("x"), F.col("node").alias("y")).distinct())
     links = tables.write(_verified(pairs, texts, idf))
     label = closed(links, tables)
