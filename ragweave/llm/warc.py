@@ -21,9 +21,9 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from urllib.parse import parse_qsl, quote, unquote, urlencode, urlsplit
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,6 +74,15 @@ def _head(block: bytes) -> tuple[str, dict[str, str], bytes]:
     return lines[0], headers, rest
 
 
+def _date(text: str) -> datetime | None:
+    """A WARC-Date (ISO 8601; UTC unless it says otherwise); None if it is none."""
+    try:
+        at = datetime.fromisoformat(text)
+    except ValueError:
+        return None
+    return at if at.tzinfo else at.replace(tzinfo=UTC)
+
+
 def parse_record(data: bytes | None) -> tuple:
     """type, record id, URL, date, HTTP status, HTTP headers, size and SHA-1 of the body; Nones if malformed."""
     nothing = (None,) * 8
@@ -84,14 +93,14 @@ def parse_record(data: bytes | None) -> tuple:
         block = block[: int(warc.get("content-length", ""))]
     except ValueError:
         return nothing
-    at = pd.to_datetime(warc.get("warc-date"), utc=True, errors="coerce")
+    at = _date(warc.get("warc-date", ""))
     http: dict[str, str] = {}
     status, body = None, block
     if warc.get("content-type", "").startswith("application/http"):
         first, http, body = _head(block)
         code = re.match(r"HTTP/\S+ (\d{3})", first)
         status = int(code[1]) if code else None
-    return (warc.get("warc-type"), warc.get("warc-record-id", "").strip("<>") or None, warc.get("warc-target-uri"), None if pd.isna(at) else at, status, http, len(body), hashlib.sha1(body).hexdigest())
+    return (warc.get("warc-type"), warc.get("warc-record-id", "").strip("<>") or None, warc.get("warc-target-uri"), at, status, http, len(body), hashlib.sha1(body).hexdigest())
 
 
 def parse_records(records: DataFrame, column: str = "record") -> DataFrame:
@@ -128,7 +137,6 @@ def resolve(records: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame
     df = df.select("type", "record_id", "canonical", "at", "headers", "n_body", "body_sha1", F.floor(F.unix_seconds("at") / block_seconds).alias("block"))
     df = tables.write(df)
     usable = df.where("canonical is not null and at is not null")
-    response = F.when(F.col("type") == "response", F.struct("at", "record_id", "headers", "n_body", "body_sha1"))
     # The last response of each block, carried over the blocks of its URL.
     light = F.when(F.col("type") == "response", F.struct("at", "record_id"))
     blocks = usable.groupBy("canonical", "block").agg(F.max(light).alias("last"))
