@@ -279,6 +279,45 @@ def test_urls_without_examples(spark):
     assert {r["verdict"] for r in urls.judge(df).collect()} == {"allow"} and urls.judge(df.limit(0)).count() == 0
 
 
+def test_url_scores_by_exact_counts(spark):
+    """Scores equal Witten-Bell over dictionaries, however many contexts there are."""
+    r = random.Random(6)
+    name = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyzé0123456789-", k=r.randint(4, 20)))
+    every = [f"http://{name()}.com/{name()}" for _ in range(1500)] + [f"http://{name()}.net/es/{name()}" for _ in range(1500)] + [f"http://{name()}.org/{name()}" for _ in range(60)]
+    got = urls.judge(spark.createDataFrame([(i, u) for i, u in enumerate(every)], "page_id long, url string").repartition(3)).collect()
+    seen = [[collections.defaultdict(collections.Counter) for _ in range(urls.ORDER + 1)] for _ in range(2)]
+    texts = [x["host"] + x["path"] for x in got]
+    held = spark.createDataFrame([(t,) for t in texts], "text string").select(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(urls.HELD_OUT)) == 0).collect()
+
+    def contexts(text):
+        data = b"\n" + text.encode() + b"\n"
+        padded = [0] * urls.ORDER + [b + 1 for b in data]
+        for at in range(1, len(data)):
+            yield data[at], [tuple(padded[at + urls.ORDER - k : at + urls.ORDER]) for k in range(urls.ORDER + 1)]
+
+    for x, text, (out,) in zip(got, texts, held, strict=True):
+        if x["rule"] and not out:
+            for byte, around in contexts(text):
+                for order, c in enumerate(around):
+                    seen[x["verdict"] == "allow"][order][c][byte] += 1
+
+    def log_prob(model, text):
+        total = []
+        for byte, around in contexts(text):
+            p = 1 / 256
+            for order, c in enumerate(around):
+                if c in model[order]:
+                    n = model[order][c]
+                    p = (n[byte] + len(n) * p) / (n.total() + len(n))
+            total.append(np.log(p))
+        return np.mean(total)
+
+    open_ = [(x, t) for x, t in zip(got, texts, strict=True) if not x["rule"]]
+    assert len(open_) == 60 and len(seen[1][5]) > 5_000
+    for x, t in open_:
+        assert x["score"] == pytest.approx(log_prob(seen[1], t) - log_prob(seen[0], t), abs=2e-6)
+
+
 # WARC -----------------------------------------------------------------------------------------
 
 
