@@ -8,8 +8,10 @@ MCD: start from coordinatewise medians and interquartile ranges, then repeat con
 compute all distances, keep the ``SUPPORT`` share of rows with the smallest, and re-estimate mean
 and covariance from these. A step is one aggregation by (group, distance bin): the bins that
 together hold the share give the moments. Groups are never gathered; a hot group is a few hundred
-partial sums. Sums are of scaled integers, so the order of rows can't change them. Groups of
-under ``MIN_GROUP`` rows use the estimate over all documents.
+partial sums. Sums are of scaled integers, so the order of rows can't change them. A group
+is judged by its own estimate if its support has more rows than the vector has coordinates, so
+that there is a covariance to estimate (with ``SUPPORT`` 0.75, from 6 rows on); smaller groups by
+that of their language, and languages as small by that of all documents.
 
 Defined results: null and blank texts have zero words and fail the base rule; null languages and
 sources are groups of their own; repeated rows count as often as they stand; an empty table gives
@@ -37,7 +39,6 @@ FLOORS = (0.06, 0.06, 0.08, 0.08)
 SCALE = 10_000
 SUPPORT = 0.75
 STEPS = 4
-MIN_GROUP = 50
 #: Documents beyond this quantile of the chi-square distribution with 4 degrees are rejected.
 QUANTILE = 0.999999
 P = len(FLOORS)
@@ -102,6 +103,11 @@ def group_key(lang: str = "lang", source: str = "source") -> Column:
     return F.concat_ws("\x01", part(lang), part(source))
 
 
+def language_key(lang: str = "lang") -> Column:
+    """The group of all sources of a language; no source's key ends like it."""
+    return F.concat(F.coalesce(F.concat(F.lit("="), F.col(lang).cast("string")), F.lit("")), F.lit("\x01*"))
+
+
 def _factor(df: DataFrame, cov) -> DataFrame:
     """Columns l{i}{j} and d{i} of the factorisation L D L' of the covariance ``cov(i, j)``."""
     for j in range(P):
@@ -132,12 +138,12 @@ def distance(x: list[Column], param) -> Column:
 
 
 def fit(stats: DataFrame, tables: Tables) -> DataFrame:
-    """The MCD estimate of every group of ``stats`` (g, n_words, x0...), and of all rows as group '*'.
+    """The MCD estimate of every group (g) and language (__l) of ``stats`` (and x0...), and of all rows as group '*'.
 
     Returns one row per group: g, n and PARAMS.
     """
     consistency = SUPPORT / _chi2_cdf(_chi2_quantile(SUPPORT, P), P + 2)
-    both = stats.select(F.explode(F.array("g", F.lit("*"))).alias("g"), *(f"x{i}" for i in range(P)))
+    both = stats.select(F.explode(F.array("g", "__l", F.lit("*"))).alias("g"), *(f"x{i}" for i in range(P)))
     three = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     model = both.groupBy("g").agg(F.count("*").alias("n"), *(F.percentile(f"x{i}", three).alias(f"q{i}") for i in range(P)))
     model = model.withColumns({f"m{i}": F.col(f"q{i}")[1] / SCALE for i in range(P)})
@@ -168,17 +174,18 @@ def fit(stats: DataFrame, tables: Tables) -> DataFrame:
 def _slim(docs: DataFrame, keep: list[str]) -> DataFrame:
     cols = list(dict.fromkeys([*keep, "lang", "source"]))
     s = with_stats(docs.select(*cols, "text"), cols)
-    return s.select(*keep, group_key().alias("g"), *(F.col("__q")[k].alias(k) for k in STATS), *(x.alias(f"x{i}") for i, x in enumerate(vector(F.col("__q")))))
+    return s.select(*keep, group_key().alias("g"), language_key().alias("__l"), *(F.col("__q")[k].alias(k) for k in STATS), *(x.alias(f"x{i}") for i, x in enumerate(vector(F.col("__q")))))
 
 
 def verdicts(stats: DataFrame, model: DataFrame) -> DataFrame:
     """Add ``distance2`` and ``kept`` to a table of statistics."""
-    own = model.where((F.col("n") >= MIN_GROUP) & (F.col("g") != "*")).select("g", F.struct(*PARAMS).alias("__own"))
+    able = model.where((F.ceil(F.col("n") * SUPPORT) > P) & (F.col("g") != "*"))
+    own, lang = (able.select(F.col("g").alias(key), F.struct(*PARAMS).alias(name)) for key, name in (("g", "__own"), ("__l", "__lang")))
     every = model.where("g = '*'").select(F.struct(*PARAMS).alias("__all"))  # one row
-    out = join_checked(stats, own, "g", "left").join(F.broadcast(every), F.lit(True), "left")
-    p = F.coalesce("__own", "__all")
+    out = join_checked(join_checked(stats, own, "g", "left"), lang, "__l", "left").join(F.broadcast(every), F.lit(True), "left")
+    p = F.coalesce("__own", "__lang", "__all")
     d2 = distance([F.col(f"x{i}") for i in range(P)], lambda k: p[k])
-    out = out.withColumn("distance2", d2).drop("__own", "__all")
+    out = out.withColumn("distance2", d2).drop("__own", "__lang", "__all")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("distance2") <= _chi2_quantile(QUANTILE, P)))
 
 
@@ -202,6 +209,6 @@ def keep_quality(docs: DataFrame) -> DataFrame:
     tables = Tables(docs.sparkSession)
     model = fit(tables.write(_slim(docs, [])).where("not base_failed"), tables)
     cols = docs.columns
-    s = with_stats(docs.select(*cols), cols).withColumn("g", group_key())
-    s = s.select(*cols, "g", F.col("__q")["base_failed"].alias("base_failed"), *(x.alias(f"x{i}") for i, x in enumerate(vector(F.col("__q")))))
+    s = with_stats(docs.select(*cols), cols).withColumns({"g": group_key(), "__l": language_key()})
+    s = s.select(*cols, "g", "__l", F.col("__q")["base_failed"].alias("base_failed"), *(x.alias(f"x{i}") for i, x in enumerate(vector(F.col("__q")))))
     return verdicts(s, model).where("kept").select(*cols)

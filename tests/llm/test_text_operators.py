@@ -256,6 +256,21 @@ def test_quality_outliers(spark):
         assert np.allclose([got[i]["distance2"] for i in ids], d2(center, cov), rtol=1e-3, atol=1e-4)
 
 
+def test_quality_small_groups(spark):
+    """A small group is judged by its own rows, the same beside a hot source as alone; one without a covariance by its language."""
+    r = random.Random(11)
+    word = lambda low, high: "".join(r.choices("abcdefghij", k=r.randint(low, high)))
+    hot = [(i, " ".join(word(3, 7) for _ in range(150)), "en", "hot") for i in range(300)]
+    few = [(300 + i, " ".join(word(20, 30) for _ in range(150)), "fi", "few") for i in range(20)]
+    few.append((320, " ".join(word(3, 7) for _ in range(150)), "fi", "few"))
+    one = [(330, " ".join(word(20, 30) for _ in range(150)), "fi", "one"), (331, " ".join(word(3, 7) for _ in range(150)), "fi", "one")]
+    run = lambda rows: {x["doc_id"]: x for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    got = run(hot + few + one)
+    assert all(got[i]["kept"] for i in [*range(320), 330]) and not got[320]["kept"] and not got[331]["kept"]
+    alone = run(few)
+    assert all(got[i]["distance2"] == alone[i]["distance2"] and got[i]["kept"] == alone[i]["kept"] for i in alone)
+
+
 @pytest.mark.parametrize("run", [pieces.encode_documents, tokencount.count_tokens, pii.annotate, jpeg.report, quality.judge, quality.keep_quality])
 def test_empty_tables(spark, run):
     out = run(docs(spark, []))
