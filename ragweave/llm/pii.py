@@ -7,8 +7,8 @@ by definition. Neighbouring candidates share a chain potential. Distant tokens t
 similar (equal without case and punctuation, with the same last digits, or an address and its local
 part) share a skip potential, so that what is labelled in one place is labelled in the others too.
 Occurrences are linked each to the next, so a token repeated n times has n - 1 links. Marginals come
-from loopy belief propagation, in lockstep over all documents of a batch; tokens of base spans are
-clamped to their kind. Tokens whose marginal for a kind reaches ``CONFIDENT`` and that touch no base
+from loopy belief propagation, in lockstep over the documents of a batch, each until its messages
+settle, so that a label reaches all its repetitions; tokens of base spans are clamped to their kind. Tokens whose marginal for a kind reaches ``CONFIDENT`` and that touch no base
 span are added as spans, neighbours of one kind as one.
 
 The field is fitted by pseudo-likelihood on a bounded sample of labelled documents, where base spans
@@ -35,7 +35,9 @@ from pyspark.sql import types as T
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS, TRAIN_CHARS = 1000, 20_000
 CONFIDENT = 0.95
-ROUNDS, DAMPING = 12, 0.3
+#: A document's messages are passed until none changes by more than TOLERANCE, or for ROUNDS more
+#: rounds than it has variables: enough to reach the end of any path, whether or not they settle.
+TOLERANCE, ROUNDS, DAMPING = 1e-6, 100, 0.3
 STEPS, RATE, DECAY = 300, 0.5, 1e-3
 GROUP_CHARS = 2_000_000
 L = len(KINDS) + 1  # 0: outside
@@ -208,14 +210,21 @@ def marginals(graph: Graph, model) -> np.ndarray:
     kind = np.repeat([0, 1], [2 * len(chain), 2 * len(skip)])
     potential = np.exp(np.clip(np.stack([c, s]), -20, 20))[kind] if len(kind) else np.empty((0, L, L))
     message = np.zeros((len(source), L))
-    for _ in range(ROUNDS if len(source) else 0):
+    doc = np.array([d for d, _, _ in graph.spans], np.int64)
+    sizes = np.bincount(doc)
+    of, limit, live, rounds = doc[to], ROUNDS + sizes, np.arange(len(source)), 0
+    while len(live):
         total = score.copy()
-        np.add.at(total, to, message)
-        out = total[source] - message[half]
+        np.add.at(total, to[live], message[live])
+        out = total[source[live]] - message[half[live]]
         out = np.exp(out - out.max(1, keepdims=True))
-        new = np.log(np.maximum(np.einsum("el,elm->em", out, potential), 1e-300))
+        new = np.log(np.maximum(np.einsum("el,elm->em", out, potential[live]), 1e-300))
         new -= new.max(1, keepdims=True)
-        message = DAMPING * message + (1 - DAMPING) * new
+        old, rounds = message[live], rounds + 1
+        message[live] = DAMPING * old + (1 - DAMPING) * new
+        change = np.zeros(len(sizes))
+        np.maximum.at(change, of[live], np.abs(new - old).max(1))
+        live = live[((change > TOLERANCE) & (rounds < limit))[of[live]]]
     total = score
     np.add.at(total, to, message)
     p = np.exp(total - total.max(1, keepdims=True))

@@ -146,6 +146,28 @@ def test_repeats_share_labels():
     assert len(alone) <= len(every)
 
 
+def test_labels_reach_every_repetition():
+    """A clamped label travels all links, and a document's marginals don't depend on the others of its batch."""
+    import numpy as np
+
+    r = random.Random(12)
+    couple = np.full((pii.L, pii.L), -4.0)
+    np.fill_diagonal(couple, 4.0)
+    unary = np.zeros((pii.N_FEATURES, pii.L))
+    unary[0, 0] = 0.01  # a token by itself is outside
+    model = unary, np.zeros((pii.L, pii.L)), couple
+    text = "+4930123456789 " + " ".join(f"{'abcdefghij'[r.randrange(10)] * 4} 4930123456789" for _ in range(60))
+    graph = pii.Graph()
+    graph.add(0, text, pii.base_spans(text))
+    assert len(graph.skip) == 60 and sum(map(bool, graph.label)) == 1
+    p = pii.marginals(graph, model)
+    assert (p.argmax(1) == 4).all() and p[-1, 4] > 0.9
+    both = pii.Graph()
+    for i, t in enumerate([text, "1 2 3 1 2 3", text + " 5 6 5"]):
+        both.add(i, t, pii.base_spans(t))
+    assert np.allclose(pii.marginals(both, model)[: len(p)], p, atol=1e-9)
+
+
 def test_pii_rows(spark):
     texts = [*NASTY, *train_texts(20)]
     rows = {r["doc_id"]: r for r in pii.annotate(docs(spark, texts, extra=True)).collect()}
