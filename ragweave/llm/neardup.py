@@ -2,8 +2,10 @@
 
 Words are the whitespace-separated parts of the lower-cased text; a shingle is five words in a row
 (all of them in a shorter text) and weighs its count times the mean inverse document frequency of
-its words. Document frequencies are counted over all documents into ``1 << DF_BITS`` cells by word
-hash, so the table has a fixed size; frequent words have their own cells in effect, rare ones share.
+its words. Document frequencies are counted exactly, by 64-bit word hash over all documents, into a
+written table that grows with the vocabulary. The most frequent words, up to ``BROADCAST_ROWS``, are
+broadcast; if words of two documents or more are left out, their frequencies are joined to the texts
+that have them. A word found in neither is in one document.
 
 1. Texts that are equal as word sequences are one node; all steps below work on nodes.
 2. Each text is sampled ``BANDS * ROWS`` times by improved consistent weighted sampling; the
@@ -17,7 +19,7 @@ hash, so the table has a fixed size; frequent words have their own cells in effe
    a large group of copies gives a row per member.
 
 Links, classes and texts stay in tables in the shared folder; what comes to the driver are the
-document frequencies, of fixed size, and row counts.
+document frequencies that are broadcast and row counts.
 
 Defined results: rows that share a doc_id are one document, in the classes of all their texts, of
 which one is compared; null and blank texts have no shingles and are classes of their own, as are rows with a
@@ -26,6 +28,7 @@ null id among themselves by text; an empty table gives no rows; extra columns ar
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 
@@ -35,12 +38,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragweave.llm.common import Tables, join_checked
+from ragweave.llm.common import BROADCAST_ROWS, Tables, join_checked
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
+#: Cells of the approximate frequencies that ``shingles`` takes; the operator's are exact.
 DF_BITS = 18
+#: Words that a task counts at once.
+COUNTED = 1_000_000
 #: Rows of the table of variates.
 VARIATES = 1 << 14
 CACHE_WORDS = 150_000
@@ -84,12 +90,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``weighted`` with weights from an array of ``1 << DF_BITS`` cells by word hash."""
+    return weighted(words, idf[(words & np.uint64((1 << DF_BITS) - 1)).astype(np.int64)])
+
+
+def weighted(words: np.ndarray, weight_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes (sorted) of a document's word hashes, and their weights."""
     n = min(SHINGLE, len(words))
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.float64)
     count = len(words) - n + 1
-    weight_of = idf[(words & np.uint64((1 << DF_BITS) - 1)).astype(np.int64)]
     h, w = np.full(count, n, np.uint64), np.zeros(count)
     for k in range(n):
         h = h * np.uint64(0x9E3779B97F4A7C15) + words[k : k + count]
@@ -132,28 +142,113 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(low / total) if total else 0.0
 
 
-def document_frequencies(docs: DataFrame) -> np.ndarray:
-    """Smooth inverse document frequency by cell, from all documents: 1 + ln((1 + N) / (1 + df))."""
+class Weights:
+    """Inverse document frequencies, 1 + ln((1 + N) / (1 + df)), of the words of a text.
+
+    ``words`` are sorted hashes with their document frequencies ``counts``; others are given by row
+    or are in one document.
+    """
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, documents: int):
+        self.words, self.counts, self.documents = words, counts, documents
+        self.known: dict[str, bytes] = {}
+
+    def idf(self, n: int) -> float:
+        return 1 + math.log((1 + self.documents) / (1 + n))
+
+    def _look_up(self, word: str) -> bytes:
+        h = xxhash.xxh3_64_digest(word.encode("utf-8", "surrogatepass"))
+        value = np.frombuffer(h, np.uint64)[0]
+        i = int(self.words.searchsorted(value))
+        n = int(self.counts[i]) if i < len(self.words) and self.words[i] == value else 1
+        if len(self.known) >= CACHE_WORDS:
+            self.known.clear()
+        self.known[word] = out = h + struct.pack("=d", self.idf(n))
+        return out
+
+    def of(self, text: str | None, rare: list[dict] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of a text's words, in order, and their weights; ``rare`` has the hash (w) and frequency (n) of words left out."""
+        known = self.known
+        pairs = np.frombuffer(b"".join([known.get(w) or self._look_up(w) for w in text.lower().split()]) if text else b"", np.uint64).reshape(-1, 2)
+        words, weights = pairs[:, 0].copy(), pairs[:, 1].copy().view(np.float64)
+        if rare:
+            hashes = np.array([r["w"] for r in rare], np.int64).view(np.uint64)
+            order = np.argsort(hashes)
+            values, hashes = np.array([self.idf(r["n"]) for r in rare])[order], hashes[order]
+            at = np.minimum(hashes.searchsorted(words), len(hashes) - 1)
+            weights = np.where(hashes[at] == words, values[at], weights)
+        return words, weights
+
+
+def document_frequencies(docs: DataFrame, tables: Tables) -> DataFrame:
+    """w and n: in how many documents each word is, by its hash; the row with a null w has the number of documents with words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.uint64((1 << DF_BITS) - 1)
-        sums, n = np.zeros((1 << DF_BITS) + 1, np.int64), 0
+        held, size, n = [], 0, 0
+
+        def counted() -> pa.RecordBatch:
+            words, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_pydict({"w": pa.array(words.view(np.int64), pa.int64()), "n": pa.array(times, pa.int64())})
+
         for batch in batches:
             for text in batch.column(0):
-                words = word_hashes(text.as_py())
+                words = np.unique(word_hashes(text.as_py()))
                 if len(words):
-                    sums[np.unique((words & mask).astype(np.int64))] += 1
-                    n += 1
-        sums[-1] = n
-        cells = np.flatnonzero(sums)
-        for low in range(0, len(cells), 50_000):
-            some = cells[low : low + 50_000]
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(some, pa.int32()), "n": pa.array(sums[some], pa.int64())})
+                    held.append(words)
+                    size, n = size + len(words), n + 1
+                if size >= COUNTED:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
+        _STATE.pop("words", None)
+        yield pa.RecordBatch.from_pydict({"w": pa.array([None], pa.int64()), "n": pa.array([n], pa.int64())})
+
+    return tables.write(docs.select("text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
+
+
+def weights_of(docs: DataFrame, tables: Tables) -> tuple[Weights, DataFrame | None]:
+    """The weights to broadcast, and a table (w, n) of the words of two documents or more that are left out of them, if any are."""
+    every = document_frequencies(docs, tables)
+    documents = every.where("w is null").agg(F.sum("n").alias("n")).head()["n"] or 0
+    every = every.where("w is not null and n > 1")
+    sizes = {r["b"]: r["count"] for r in every.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().collect()}  # 63 at most
+    low, total = 64, 0
+    while low > 1 and total + sizes.get(low - 1, 0) <= BROADCAST_ROWS:
+        low -= 1
+        total += sizes.get(low, 0)
+    bucket = F.floor(F.log2("n"))
+    found = every.where(bucket >= low).toArrow()
+    words, counts = found.column("w").to_numpy().astype(np.int64).view(np.uint64), found.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(words)
+    left_out = low > 1 and any(sizes.get(b, 0) for b in range(1, low))
+    return Weights(words[order], counts[order], documents), tables.write(every.where(bucket < low)) if left_out else None
+
+
+def with_rare(docs: DataFrame, idf, rare: DataFrame | None, tables: Tables) -> DataFrame:
+    """id, text and rare: the hash and frequency of the words of the text that are in the table ``rare``."""
+    docs = docs.select("id", "text")
+    if rare is None:
+        return docs.withColumn("rare", F.lit(None).cast("array<struct<w:bigint,n:bigint>>"))
+
+    def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = idf.value.words
+        for batch in batches:
+            some = [_missing(word_hashes(t.as_py()), frequent) for t in batch.column("text")]
+            sizes = np.array([len(w) for w in some])
+            ids, keys = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("id", "key"))
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.int64()), "w": pa.array(np.concatenate([np.empty(0, np.uint64), *some]).view(np.int64), pa.int64())})
+
+    keyed = docs.withColumn("key", F.xxhash64("text"))
+    by_row = join_checked(keyed.mapInArrow(unknown, "id long, key long, w long"), rare, "w")
+    by_row = tables.write(by_row.groupBy("id", "key").agg(F.collect_set(F.struct("w", "n")).alias("rare")))
+    return join_checked(keyed, by_row, ["id", "key"], "left").select("id", "text", "rare")
+
 
-    sums = docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros((1 << DF_BITS) + 1)
-    df[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
-    return 1 + np.log((1 + df[-1]) / (1 + np.minimum(df[:-1], df[-1])))
+def _missing(words: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The distinct words that the sorted array ``known`` doesn't have."""
+    words = np.unique(words)
+    return words[known[np.minimum(known.searchsorted(words), len(known) - 1)] != words] if len(known) else words
 
 
 def _signed(docs: DataFrame, idf) -> DataFrame:
@@ -164,14 +259,14 @@ def _signed(docs: DataFrame, idf) -> DataFrame:
         pair = pa.struct([("a", pa.int64()), ("b", pa.int64())])
         for batch in batches:
             bands, prints = [], []
-            for text in batch.column("text"):
-                words = word_hashes(text.as_py())
-                bands.append(sample(*shingles(words, weights)) if len(words) else None)
+            for text, rare in zip(batch.column("text"), batch.column("rare"), strict=True):
+                words, weight_of = weights.of(text.as_py(), rare.as_py())
+                bands.append(sample(*weighted(words, weight_of)) if len(words) else None)
                 a, b = struct.unpack("<qq", xxhash.xxh3_128_digest(words.tobytes()))
                 prints.append({"a": a, "b": b} if len(words) else None)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints, pair), pa.array(bands, pa.list_(pa.int64()))], names=["id", "fp", "bands"])
 
-    return docs.select("id", "text").mapInArrow(sign, "id long, fp struct<a:bigint,b:bigint>, bands array<bigint>")
+    return docs.select("id", "text", "rare").mapInArrow(sign, "id long, fp struct<a:bigint,b:bigint>, bands array<bigint>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
@@ -182,15 +277,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
         last: tuple = (None, None)
         for batch in batches:
             keep = []
-            for x, left, right in zip(batch.column("x").to_pylist(), batch.column("left"), batch.column("right"), strict=True):
+            for x, left, rare, right, rare2 in zip(batch.column("x").to_pylist(), *(batch.column(c) for c in ("left", "rare", "right", "rare2")), strict=True):
                 if last[0] != x:
-                    last = (x, shingles(word_hashes(left.as_py()), weights))
-                keep.append(similarity(last[1], shingles(word_hashes(right.as_py()), weights)) >= THRESHOLD)
+                    last = (x, weighted(*weights.of(left.as_py(), rare.as_py())))
+                keep.append(similarity(last[1], weighted(*weights.of(right.as_py(), rare2.as_py()))) >= THRESHOLD)
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("id").alias("y"), F.col("text").alias("right")), "y")
-    both = both.join(texts.select(F.col("id").alias("x"), F.col("text").alias("left")), "x")
-    return both.select("x", "y", "left", "right").mapInArrow(verify, "x long, y long")
+    both = pairs.join(texts.select(F.col("id").alias("y"), F.col("text").alias("right"), F.col("rare").alias("rare2")), "y")
+    both = both.join(texts.select(F.col("id").alias("x"), F.col("text").alias("left"), "rare"), "x")
+    return both.select("x", "y", "left", "rare", "right", "rare2").mapInArrow(verify, "x long, y long")
 
 
 def closed(links: DataFrame, tables: Tables, old: DataFrame | None = None) -> DataFrame:
@@ -226,8 +321,9 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     tables = Tables(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("null id"), "text")).alias("id"), "text")
-    idf = spark.sparkContext.broadcast(document_frequencies(docs))
-    rows = tables.write(_signed(docs, idf))
+    weights, rare = weights_of(docs, tables)
+    idf = spark.sparkContext.broadcast(weights)
+    rows = tables.write(_signed(with_rare(docs, idf, rare, tables), idf))
     # One node for equal texts: the least id. Blank texts are nodes of their own.
     by_text = rows.where("fp is not null").groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.first("bands").alias("bands"))
     by_text = tables.write(by_text)
@@ -240,7 +336,7 @@ def classes(docs: DataFrame) -> DataFrame:
     # Texts of the nodes in them; rows of an id are one.
     wanted = tables.write(shared.select(F.col("node").alias("id")).distinct())
     texts = join_checked(docs, wanted, "id").groupBy("id").agg(F.min_by("text", F.struct(F.length("text") == 0, F.xxhash64("text"))).alias("text"))
-    texts = tables.write(texts)
+    texts = tables.write(with_rare(texts, idf, rare, tables))
     pairs = tables.write(shared.where("node != least").select(F.col("least").alias("x"), F.col("node").alias("y")).distinct())
     links = tables.write(_verified(pairs, texts, idf))
     label = closed(links, tables)

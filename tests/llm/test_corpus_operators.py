@@ -224,6 +224,45 @@ def test_near_duplicates_empty_and_null(spark):
     assert len(got) == 2
 
 
+def exact_classes(rows):
+    """Classes by all pairs, with weights from the document frequencies of the words themselves."""
+    plain = {i: t.lower().split() for i, t, *_ in rows}
+    df = collections.Counter(w for t in plain.values() for w in set(t))
+    sets = {}
+    for i, t in plain.items():
+        grams = collections.Counter(tuple(t[k : k + 5]) for k in range(len(t) - 4))
+        sets[i] = {g: c * sum(1 + np.log((1 + len(plain)) / (1 + df[w])) for w in g) / 5 for g, c in grams.items()}
+    at = {i: i for i in plain}
+    for a, b in itertools.combinations(sorted(plain), 2):
+        x, y = sets[a], sets[b]
+        low = sum(min(x[g], y[g]) for g in x.keys() & y.keys())
+        if low / (sum(x.values()) + sum(y.values()) - low) >= neardup.THRESHOLD:
+            least, most = sorted((at[a], at[b]))
+            at = {k: least if v == most else v for k, v in at.items()}
+    return at
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 200, 0])
+def test_rare_words_keep_their_weight(spark, monkeypatch, bound):
+    """Rare words that share a cell of 2^18 with frequent ones weigh as rare ones, broadcast or joined."""
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", bound)
+    r = random.Random(8)
+    cell = lambda w: int(neardup.word_hashes(w)[0]) & ((1 << neardup.DF_BITS) - 1)
+    common_words = [f"c{i}" for i in range(400)]
+    taken = {cell(w) for w in common_words}
+    hidden = [w for w in (f"r{i}" for i in range(200_000)) if cell(w) in taken]
+    rows = [(1000 + i, " ".join(r.sample(common_words, 300)), "s") for i in range(60)]
+    for k in range(14):
+        base = r.sample(common_words, 120)
+        other = list(base)
+        for j in range(1 + k % 3):
+            base[30 * j + 5], other[30 * j + 5] = hidden[k * 20 + 2 * j], hidden[k * 20 + 2 * j + 1]
+        rows += [(2 * k, " ".join(base), "s"), (2 * k + 1, " ".join(other), "s")]
+    want = exact_classes(rows)
+    assert want != brute_classes(rows) and any(i != c for i, c in want.items())
+    assert {x["doc_id"]: x["class_id"] for x in neardup.report(docs(spark, rows).repartition(3)).collect()} == want
+
+
 def test_sampling_estimates_similarity():
     r = np.random.default_rng(3)
     ids = r.integers(1, 1 << 62, 300).astype(np.uint64)
