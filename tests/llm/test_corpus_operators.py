@@ -357,6 +357,22 @@ def test_url_scores_by_exact_counts(spark):
         assert x["score"] == pytest.approx(log_prob(seen[1], t) - log_prob(seen[0], t), abs=2e-6)
 
 
+def test_escape_mass_by_distinct_continuations(spark):
+    """Witten-Bell: a context with more distinct bytes after it leaves more to the shorter contexts."""
+    b = lambda context, byte: sum((c + 1) * 257**k for k, c in enumerate(reversed(context))) * 256 + ord(byte)
+    counts = [(b(b"a", x), 4, 1) for x in "p"] + [(b(b"z", x), 1, 1) for x in "pqrs"]
+    seen = spark.createDataFrame(counts, "window long, n1 long, n0 long")
+    got = {r["window"]: r["ratio"] for r in urls.log_ratios(seen, spark.createDataFrame([(b(b"a", "p"),), (b(b"z", "p"),)], "window long"), common.Tables(spark)).collect()}
+    p1, p0 = (5 + 4 / 256) / 12, (2 + 4 / 256) / 9  # order 0: 8 and 5 bytes, 4 distinct
+    ratio = {}
+    for c, n1, n0, total1, total0, t in (("a", 4, 1, 4, 1, 1), ("z", 1, 1, 4, 4, 4)):
+        q1, q0 = p1, p0
+        for _ in range(urls.ORDER):  # beyond order 1 the longer contexts are as distinct
+            q1, q0 = (n1 + t * q1) / (total1 + t), (n0 + t * q0) / (total0 + t)
+        ratio[c] = np.log(q1) - np.log(q0)
+    assert got[b(b"a", "p")] == pytest.approx(ratio["a"]) and got[b(b"z", "p")] == pytest.approx(ratio["z"])
+
+
 # WARC -----------------------------------------------------------------------------------------
 
 
