@@ -101,6 +101,13 @@ def fence(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
 
 
+def one_of_equals(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """``columns`` of one row for each value of ``by``: of several the one with the least hash of all columns that can be hashed."""
+    kinds = dict(df.dtypes)
+    order = F.xxhash64(*(c for c in columns if "map<" not in kinds[c] and kinds[c] != "variant"))
+    return df.groupBy(*by).agg(F.min_by(F.struct(*columns), order).alias("__one")).select("__one.*")
+
+
 def hash128(*cols: Column) -> tuple[Column, Column]:
     """Two 64-bit hashes of the same values, with different seeds."""
     return F.xxhash64(*cols), F.xxhash64(F.lit(7), *cols)
