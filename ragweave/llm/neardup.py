@@ -2,28 +2,28 @@
 
 Words are the whitespace-separated parts of the lower-cased text; a shingle is five words in a row
 (all of them in a shorter text) and weighs its count times the mean inverse document frequency of
-its words. Document frequencies are counted exactly, by 64-bit word hash over all documents, into a
-written table that grows with the vocabulary. The most frequent words, up to ``BROADCAST_ROWS``, are
-broadcast; if words of two documents or more are left out, their frequencies are joined to the texts
-that have them. A word found in neither is in one document.
+its words. Document frequencies are counted exactly over all documents. Inverse frequencies
+saturate: words in at most one of ``SPARSE`` documents weigh alike, however large the corpus is. So
+only the others are broadcast, and they are at most ``SPARSE`` times the mean number of distinct
+words of a document (a document frequency above N / SPARSE each, of N times that mean in all).
 
 1. Texts that are equal as word sequences are one node; all steps below work on nodes.
-2. Each text is sampled ``BANDS * ROWS`` times by improved consistent weighted sampling; the
-   variates of a shingle come from a table that its hash indexes. ``ROWS`` samples make a band.
-3. Nodes that share a band are candidates. Each band's least node is paired with the others, pairs
-   are verified by weighted Jaccard similarity >= ``THRESHOLD``, and verified links are closed into
-   classes by label propagation.
-4. A band whose members are all of one class by then needs nothing more: further links would change
-   nothing. In the others the next 8, 64, 512, ... members are paired with the later members of
-   other classes until none is left uncompared. So no link between different texts is lost, and
-   a large group of copies gives a row per member.
-
-Links, classes and texts stay in tables in the shared folder; what comes to the driver are the
-document frequencies that are broadcast and row counts.
-
-Defined results: rows that share a doc_id are one document, in the classes of all their texts, of
-which one is compared; null and blank texts have no shingles and are classes of their own, as are rows with a
-null id among themselves by text; an empty table gives no rows; extra columns are passed on.
+2. Each text is sampled ``BANDS * ROWS`` times by improved consistent weighted sampling. ``ROWS``
+   samples make a band, and nodes that share a band are candidates. A pair of which fewer than
+   ``LIKELY`` samples agree isn't looked at further: at similarity 0.8 that has odds of 5e-8.
+3. Each band's least node is paired with the others, pairs are verified by weighted Jaccard
+   similarity >= ``THRESHOLD``, and verified links are closed into classes by label propagation.
+4. A band whose nodes are all of one class needs nothing more: further links would change nothing.
+   In the others, every node outside the band's largest class is held against all nodes of other
+   classes, first by samples and then by exact similarity. Bands are dealt out in pairs of blocks
+   of bounded size, each worked on as one matrix, and a block pair returns a spanning forest of its
+   links. So no link between candidates is lost, and no pair of nodes ever becomes a row: rows are
+   a band's members, times the number of blocks it has.
+
+Defined results: a document is a row, or several equal in both doc_id and text. Its id is the
+doc_id; where that is null or has other texts too, all but the least by hash get a 62-bit hash of
+both, above 2^62. Null and blank texts have no shingles and are classes of their own; an empty table
+gives no rows; extra columns are passed on.
 """
 
 from __future__ import annotations
@@ -35,23 +35,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragweave.llm.common import BROADCAST_ROWS, Tables, join_checked
+from ragweave.llm.common import Tables, join_checked, one_of_equals
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
-#: Cells of the approximate frequencies that ``shingles`` takes; the operator's are exact.
-DF_BITS = 18
+SAMPLES = BANDS * ROWS
+#: Samples of a pair that must agree for it to be verified.
+LIKELY = SAMPLES // 2
+#: Words in at most one of so many documents have the same inverse document frequency.
+SPARSE = 1000
 #: Words that a task counts at once.
 COUNTED = 1_000_000
-#: Rows of the table of variates.
+#: Rows of each table of variates; the two are indexed by different bits of a shingle's hash.
 VARIATES = 1 << 14
 CACHE_WORDS = 150_000
-#: Growth of the number of members that a round pairs with the rest.
-GROWTH = 8
+#: Nodes of a block of signatures, and characters of a block of texts.
+BLOCK_NODES, BLOCK_CHARS = 1024, 4_000_000
+#: Cells of a matrix that is worked on at once.
+CELLS = 4_000_000
 _STATE: dict = {}
 
 
@@ -66,20 +71,23 @@ class _Hashes(dict):
         return h
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of a text's words, in order."""
+def word_hashes(words) -> np.ndarray:
+    """64-bit hashes of words, in order."""
     known = _STATE.setdefault("words", _Hashes())
-    return np.frombuffer(b"".join(map(known.__getitem__, text.lower().split())) if text else b"", np.uint64)
+    return np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint64)
 
 
-def _variates() -> np.ndarray:
-    """For each table row and sample: 1 / r, beta, r and r (beta - 1) + ln c; r and c are Gamma(2, 1), beta uniform."""
+def split(text: str | None) -> list[str]:
+    return text.lower().split() if text else []
+
+
+def _variates() -> tuple[np.ndarray, np.ndarray]:
+    """For each table row and sample: (1 / r, beta, r, r (beta - 1)) and ln c; r and c are Gamma(2, 1), beta uniform."""
     if "variates" not in _STATE:
         rng = np.random.Generator(np.random.PCG64(1810))
-        shape = (VARIATES, BANDS * ROWS)
-        gamma = lambda: -np.log((1 - rng.random(shape)) * (1 - rng.random(shape)))
-        r, log_c, beta = gamma(), np.log(gamma()), rng.random(shape)
-        _STATE["variates"] = np.stack([1 / r, beta, r, r * (beta - 1) + log_c], axis=1).astype(np.float32)
+        gamma = lambda: -np.log((1 - rng.random((VARIATES, SAMPLES))) * (1 - rng.random((VARIATES, SAMPLES))))
+        r, log_c, beta = gamma(), np.log(gamma()), rng.random((VARIATES, SAMPLES))
+        _STATE["variates"] = np.stack([1 / r, beta, r, r * (beta - 1)], axis=1).astype(np.float32), log_c.astype(np.float32)
     return _STATE["variates"]
 
 
@@ -89,11 +97,6 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``weighted`` with weights from an array of ``1 << DF_BITS`` cells by word hash."""
-    return weighted(words, idf[(words & np.uint64((1 << DF_BITS) - 1)).astype(np.int64)])
-
-
 def weighted(words: np.ndarray, weight_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes (sorted) of a document's word hashes, and their weights."""
     n = min(SHINGLE, len(words))
@@ -110,28 +113,30 @@ def weighted(words: np.ndarray, weight_of: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def sample(found: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Band keys of a weighted set: ``BANDS`` hashes of ``ROWS`` consistent samples (shingle and level) each."""
-    table = _variates()
-    row = (found & np.uint64(VARIATES - 1)).astype(np.int64)
+    """``SAMPLES`` consistent samples (shingle and level, hashed to 32 bits) of a weighted set.
+
+    The variates of a shingle are a row of each of two tables, picked by independent bits of its
+    hash: VARIATES ** 2 combinations, so that hardly two shingles of a text share both.
+    """
+    table, log_c = _variates()
+    mask = np.uint64(VARIATES - 1)
+    row, row_c = (found & mask).astype(np.int64), ((found >> np.uint64(32)) & mask).astype(np.int64)
     log_w = np.log(weight).astype(np.float32)
-    best = np.full(BANDS * ROWS, np.inf, np.float32)
-    element, level = np.zeros(BANDS * ROWS, np.uint64), np.zeros(BANDS * ROWS, np.int64)
-    every = np.arange(BANDS * ROWS)
+    best = np.full(SAMPLES, np.inf, np.float32)
+    element, level = np.zeros(SAMPLES, np.uint64), np.zeros(SAMPLES, np.int64)
+    every = np.arange(SAMPLES)
     for low in range(0, len(found), 512):
         of = table[row[low : low + 512]]
         t = np.floor(log_w[low : low + 512, None] * of[:, 0] + of[:, 1])
-        a = of[:, 3] - of[:, 2] * t  # ln c - r (t - beta + 1)
+        a = log_c[row_c[low : low + 512]] + of[:, 3] - of[:, 2] * t  # ln c - r (t - beta + 1)
         first = a.argmin(axis=0)
         least = a[first, every]
         better = least < best
         best[better] = least[better]
         element[better] = found[low + first[better]]
         level[better] = t[first[better], every[better]].astype(np.int64)
-    mixed = _mix(element + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
-        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + mixed[:, k])
-    return key.view(np.int64)
+    mixed = _mix(element + (level.astype(np.uint64) + every.astype(np.uint64) * np.uint64(1 << 32)) * np.uint64(0x9E3779B97F4A7C15))
+    return (mixed >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -143,10 +148,9 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 class Weights:
-    """Inverse document frequencies, 1 + ln((1 + N) / (1 + df)), of the words of a text.
+    """Inverse document frequencies, 1 + ln((1 + N) / (1 + max(df, N / SPARSE))), of the words of a text.
 
-    ``words`` are sorted hashes with their document frequencies ``counts``; others are given by row
-    or are in one document.
+    ``words`` are sorted hashes with their document frequencies ``counts``; all others are sparse.
     """
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, documents: int):
@@ -154,7 +158,7 @@ class Weights:
         self.known: dict[str, bytes] = {}
 
     def idf(self, n: int) -> float:
-        return 1 + math.log((1 + self.documents) / (1 + n))
+        return 1 + math.log((1 + self.documents) / (1 + max(n, self.documents / SPARSE)))
 
     def _look_up(self, word: str) -> bytes:
         h = xxhash.xxh3_64_digest(word.encode("utf-8", "surrogatepass"))
@@ -166,25 +170,21 @@ class Weights:
         self.known[word] = out = h + struct.pack("=d", self.idf(n))
         return out
 
-    def of(self, text: str | None, rare: list[dict] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of a text's words, in order, and their weights; ``rare`` has the hash (w) and frequency (n) of words left out."""
+    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of a text's words, in order, and their weights."""
         known = self.known
-        pairs = np.frombuffer(b"".join([known.get(w) or self._look_up(w) for w in text.lower().split()]) if text else b"", np.uint64).reshape(-1, 2)
-        words, weights = pairs[:, 0].copy(), pairs[:, 1].copy().view(np.float64)
-        if rare:
-            hashes = np.array([r["w"] for r in rare], np.int64).view(np.uint64)
-            order = np.argsort(hashes)
-            values, hashes = np.array([self.idf(r["n"]) for r in rare])[order], hashes[order]
-            at = np.minimum(hashes.searchsorted(words), len(hashes) - 1)
-            weights = np.where(hashes[at] == words, values[at], weights)
-        return words, weights
+        pairs = np.frombuffer(b"".join([known.get(w) or self._look_up(w) for w in split(text)]), np.uint64).reshape(-1, 2)
+        return pairs[:, 0].copy(), pairs[:, 1].copy().view(np.float64)
 
+    def set_of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        return weighted(*self.of(text))
 
-def document_frequencies(docs: DataFrame, tables: Tables) -> DataFrame:
-    """w and n: in how many documents each word is, by its hash; the row with a null w has the number of documents with words."""
+
+def weights_of(docs: DataFrame) -> Weights:
+    """The weights to broadcast."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, n = [], 0, 0
+        held, size = [], 0
 
         def counted() -> pa.RecordBatch:
             words, times = np.unique(np.concatenate(held), return_counts=True)
@@ -192,81 +192,53 @@ def document_frequencies(docs: DataFrame, tables: Tables) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                words = np.unique(word_hashes(text.as_py()))
-                if len(words):
-                    held.append(words)
-                    size, n = size + len(words), n + 1
+                words = word_hashes(set(split(text.as_py())))
+                held.append(words)
+                size += len(words)
                 if size >= COUNTED:
                     yield counted()
                     held, size = [], 0
         if held:
             yield counted()
         _STATE.pop("words", None)
-        yield pa.RecordBatch.from_pydict({"w": pa.array([None], pa.int64()), "n": pa.array([n], pa.int64())})
-
-    return tables.write(docs.select("text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
-
-
-def weights_of(docs: DataFrame, tables: Tables) -> tuple[Weights, DataFrame | None]:
-    """The weights to broadcast, and a table (w, n) of the words of two documents or more that are left out of them, if any are."""
-    every = document_frequencies(docs, tables)
-    documents = every.where("w is null").agg(F.sum("n").alias("n")).head()["n"] or 0
-    every = every.where("w is not null and n > 1")
-    sizes = {r["b"]: r["count"] for r in every.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().collect()}  # 63 at most
-    low, total = 64, 0
-    while low > 1 and total + sizes.get(low - 1, 0) <= BROADCAST_ROWS:
-        low -= 1
-        total += sizes.get(low, 0)
-    bucket = F.floor(F.log2("n"))
-    found = every.where(bucket >= low).toArrow()
+
+    documents = docs.where(F.col("text").rlike(r"\S")).count()
+    found = docs.select("text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    found = found.where((F.col("n") > 1) & (F.col("n") * SPARSE > documents)).toArrow()
     words, counts = found.column("w").to_numpy().astype(np.int64).view(np.uint64), found.column("n").to_numpy().astype(np.int64)
     order = np.argsort(words)
-    left_out = low > 1 and any(sizes.get(b, 0) for b in range(1, low))
-    return Weights(words[order], counts[order], documents), tables.write(every.where(bucket < low)) if left_out else None
-
-
-def with_rare(docs: DataFrame, idf, rare: DataFrame | None, tables: Tables) -> DataFrame:
-    """id, text and rare: the hash and frequency of the words of the text that are in the table ``rare``."""
-    docs = docs.select("id", "text")
-    if rare is None:
-        return docs.withColumn("rare", F.lit(None).cast("array<struct<w:bigint,n:bigint>>"))
-
-    def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = idf.value.words
-        for batch in batches:
-            some = [_missing(word_hashes(t.as_py()), frequent) for t in batch.column("text")]
-            sizes = np.array([len(w) for w in some])
-            ids, keys = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("id", "key"))
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.int64()), "w": pa.array(np.concatenate([np.empty(0, np.uint64), *some]).view(np.int64), pa.int64())})
+    return Weights(words[order], counts[order], documents)
 
-    keyed = docs.withColumn("key", F.xxhash64("text"))
-    by_row = join_checked(keyed.mapInArrow(unknown, "id long, key long, w long"), rare, "w")
-    by_row = tables.write(by_row.groupBy("id", "key").agg(F.collect_set(F.struct("w", "n")).alias("rare")))
-    return join_checked(keyed, by_row, ["id", "key"], "left").select("id", "text", "rare")
 
-
-def _missing(words: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """The distinct words that the sorted array ``known`` doesn't have."""
-    words = np.unique(words)
-    return words[known[np.minimum(known.searchsorted(words), len(known) - 1)] != words] if len(known) else words
+def identified(docs: DataFrame, tables: Tables) -> DataFrame:
+    """``docs`` with ``__id``, equal for rows that are equal in doc_id and text only."""
+    h, key = F.xxhash64("text"), F.col("doc_id").cast("long")
+    ids = docs.where("doc_id is not null").groupBy(key.alias("__key")).agg(F.min(h).alias("__least"), F.max(h).alias("__most"))
+    shared = tables.write(ids.where("__least != __most").select("__key", "__least"))
+    made = F.xxhash64(F.lit(3), "text", key).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    if shared.isEmpty():
+        return docs.withColumn("__id", F.coalesce(key, made))
+    out = join_checked(docs.withColumn("__key", key), shared, "__key", "left")
+    out = out.withColumn("__id", F.when(F.col("__key").isNull() | (F.col("__least") != h), made).otherwise(F.col("__key")))
+    return out.select(*docs.columns, "__id")
 
 
 def _signed(docs: DataFrame, idf) -> DataFrame:
-    """id, fp (of the word sequence, null without words) and band keys of each row."""
+    """id, fp (of the word sequence, null without words) and samples of each row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = idf.value
         pair = pa.struct([("a", pa.int64()), ("b", pa.int64())])
         for batch in batches:
-            bands, prints = [], []
-            for text, rare in zip(batch.column("text"), batch.column("rare"), strict=True):
-                words, weight_of = weights.of(text.as_py(), rare.as_py())
-                bands.append(sample(*weighted(words, weight_of)) if len(words) else None)
+            signs, prints = [], []
+            for text in batch.column("text"):
+                words, weight_of = weights.of(text.as_py())
+                signs.append(sample(*weighted(words, weight_of)) if len(words) else None)
                 a, b = struct.unpack("<qq", xxhash.xxh3_128_digest(words.tobytes()))
                 prints.append({"a": a, "b": b} if len(words) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints, pair), pa.array(bands, pa.list_(pa.int64()))], names=["id", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints, pair), pa.array(signs, pa.list_(pa.int32()))], names=["id", "fp", "sign"])
 
-    return docs.select("id", "text", "rare").mapInArrow(sign, "id long, fp struct<a:bigint,b:bigint>, bands array<bigint>")
+    return docs.select("id", "text").mapInArrow(sign, "id long, fp struct<a:bigint,b:bigint>, sign array<int>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
@@ -277,15 +249,132 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
         last: tuple = (None, None)
         for batch in batches:
             keep = []
-            for x, left, rare, right, rare2 in zip(batch.column("x").to_pylist(), *(batch.column(c) for c in ("left", "rare", "right", "rare2")), strict=True):
+            for x, left, right in zip(batch.column("x").to_pylist(), batch.column("left"), batch.column("right"), strict=True):
                 if last[0] != x:
-                    last = (x, weighted(*weights.of(left.as_py(), rare.as_py())))
-                keep.append(similarity(last[1], weighted(*weights.of(right.as_py(), rare2.as_py()))) >= THRESHOLD)
+                    last = (x, weights.set_of(left.as_py()))
+                keep.append(similarity(last[1], weights.set_of(right.as_py())) >= THRESHOLD)
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("id").alias("y"), F.col("text").alias("right"), F.col("rare").alias("rare2")), "y")
-    both = both.join(texts.select(F.col("id").alias("x"), F.col("text").alias("left"), "rare"), "x")
-    return both.select("x", "y", "left", "rare", "right", "rare2").mapInArrow(verify, "x long, y long")
+    both = pairs.join(texts.select(F.col("id").alias("y"), F.col("text").alias("right")), "y")
+    both = both.join(texts.select(F.col("id").alias("x"), F.col("text").alias("left")), "x")
+    return both.select("x", "y", "left", "right").mapInArrow(verify, "x long, y long")
+
+
+def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many samples agree, for each row of ``x`` (a, SAMPLES) with each of ``y`` (b, SAMPLES)."""
+    out = np.zeros((len(x), len(y)), np.uint8)
+    for k in range(SAMPLES):
+        out += x[:, k, None] == y[None, :, k]
+    return out
+
+
+def all_similarities(some: list[int], sets: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Weighted Jaccard similarities of the sets numbered in ``some`` with all ``sets``, a few rows at a time."""
+    starts = np.cumsum([0, *(len(h) for h, _ in sets)])[:-1]
+    words, of = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+    weight, total = np.concatenate([w for _, w in sets]), np.array([w.sum() for _, w in sets])
+    step = max(1, CELLS // max(len(of), 1))
+    for low in range(0, len(some), step):
+        rows = some[low : low + step]
+        dense = np.zeros((len(rows), len(words)))
+        for k, i in enumerate(rows):
+            dense[k, of[starts[i] : starts[i] + len(sets[i][0])]] = sets[i][1]
+        common = np.add.reduceat(np.minimum(dense[:, of], weight), starts, axis=1)
+        yield rows, common / (total[rows][:, None] + total - common)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal ``keys``."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(key)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            now = tuple(key[a])
+            if held and now != at:
+                yield pa.Table.from_batches(held)
+                held = []
+            at = now
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _block_pairs(members: DataFrame, blocks: Column) -> DataFrame:
+    """Deal out the rows of each band in pairs of ``blocks`` blocks: columns i <= j and side (0 in block i, 1 in j, 2 where they are one)."""
+    own = F.pmod(F.xxhash64(F.lit(5), "id"), F.col("blocks"))
+    df = members.withColumn("blocks", blocks.cast("int")).withColumn("own", own.cast("int"))
+    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
+    df = df.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side")).drop("own", "other", "blocks")
+    return df.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+
+def _across(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of rows to compare with numbers of rows: all pairs across the sides of a block pair with a row outside the band's main class."""
+    side, main = group.column("side").to_numpy(), group.column("main").to_numpy()
+    if (side == 2).all():
+        yield np.flatnonzero(~main), np.arange(len(side))
+    else:
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        yield left[~main[left]], right
+        yield right[~main[right]], left[main[left]]
+
+
+def _active(members: DataFrame) -> DataFrame:
+    """band and id of the members (band, id, class, main, n, sign) that have a likely partner of another class in their band."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["band", "i", "j"]):
+            ids, of = group.column("id").to_numpy(), group.column("class").to_numpy()
+            sign = group.column("sign").combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES)
+            active = np.zeros(len(ids), bool)
+            for some, rest in _across(group):
+                step = max(1, CELLS // max(len(rest), 1))
+                for low in range(0, len(some), step):
+                    x = some[low : low + step]
+                    likely = (agreeing(sign[x], sign[rest]) >= LIKELY) & (of[x][:, None] != of[rest])
+                    active[x] |= likely.any(1)
+                    active[rest] |= likely.any(0)
+            if active.any():
+                yield pa.RecordBatch.from_pydict({"band": np.full(active.sum(), group.column("band")[0].as_py(), np.int64), "id": ids[active]})
+
+    return _block_pairs(members, F.ceil(F.col("n") / BLOCK_NODES)).mapInArrow(look, "band long, id long").distinct()
+
+
+def _linked(members: DataFrame, idf) -> DataFrame:
+    """Links (x, y) that join all members (band, id, class, main, chars, text) with a similar member of another class in their band to its class."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = idf.value
+        for group in _groups(batches, ["band", "i", "j"]):
+            ids, of = group.column("id").to_numpy(), group.column("class").to_numpy()
+            sets = [weights.set_of(t.as_py()) for t in group.column("text")]
+            root = {c: c for c in of.tolist()}
+
+            def find(c: int, root=root) -> int:
+                while root[c] != c:
+                    c = root[c] = root[root[c]]
+                return c
+
+            links = []
+            for some, rest in _across(group):
+                for rows, found in all_similarities(list(range(len(some))), [sets[i] for i in some] + [sets[i] for i in rest]) if len(some) and len(rest) else ():
+                    for k, near in zip(rows, found[:, len(some) :] >= THRESHOLD, strict=True):
+                        x = some[k]
+                        _, first = np.unique(of[rest[near]], return_index=True)  # one of each class
+                        for y in rest[near][first]:
+                            a, b = find(int(of[x])), find(int(of[y]))
+                            if a != b:
+                                root[max(a, b)] = min(a, b)
+                                links.append((int(ids[x]), int(ids[y])))
+            if links:
+                yield pa.RecordBatch.from_pydict({"x": pa.array([x for x, _ in links], pa.int64()), "y": pa.array([y for _, y in links], pa.int64())})
+
+    return _block_pairs(members, F.ceil(F.col("chars") / BLOCK_CHARS)).mapInArrow(link, "x long, y long")
 
 
 def closed(links: DataFrame, tables: Tables, old: DataFrame | None = None) -> DataFrame:
@@ -312,96 +401,70 @@ def closed(links: DataFrame, tables: Tables, old: DataFrame | None = None) -> Da
             return out
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """id, class_id and copies of every distinct doc_id: documents of a class are near duplicates, directly or by others.
+def classes(docs: DataFrame, tables: Tables) -> DataFrame:
+    """id, class_id and copies of every document of ``docs`` (__id and text): those of a class are near duplicates, directly or by others.
 
-    ``id`` is the doc_id, or where that is null a hash of the text; ``class_id`` is the least id of
-    the class and ``copies`` the rows with the id.
+    ``class_id`` is the least id of the class and ``copies`` the rows with the id.
     """
     spark = docs.sparkSession
-    tables = Tables(spark)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("null id"), "text")).alias("id"), "text")
-    weights, rare = weights_of(docs, tables)
-    idf = spark.sparkContext.broadcast(weights)
-    rows = tables.write(_signed(with_rare(docs, idf, rare, tables), idf))
+    docs = docs.select(F.col("__id").alias("id"), "text")
+    idf = spark.sparkContext.broadcast(weights_of(docs))
+    rows = tables.write(_signed(docs, idf))
     # One node for equal texts: the least id. Blank texts are nodes of their own.
-    by_text = rows.where("fp is not null").groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.first("bands").alias("bands"))
-    by_text = tables.write(by_text)
-    copied = tables.write(by_text.where("n > 1").select("fp", "node"))
-    same = join_checked(rows.where("fp is not null").select("fp", "id"), copied, "fp").select("node", "id").where("node != id").distinct()
+    by_text = tables.write(rows.where("fp is not null").groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("sign").alias("sign")))
+    copied = tables.write(by_text.where("n > 1").select("fp", F.col("id").alias("x")))
+    same = join_checked(rows.where("fp is not null").select("fp", F.col("id").alias("y")), copied, "fp").select("x", "y").where("x != y").distinct()
     # Bands that several nodes share.
-    banded = by_text.select("node", F.explode("bands").alias("band"))
-    hot = tables.write(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"))
-    shared = tables.write(join_checked(banded, hot, "band"))
-    # Texts of the nodes in them; rows of an id are one.
-    wanted = tables.write(shared.select(F.col("node").alias("id")).distinct())
-    texts = join_checked(docs, wanted, "id").groupBy("id").agg(F.min_by("text", F.struct(F.length("text") == 0, F.xxhash64("text"))).alias("text"))
-    texts = tables.write(with_rare(texts, idf, rare, tables))
-    pairs = tables.write(shared.where("node != least").select(F.col("least").alias("x"), F.col("node").alias("y")).distinct())
-    links = tables.write(_verified(pairs, texts, idf))
-    label = closed(links, tables)
-    compared, low, width = [pairs], 1, GROWTH
-    order = None
-    while True:
-        now = join_checked(shared.select("band", F.col("node").alias("id")), label, "id", "left").select("band", "id", F.coalesce("class", "id").alias("class"))
-        open_ = now.groupBy("band").agg(F.min("class").alias("c1"), F.max("class").alias("c2"), F.count("*").alias("n")).where((F.col("c1") != F.col("c2")) & (F.col("n") > low + 1))
-        open_ = tables.write(open_.select("band"))
-        if open_.isEmpty():
-            break
-        if order is None:
-            order = _ranked(join_checked(shared.select("band", "node"), open_, "band"), tables)
-        members = join_checked(order, open_, "band").withColumnRenamed("node", "id")
-        members = tables.write(join_checked(members, label, "id", "left").select("band", "rank", "id", F.coalesce("class", "id").alias("class")))
-        lead = members.where((F.col("rank") >= low) & (F.col("rank") < low + width)).select("band", F.col("rank").alias("r"), F.col("id").alias("x"), F.col("class").alias("cx"))
-        new = members.join(lead, "band").where((F.col("rank") > F.col("r")) & (F.col("class") != F.col("cx")))
-        new = new.select(F.least("x", "id").alias("x"), F.greatest("x", "id").alias("y")).distinct()
-        for old in compared:
-            new = new.join(old.select("x", "y"), ["x", "y"], "left_anti")
-        new = tables.write(new)
-        compared.append(new)
-        low, width = low + width, width * GROWTH
-        if new.isEmpty():
-            continue
-        found = tables.write(_verified(new, texts, idf))
-        if not found.isEmpty():
-            label = closed(found, tables, label)
+    key = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.slice("sign", k * ROWS + 1, F.lit(ROWS))))
+    banded = by_text.select("id", F.explode(key).alias("band"))
+    several = tables.write(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1"))
+    shared = tables.write(join_checked(banded, several, "band"))
+    signs = by_text.select("id", "sign")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return tables.write(join_checked(docs, tables.write(ids.distinct()), "id").dropDuplicates(["id"]))
+
+    # The least node of each band with the others.
+    stars = shared.where("id != least").select(F.col("least").alias("x"), F.col("id").alias("y")).distinct()
+    stars = stars.join(signs.select(F.col("id").alias("y"), F.col("sign").alias("sy")), "y").join(signs.select(F.col("id").alias("x"), F.col("sign").alias("sx")), "x")
+    agree = F.size(F.filter(F.zip_with("sx", "sy", lambda a, b: a == b), lambda same: same))
+    stars = tables.write(stars.where(agree >= LIKELY).select("x", "y"))
+    label = closed(tables.write(_verified(stars, texts_of(stars.select(F.explode(F.array("x", "y")).alias("id"))), idf)), tables)
+    # What is left between classes of a band.
+    now = tables.write(join_checked(shared.where("n > 2").select("band", "id", "n"), label, "id", "left").select("band", "id", "n", F.coalesce("class", "id").alias("class")))
+    sizes = now.groupBy("band", "class").agg(F.count("*").alias("c"))
+    open_ = tables.write(sizes.groupBy("band").agg(F.max(F.struct("c", "class")).alias("most"), F.count("*").alias("several")).where("several > 1").select("band", F.col("most.class").alias("main_class")))
+    members = join_checked(now, open_, "band").withColumn("main", F.col("class") == F.col("main_class")).drop("main_class")
+    active = tables.write(_active(members.join(signs, "id")))
+    members = join_checked(members.drop("n"), active, ["band", "id"])
+    members = tables.write(members.join(texts_of(active.select("id")), "id"))
+    chars = tables.write(members.groupBy("band").agg(F.sum(F.length("text") + 1).alias("chars")))
+    found = tables.write(_linked(join_checked(members, chars, "band"), idf))
     # Documents: their text's class, by way of the node.
-    final = closed(same.select(F.col("node").alias("x"), F.col("id").alias("y")), tables, label)
+    final = closed(found.union(same), tables, label)
     ids = rows.groupBy("id").agg(F.count("*").alias("copies"))
     return join_checked(ids, final, "id", "left").select("id", F.coalesce("class", "id").alias("class_id"), "copies")
 
 
-def _ranked(members: DataFrame, tables: Tables) -> DataFrame:
-    """band, node and the node's rank (from 0, by id) in the band.
-
-    Ranks are running counts over ranges of the hash of the id, as a band can have any number of
-    members: counts of earlier ranges are added to the rank within a range.
-    """
-    from pyspark.sql import Window
-
-    ranged = members.withColumn("range", F.pmod(F.xxhash64("node"), F.lit(64)))
-    sums = ranged.groupBy("band", "range").agg(F.count("*").alias("n"), F.min("node").alias("least"))
-    # The least node leads every band already: its range comes first, and it comes first in its range.
-    sums = sums.withColumn("first", F.min("least").over(Window.partitionBy("band")) == F.col("least"))
-    before = Window.partitionBy("band").orderBy(F.desc("first"), "range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = tables.write(sums.select("band", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
-    inside = F.row_number().over(Window.partitionBy("band", "range").orderBy("node")) - 1
-    out = join_checked(ranged.withColumn("inside", inside), sums, ["band", "range"])
-    return tables.write(out.select("band", "node", (F.col("offset") + F.col("inside")).alias("rank")))
-
-
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id and copies of every document."""
-    return classes(docs).withColumnRenamed("id", "doc_id")
+    """doc_id, class_id and copies (equal rows) of every document."""
+    tables = Tables(docs.sparkSession)
+    docs = identified(docs.select("doc_id", "text"), tables)
+    every = classes(docs, tables).select(F.col("id").alias("doc_id"), "class_id", "copies")
+    made = every.where(F.col("doc_id") >= 1 << 62)  # ids of rows whose doc_id doesn't tell them apart
+    if made.isEmpty():
+        return every
+    names = tables.write(docs.where(F.col("__id") >= 1 << 62).select(F.col("__id").alias("id"), F.col("doc_id").alias("own")).distinct())
+    return join_checked(every, names.withColumn("known", F.lit(True)), F.col("doc_id") == F.col("id"), "left").select(F.when(F.col("known"), F.col("own").cast("long")).otherwise(F.col("doc_id")).alias("doc_id"), "class_id", "copies")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class: the one with the least id. Rows repeated under an id are one document."""
+    """``docs`` with one document of each class: the one with the least id, and one of its equal rows."""
     tables = Tables(docs.sparkSession)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("null id"), "text"))
-    stays = tables.write(classes(docs).where("id = class_id").select(F.col("id").alias("__id"), (F.col("copies") > 1).alias("__repeated")))
-    out = join_checked(docs.withColumn("__id", key), stays, "__id")
-    once = out.where("not __repeated")
-    if not stays.where("__repeated").isEmpty():
-        once = once.unionByName(out.where("__repeated").dropDuplicates(["__id"]))
-    return once.select(*docs.columns)
+    out = identified(docs, tables)
+    stays = tables.write(classes(out, tables).where("id = class_id").select(F.col("id").alias("__id"), (F.col("copies") > 1).alias("__repeated")))
+    out = join_checked(out, stays, "__id")
+    once = out.where("not __repeated").select(*docs.columns)
+    if stays.where("__repeated").isEmpty():
+        return once
+    return once.unionByName(one_of_equals(out.where("__repeated"), ["__id"], docs.columns))
