@@ -2,10 +2,16 @@
 
 In a model whose pieces have whitespace markers only at their start, no piece crosses from a
 character to a following marker. A text then falls into chunks, a run of markers and the characters
-after it, that are segmented independently. Each worker keeps a table of distinct chunks with their
-ids and surface; a batch looks its chunks up, has the library segment the missing ones once, and
-joins ids back by position. Nothing is shuffled, and the table is emptied when it has
-``TABLE_CHUNKS`` entries, so memory is bounded; chunks of over ``LONG_CHUNK`` characters aren't kept.
+after it, that are segmented independently. Texts are worked on in blocks of ``BLOCK_CHARS``
+characters: the distinct chunks of a block make a table, the library segments each of them once,
+and ids are joined back by position. A worker keeps the table from block to block while it has at
+most ``TABLE_CHUNKS`` entries and never copies it; chunks of over ``LONG_CHUNK`` characters leave it
+with their block. So memory is bounded by a block and a table, and nothing is shuffled: a table for
+all of a corpus would be as large as its vocabulary, and to join it to every position would shuffle
+several times the corpus.
+
+What a chunk decodes to is compared with the chunk when it is segmented. Chunks that decode to
+anything else are kept with what they decode to, and texts without any are their own decoding.
 
 A model that doesn't allow this (pieces across markers, other normalisation than the identity, no
 dummy prefix, user-defined symbols) is given whole texts instead, with the same results.
@@ -24,8 +30,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TABLE_CHUNKS = 500_000
-LONG_CHUNK = 200
+TABLE_CHUNKS = 100_000
+LONG_CHUNK = 64
+BLOCK_CHARS = 1_000_000
 MARKER = "\u2581"
 CHUNK = re.compile(f"[ {MARKER}]+[^ {MARKER}]*")
 MODEL = "piece_bpe_32k.model"
@@ -48,7 +55,13 @@ class Encoder:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.end = self.model.eos_id()
         self.by_chunk = self._separable()
-        self.table: dict[str, tuple[str, int, str]] = {}
+        normal = [not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_unused(i)) for i in range(self.model.get_piece_size())]
+        self.surface = [self.model.id_to_piece(i) for i in range(len(normal))]
+        self.special = frozenset(i for i, n in enumerate(normal) if not n)
+        #: chunk -> its ids, decimal and joined by spaces.
+        self.table: dict[str, str] = {}
+        #: chunk -> what it decodes to, where that isn't the chunk with spaces for markers.
+        self.odd: dict[str, str] = {}
 
     def _separable(self) -> bool:
         from sentencepiece import sentencepiece_model_pb2 as proto
@@ -61,17 +74,19 @@ class Encoder:
         bpe = spec.trainer_spec.model_type == proto.TrainerSpec.BPE
         return plain and leading and bpe and spec.trainer_spec.byte_fallback and not any(p.type == p.USER_DEFINED for p in spec.pieces)
 
-    def _segment(self, chunks: list[str]) -> list[tuple[str, int, str]]:
-        """Ids (decimal, joined by spaces), their number and the surface of each chunk."""
+    def _segment(self, chunks: list[str]) -> None:
+        """Put chunks into the table."""
+        marker = self.model.piece_to_id(MARKER)
         ids = self.model.encode([c[1:] for c in chunks], num_threads=1)  # the dummy prefix is the marker left out
-        out = []
+        ids = [one or [marker] for one in ids]  # a lone marker: the library gives nothing for an empty text
+        table, surface, special = self.table, self.surface, self.special
         for chunk, one in zip(chunks, ids, strict=True):
-            if len(chunk) == 1:  # a lone marker: the library gives nothing for an empty text
-                one = [self.model.piece_to_id(MARKER)]
-                out.append((str(one[0]), 1, " "))
-            else:
-                out.append((" ".join(map(str, one)), len(one), " " + self.model.decode(one)))
-        return out
+            table[chunk] = " ".join(map(str, one))
+            if special.isdisjoint(one) and "".join([surface[i] for i in one]) == chunk.replace(" ", MARKER):
+                continue  # normal pieces decode to themselves, with spaces for markers
+            back = " " + self.model.decode(one) if len(chunk) > 1 else " "
+            if back != chunk.replace(MARKER, " "):
+                self.odd[chunk] = back
 
     def encode(self, texts: list[str]) -> list[tuple[str, int, str]]:
         """(ids with the end id, their number, decoded text) of each text."""
@@ -79,24 +94,27 @@ class Encoder:
             ids = [[*x, self.end] for x in self.model.encode(texts, num_threads=1)]
             return [(" ".join(map(str, x)), len(x), self.model.decode(x)) for x in ids]
         cut = [CHUNK.findall(" " + t) if t else [] for t in texts]
-        table = self.table
-        missing = list({c for chunks in cut for c in chunks if c not in table})
+        table, odd, end = self.table, self.odd, str(self.end)
+        distinct = set().union(*cut)
+        missing = [c for c in distinct if c not in table]
         if len(table) + len(missing) > TABLE_CHUNKS:
-            missing = list({c for chunks in cut for c in chunks})
             table.clear()
-        found = table
-        if missing:
-            new = dict(zip(missing, self._segment(missing), strict=True))
-            if len(missing) > TABLE_CHUNKS or max(map(len, missing)) > LONG_CHUNK:
-                found = {**table, **new} if len(new) < len(table) else new | table
-                table.update((c, v) for c, v in new.items() if len(c) <= LONG_CHUNK and len(table) < TABLE_CHUNKS)
-            else:
-                table.update(new)
-        end, out = str(self.end), []
-        for chunks in cut:
-            rows = [found[c] for c in chunks]
-            ids = " ".join([r[0] for r in rows])
-            out.append((f"{ids} {end}" if rows else end, sum([r[1] for r in rows]) + 1, "".join([r[2] for r in rows])[1:]))
+            odd.clear()
+            missing = list(distinct)
+        self._segment(missing)
+        out = []
+        for text, chunks in zip(texts, cut, strict=True):
+            ids = " ".join(map(table.__getitem__, chunks))
+            plain = not odd or odd.keys().isdisjoint(chunks)
+            back = text.replace(MARKER, " ") if plain else "".join([odd.get(c) or c.replace(MARKER, " ") for c in chunks])[1:]
+            out.append((f"{ids} {end}", ids.count(" ") + 2, back) if chunks else (end, 1, ""))
+        if len(table) > TABLE_CHUNKS:
+            table.clear()
+            odd.clear()
+        for c in missing:
+            if len(c) > LONG_CHUNK:
+                table.pop(c, None)
+                odd.pop(c, None)
         return out
 
 
@@ -106,7 +124,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _blocks(texts: list[str], chars: int = 2_000_000) -> Iterator[slice]:
+def _blocks(texts: list[str], chars: int = BLOCK_CHARS) -> Iterator[slice]:
     """Slices of consecutive texts of about so many characters in all."""
     start = total = 0
     for i, t in enumerate(texts):
