@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,17 +20,29 @@ def interpolated(c: Column, p: float, digits: int = 3) -> Column:
     return F.round(F.percentile(finite(c), p / 100), digits)
 
 
-def nearest_rank(c: Column, p: float) -> Column:
-    """The value at the rank p/100 * (n - 1), rounded half to even."""
-    kept = F.array_sort(F.collect_list(c))
-    return F.when(F.size(kept) > 0, F.get(kept, F.bround(F.lit(p / 100) * (F.size(kept) - 1)).cast("int")))
+def nearest(p: float):
+    """Index of the nearest rank of p percent: p/100 * (n - 1), rounded half to even."""
+    return lambda n: F.bround(F.lit(p / 100) * (n - 1)).cast("long")
 
 
-def by_index(c: Column, share: float) -> Column:
-    """The value at the index int(n * share) of the sorted values, the last at most."""
-    kept = F.array_sort(F.collect_list(c))
-    at = F.least((F.size(kept) * F.lit(share)).cast("int"), F.size(kept) - 1)
-    return F.when(F.size(kept) > 0, F.get(kept, at).cast("double"))
+def cut(share: float):
+    """The index int(n * share), the last at most."""
+    return lambda n: F.least((n * F.lit(share)).cast("long"), n - 1)
+
+
+def at_indexes(df: DataFrame, by: list[str], wanted: dict) -> DataFrame:
+    """``by`` and, for each alias of ``wanted``, the value at an index of the sorted values of a column (its name, index of n).
+
+    Equal values are counted before anything is sorted, so a group costs its distinct values and is
+    never gathered. Nulls are left out; a group without values has null.
+    """
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    values = F.array(*(F.struct(F.lit(c).alias("__c"), F.col(c).cast("double").alias("__v")) for c in columns))
+    counted = df.select(*by, F.inline(values)).where("__v is not null").groupBy(*by, "__c", "__v").agg(F.count("*").alias("__n"))
+    every = Window.partitionBy(*by, "__c")
+    ranked = counted.withColumns({"__upto": F.sum("__n").over(every.orderBy("__v")), "__all": F.sum("__n").over(every)})
+    picked = lambda c, index: F.max(F.when((F.col("__c") == c) & (F.col("__upto") > index(F.col("__all"))) & (F.col("__upto") - F.col("__n") <= index(F.col("__all"))), F.col("__v")))
+    return ranked.groupBy(*by).agg(*(picked(c, index).alias(alias) for alias, (c, index) in wanted.items()))
 
 
 def latency(c: Column, prefix: str = "") -> list[Column]:

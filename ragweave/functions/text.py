@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,10 @@ from pyspark.sql import types as T
 #: What a text is cleaned of and split at.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 LEADING = r"(?U)^[\s\x1c-\x1f.,;:!?\-—–*#>)(]+"
+#: Fixed value: the characters of SPACE.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: A character that canonical composition may change; all below U+0300 are composed.
+NOT_COMPOSED = r"[^\x{0}-\x{2FF}]"
 TOKEN = r"([\p{L}\p{N}]+)"
 TOKEN_WITH_MARKS = r"([\p{L}\p{M}\p{N}]+)"
 SENTENCE_END = r"(?U)(?<=[.!?।؟۔…])\s+"
@@ -34,15 +39,28 @@ def squeeze(c: Column) -> Column:
     return F.btrim(F.regexp_replace(c, SPACE, " "), F.lit(" "))
 
 
+@F.pandas_udf(T.StringType())
+def _compose(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in batches:
+        yield batch.str.normalize("NFC")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _compose_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in batches:
+        yield batch.map(lambda xs: None if xs is None else [None if x is None else unicodedata.normalize("NFC", x) for x in xs])
+
+
 def nfc(c: Column) -> Column:
-    """Unicode canonical composition; the JVM has no function for it."""
+    """Unicode canonical composition; the JVM has no function for it, so texts that may change go to Python as nulls stay."""
+    open_ = c.rlike(NOT_COMPOSED)
+    return F.when(open_, _compose(F.when(open_, c))).otherwise(c)
 
-    @F.pandas_udf(T.StringType())
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.str.normalize("NFC")
 
-    return run(c)
+def nfc_each(c: Column) -> Column:
+    """``nfc`` of the elements of an array."""
+    open_ = F.exists(c, lambda x: F.coalesce(x.rlike(NOT_COMPOSED), F.lit(False)))
+    return F.when(open_, _compose_all(F.when(open_, c))).otherwise(c)
 
 
 def cleaned(c: Column, leading: bool = False, compose: bool = False) -> Column:
@@ -73,7 +91,7 @@ def _split(c: Column, end: str) -> Column:
 
 def squeeze_ends(c: Column) -> Column:
     """White space stripped from both ends only."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def sentences(c: Column) -> Column:
@@ -109,9 +127,9 @@ def coverage(a: Column, b: Column) -> Column:
 
 
 def content_tokens(c: Column) -> Column:
-    """Tokens without stop words and digit runs."""
-    stop = F.array(*(F.lit(w) for w in STOP_WORDS))
-    return F.filter(tokens(c), lambda t: ~F.array_contains(stop, t) & ~t.rlike(r"^[\p{Nd}²³¹]+$"))
+    """Distinct tokens without stop words and digit runs."""
+    kept = F.array_except(tokens(c), F.array(*(F.lit(w) for w in STOP_WORDS)))
+    return F.filter(kept, lambda t: ~t.rlike(r"^[\p{Nd}²³¹]+$"))
 
 
 def script_language(c: Column) -> Column:

@@ -37,8 +37,8 @@ def sliding(n: Column, cfg: ChunkConfig) -> Column:
     return F.when(n > 0, spans).otherwise(F.array().cast(NO_SPANS))
 
 
-def structure(df: DataFrame, lengths: str, out: str, cfg: ChunkConfig) -> DataFrame:
-    """Add ``out``: spans of up to ``target_sentences`` sentences and ``target_chars`` characters.
+def structure(df: DataFrame, lengths: str, out: str, cfg: ChunkConfig, only: Column | None = None) -> DataFrame:
+    """Add ``out``: spans of up to ``target_sentences`` sentences and ``target_chars`` characters; none unless ``only``.
 
     ``lengths`` names a column of sentence lengths. How far a span from a given sentence reaches
     depends on that sentence alone: it grows while the joined length fits, a condition on prefixes.
@@ -57,7 +57,8 @@ def structure(df: DataFrame, lengths: str, out: str, cfg: ChunkConfig) -> DataFr
             end = F.when(fits, first + k).otherwise(end)
         return end
 
-    ends = F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), last)).otherwise(F.array().cast("array<int>"))
+    wanted = size > 0 if only is None else only & (size > 0)
+    ends = F.when(wanted, F.transform(F.sequence(F.lit(0), size - 1), last)).otherwise(F.array().cast("array<int>"))
     # A generator keeps the ends a column: they are indexed at each hop.
     df = df.select("*", F.inline(F.array(F.struct(ends.alias("__ends")))))
     start = F.struct(F.lit(0).alias("next"), F.array().cast(NO_SPANS).alias("spans"))
@@ -105,27 +106,27 @@ def similarities(embed: Callable[[list[str]], np.ndarray]) -> Callable[[Column],
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            lists = [list(x) for x in batch]
+            lists = [[] if x is None else list(x) for x in batch]
             flat = embed([s for x in lists for s in x]) if any(lists) else np.zeros((0, 1))
             norm = np.linalg.norm(flat, axis=1)
             unit = flat / np.where(norm > 0, norm, 1)[:, None]
             near = (unit[:-1] * unit[1:]).sum(1)
             begin = np.cumsum([0, *(len(x) for x in lists)])
-            yield pd.Series([near[a : max(a, b - 1)].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)])
+            yield pd.Series([None if x is None else near[a : max(a, b - 1)].tolist() for x, a, b in zip(batch, begin[:-1], begin[1:], strict=True)])
 
     return run
 
 
 def semantic(df: DataFrame, lengths: str, near: str, out: str, cfg: ChunkConfig) -> DataFrame:
-    """Add ``out``: spans cut where ``near`` (similarity to the next sentence) is low.
+    """Add ``out``: spans cut where ``near`` (similarity to the next sentence) is low; none where it is null.
 
     Groups that are too small join the one before; groups that are too large are cut as by
     ``structure``, which is one more pass over the groups that need it.
     """
-    size = F.size(lengths)
+    size = F.when(F.col(near).isNotNull(), F.size(lengths)).otherwise(F.lit(0))
     total = lambda s: F.aggregate(F.slice(F.col(lengths), s["first"] + 1, s["last"] - s["first"] + 1), F.lit(0), lambda a, x: a + x) + s["last"] - s["first"]
     cuts = F.filter(F.transform(near, lambda x, i: F.when(x < cfg.similarity, i + 1)), lambda i: i.isNotNull())
-    df = df.select("*", F.inline(F.array(F.struct(F.concat(F.array(F.lit(0)), cuts, F.array(size)).alias("__cuts")))))
+    df = df.select("*", F.inline(F.array(F.struct(F.concat(F.array(F.lit(0)), F.coalesce(cuts, F.array().cast("array<int>")), F.array(size)).alias("__cuts")))))
     groups = F.transform(F.sequence(F.lit(1), F.size("__cuts") - 1), lambda k: _span(F.get("__cuts", k - 1), F.get("__cuts", k) - 1))
 
     def grow(done: Column, s: Column) -> Column:
@@ -194,23 +195,17 @@ def with_spans(df: DataFrame, strategy: str, cfg: ChunkConfig | None = None, emb
         .when((n >= cfg.long_sentences) | (chars >= cfg.long_chars), "sliding:long_passage").when(n < cfg.shift_sentences, "structure:typical_multi_sentence")
     )
     df = df.select("*", F.inline(F.array(F.struct(settled.alias("__why")))))
-    none = F.lit(None).cast("array<double>")
-    known = df.where("__why is not null").withColumn("__near", none)
-    # Only passages that are still undecided reach the vectors.
-    open_ = df.where("__why is null").withColumn("__near", near("sentences"))
+    # Only passages that are still undecided reach the vectors; the others are nulls there.
+    df = df.withColumn("__near", near(F.when(F.col("__why").isNull(), F.col("sentences"))))
     low = F.size(F.filter("__near", lambda x: x < cfg.similarity))
     shift = (low > 0) & (low / F.size("__near") >= cfg.shift_share)
-    open_ = open_.withColumn("__why", F.when(shift, "semantic:topic_shift").otherwise("structure:typical_multi_sentence"))
-    parts = [
-        structure(known.where("__why like 'structure%'"), "__len", "spans", cfg),
-        known.where("__why like 'sliding%'").withColumn("spans", sliding(F.size("sentences"), cfg)),
-        structure(open_.where("__why like 'structure%'"), "__len", "spans", cfg),
-        semantic(open_.where("__why like 'semantic%'"), "__len", "__near", "spans", cfg),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumnRenamed("__why", "reason").drop("__len", "__near")
+    why = F.coalesce("__why", F.when(shift, "semantic:topic_shift").otherwise("structure:typical_multi_sentence"))
+    df = df.select("*", F.inline(F.array(F.struct(why.alias("reason"))))).drop("__why")
+    topics = F.col("reason").startswith("semantic")
+    df = df.select(*(c for c in df.columns if c != "__near"), F.when(topics, F.col("__near")).alias("__near"))
+    df = structure(semantic(df, "__len", "__near", "__topics", cfg), "__len", "__walk", cfg, F.col("reason").startswith("structure"))
+    spans = F.when(topics, F.col("__topics")).when(F.col("reason").startswith("sliding"), sliding(n, cfg)).otherwise(F.col("__walk"))
+    return df.withColumn("spans", spans).drop("__len", "__near", "__topics", "__walk")
 
 
 def chunks(df: DataFrame, strategy: str = "adaptive", cfg: ChunkConfig | None = None, embed=None) -> DataFrame:
@@ -219,8 +214,9 @@ def chunks(df: DataFrame, strategy: str = "adaptive", cfg: ChunkConfig | None =
     chunk_index counts spans, so one without text leaves a gap.
     """
     keep = [c for c in df.columns if c not in ("text", "char_length")]
-    rows = with_spans(df, strategy, cfg, embed).select(*keep, "sentences", "reason", F.posexplode("spans").alias("chunk_index", "span"))
-    rows = rows.withColumn("text", X.joined(F.slice("sentences", F.col("span.first") + 1, F.col("span.last") - F.col("span.first") + 1)))
+    text = lambda s: X.joined(F.slice("sentences", s["first"] + 1, s["last"] - s["first"] + 1))
+    made = F.transform("spans", lambda s, i: F.struct(i.alias("chunk_index"), s.alias("span"), text(s).alias("text")))
+    rows = with_spans(df, strategy, cfg, embed).select(*keep, "reason", F.inline(made))  # a chunk has its own text alone
     return rows.where("text != ''").select(
         F.concat_ws(":", F.col("document_id"), F.lit(strategy), F.col("chunk_index").cast("string")).alias("chunk_id"),
         *keep, F.col("document_id").alias("passage_id"), F.lit(strategy).alias("chunk_strategy"), "chunk_index",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ragweave.functions import measures as M
 from ragweave.functions import text as X
 from ragweave.operators import routing
+from ragweave.operators.ranking import beside, few_texts
 
 
 def per_query(ranked: DataFrame, gold: DataFrame, queries: DataFrame) -> DataFrame:
@@ -24,6 +25,35 @@ def per_query(ranked: DataFrame, gold: DataFrame, queries: DataFrame) -> DataFra
     return out.select(*queries.columns, *(value(c) for c in ("r1", "r5", "r10", "mrr")))
 
 
+def holding(docs: DataFrame, queries: DataFrame, width: int = 3) -> DataFrame:
+    """query_id and doc_id of the documents (doc_id, text) whose text contains the query's (query_id, text).
+
+    A text that holds another has its tokens in a row, but for the first and the last, which may be
+    parts of longer ones. Runs of up to ``width`` of them are hashed and joined, and what meets is
+    compared. Queries of fewer than three tokens have no such run; they are compared with all texts.
+    """
+    def runs(n: int) -> Column:
+        at = F.sequence(F.lit(1), F.size("t") - n + 1)
+        return F.when(F.size("t") >= n, F.transform(at, lambda i: F.xxhash64(F.slice("t", i, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
+
+    asked = queries.select("query_id", F.col("text").alias("qt"), X.tokens(F.col("text")).alias("q"))
+    inner = asked.where(F.size("q") > 2).select("query_id", "qt", F.slice("q", F.lit(2), F.least(F.size("q") - 2, F.lit(width))).alias("run"))
+    widths = [r["n"] for r in inner.select(F.size("run").alias("n")).distinct().collect()]  # ``width`` at most
+    keyed = inner.select("query_id", "qt", F.xxhash64("run").alias("h"))
+    rows = docs.select("doc_id", "text", F.inline(F.array(F.struct(X.tokens(F.col("text")).alias("t")))))
+    every = F.array_distinct(F.concat(F.array().cast("array<bigint>"), *(runs(n) for n in widths)))
+    if few_texts(keyed, "qt"):  # the text goes along to the comparison, in the same stage
+        met = rows.select("doc_id", "text", F.explode(every).alias("h")).join(F.broadcast(keyed), "h")
+    else:
+        pairs = rows.select("doc_id", F.explode(every).alias("h")).join(keyed.select("query_id", "h"), "h").select("query_id", "doc_id").distinct()
+        met = pairs.join(docs.select("doc_id", "text"), "doc_id").join(asked.select("query_id", "qt"), "query_id")
+    short = asked.where((F.size("q") <= 2) & F.col("qt").isNotNull())
+    found = met.select("query_id", "doc_id", "text", "qt")
+    if not short.isEmpty():
+        found = found.unionByName(beside(docs, short, F.expr("contains(text, qt)"), text="qt").select("query_id", "doc_id", "text", "qt"))
+    return found.where("contains(text, qt)").select("query_id", "doc_id")
+
+
 def metric_block() -> list[Column]:
     return [F.count("r10").alias("n"), *(M.mean_finite(F.col(c)).alias(a) for c, a in (("r1", "recall_at_1"), ("r5", "recall_at_5"), ("r10", "recall_at_10"), ("mrr", "mrr")))]
 
@@ -58,6 +88,28 @@ def gold_set(examples: DataFrame, indexed: DataFrame | None = None, include_engl
     return routing.features(rows).select("query_id", F.col("text").alias("query"), "query_language", "gold_document_ids", F.col("labelled_type").alias("query_type"), F.col("route").alias("expected_route"), "complexity", "query_source", "n_tokens", "n_chars")
 
 
+def gold_report(examples: DataFrame, indexed: DataFrame | None = None, include_english: bool = True) -> DataFrame:
+    """One row of what ``gold_set`` saw and left out: examples, those without gold or without any left, and rows by source and route."""
+    rows = gold_set(examples, indexed, include_english).agg(
+        F.count_if(F.col("query_source") == "indic").alias("indic_emitted"), F.count_if(F.col("query_source") == "english").alias("english_emitted"),
+        *(F.count_if(F.col("expected_route") == r).alias(f"{r.lower()}_emitted") for r in ("FAST", "ACCURATE", "DEEP")),
+    )
+    left = F.lit(True)
+    df = examples.select("shard_lang", "query_id", "gold_document_ids")
+    if indexed is not None:
+        kept = df.select("shard_lang", "query_id", F.explode("gold_document_ids").alias("doc_id")).join(indexed.select("doc_id"), "doc_id", "left_semi")
+        df = df.join(kept.select("shard_lang", "query_id").distinct().withColumn("__left", F.lit(True)), ["shard_lang", "query_id"], "left")
+        left = F.coalesce("__left", F.lit(False))
+    some = F.size("gold_document_ids") > 0
+    seen = df.agg(F.count("*").alias("examples_seen"), F.count_if(~some).alias("examples_without_gold"), F.count_if(some & ~left).alias("dropped_no_indexed_gold"))
+    return seen.join(F.broadcast(rows), F.lit(True))  # one row each
+
+
+def reasons(chunks: DataFrame) -> DataFrame:
+    """How many chunks each adaptive reason made."""
+    return chunks.where("adaptive_reason is not null").groupBy("adaptive_reason").agg(F.count("*").alias("chunks"))
+
+
 def stratified(rows: DataFrame, cap: int, order: list) -> DataFrame:
     """``cap`` rows taken in turn from the (language, route) groups, the groups sorted."""
     turn = Window.partitionBy("query_language", "expected_route").orderBy(*order)
@@ -70,11 +122,13 @@ def chunk_metrics(chunks: DataFrame, passages: DataFrame) -> DataFrame:
     spread = per_doc.groupBy("chunk_strategy").agg(F.round(F.avg("k"), 3).alias("chunks_per_passage"), M.interpolated(F.col("k"), 50).alias("median_chunks"), F.count("*").alias("chunked_passages"))
     sizes = chunks.groupBy("chunk_strategy").agg(
         F.count("*").alias("chunks"), F.round(F.avg("char_length"), 2).alias("avg_chars"), M.interpolated(F.col("char_length"), 50).alias("median_chars"),
-        F.min("char_length").alias("min_chars"), F.max("char_length").alias("max_chars"), M.nearest_rank(F.col("char_length"), 90).alias("p90_chars"), F.round(F.avg("sentence_count"), 3).alias("avg_sentences"),
+        F.min("char_length").alias("min_chars"), F.max("char_length").alias("max_chars"), F.round(F.avg("sentence_count"), 3).alias("avg_sentences"),
+        M.interpolated(F.col("sentence_count"), 50).alias("median_sentences"), F.min("sentence_count").alias("min_sentences"), F.max("sentence_count").alias("max_sentences"),
     )
+    ranks = M.at_indexes(chunks, ["chunk_strategy"], {"p90_chars": ("char_length", M.nearest(90))}).withColumn("p90_chars", F.col("p90_chars").cast("int"))
     total = passages.agg(F.count("*").alias("passages"), F.count_if("is_selected").alias("gold"))
     covered = passages.where("is_selected").select("document_id").distinct().join(chunks.select("chunk_strategy", "document_id").distinct(), "document_id").groupBy("chunk_strategy").agg(F.count("*").alias("covered"))
-    out = sizes.join(spread, "chunk_strategy").join(covered, "chunk_strategy", "left").join(F.broadcast(total), F.lit(True))
+    out = sizes.join(spread, "chunk_strategy").join(ranks, "chunk_strategy").join(covered, "chunk_strategy", "left").join(F.broadcast(total), F.lit(True))
     out = out.withColumns({"zero_chunk_passages": F.col("passages") - F.col("chunked_passages"), "gold_coverage_pct": F.round(100.0 * F.coalesce("covered", F.lit(0)) / F.nullif("gold", F.lit(0)), 2)})
     return out.drop("covered", "chunked_passages", "passages", "gold")
 
@@ -98,8 +152,11 @@ def length_profile(df: DataFrame, by: str) -> DataFrame:
     )
     out = [F.count("*").alias("n")]
     for c in ("chars", "words", "sentences", "paragraphs"):
-        out += [F.min(c).cast("double").alias(f"{c}_min"), *(M.by_index(F.col(c), s).alias(f"{c}_p{p}") for s, p in ((0.5, 50), (0.9, 90), (0.99, 99))), F.max(c).cast("double").alias(f"{c}_max"), F.round(F.avg(c), 2).alias(f"{c}_mean")]
-    return df.groupBy(by).agg(*out, M.share(F.col("sentences") > 1).alias("multi_sentence_pct"), M.share(F.col("paragraphs") > 1).alias("multi_paragraph_pct"))
+        out += [F.min(c).cast("double").alias(f"{c}_min"), F.max(c).cast("double").alias(f"{c}_max"), F.round(F.avg(c), 2).alias(f"{c}_mean")]
+    sums = df.groupBy(by).agg(*out, M.share(F.col("sentences") > 1).alias("multi_sentence_pct"), M.share(F.col("paragraphs") > 1).alias("multi_paragraph_pct"))
+    wanted = {f"{c}_p{p}": (c, M.cut(s)) for c in ("chars", "words", "sentences", "paragraphs") for s, p in ((0.5, 50), (0.9, 90), (0.99, 99))}
+    ranks = M.at_indexes(df, [by], wanted).withColumnRenamed(by, "__by")
+    return sums.join(ranks, F.col(by).eqNullSafe(F.col("__by"))).drop("__by")
 
 
 def field_profile(df: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def extractive(df: DataFrame, strict: bool = False) -> DataFrame:
 
     Without evidence it says insufficient_context. ``strict`` gives the same, as quoting can't get stricter.
     """
-    asked = F.array_distinct(X.content_tokens(F.col("text")))
+    asked = X.content_tokens(F.col("text"))
     df = df.select("*", F.inline(F.array(F.struct(asked.alias("__q")))))
 
     def best(k: Column, i: Column) -> Column:

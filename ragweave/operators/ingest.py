@@ -51,20 +51,56 @@ def examples(raw: DataFrame, cfg: IngestConfig | None = None) -> DataFrame:
     those without any answer.
     """
     cfg = cfg or IngestConfig()
-    df = raw.withColumn("query_id", F.expr("try_cast(query_id as bigint)")).where("query_id is not null")
+    df = _flagged(raw, cfg).where("__why is null").drop("__why")
+    made = passage_array(F.col("__pairs"), F.col("query_id"), F.col("shard_lang"), F.col("source_lang"), F.col("target_lang"), cfg)
+    df = df.withColumns({"passages": made, "raw_passage_count": F.size("__pairs"), "query": F.coalesce("query", F.lit("")), "eng_query": F.coalesce("eng_query", F.lit(""))}).drop("__pairs")
+    return with_gold(df)
+
+
+def _flagged(raw: DataFrame, cfg: IngestConfig) -> DataFrame:
+    """Cleaned rows with ``__why``: what leaves a row out (unusable_id, empty_query, no_answer), null where nothing does."""
+    df = raw.withColumn("query_id", F.expr("try_cast(query_id as bigint)"))
+    # Composed before the arrays are zipped, each array in one call.
+    df = df.withColumns({c: X.nfc(F.col(c).cast("string")) for c in ("query", "Eng_Query", "Answer", "Eng_Answer")} | {f"__{c}": X.nfc_each(F.col(f"passages.{c}")) for c in ("English_passages", "Translated_passages")})
     source, target = F.coalesce(F.nullif("source_lang", F.lit("")), F.lit("eng_Latn")), F.coalesce(F.nullif("target_lang", F.lit("")), F.col("shard_lang"))
-    pairs = aligned(F.col("passages.English_passages"), F.col("passages.Translated_passages"), F.col("passages.is_selected"))
+    pairs = aligned(F.col("__English_passages"), F.col("__Translated_passages"), F.col("passages.is_selected"))
     df = df.select(
         "query_id", "shard_lang", "split", source.alias("source_lang"), target.alias("target_lang"), X.cleaned(F.col("query")).alias("query"), X.cleaned(F.col("Eng_Query"), leading=True).alias("eng_query"),
         X.cleaned(F.col("Answer")).alias("answer"), X.cleaned(F.col("Eng_Answer")).alias("eng_answer"), F.col("query_type").cast("string").alias("query_type"), "meta", pairs.alias("__pairs"),
     )
-    if cfg.skip_empty_queries:
-        df = df.where("query is not null or eng_query is not null")
-    if cfg.drop_empty_answers:
-        df = df.where("answer is not null or eng_answer is not null")
-    made = passage_array(F.col("__pairs"), F.col("query_id"), F.col("shard_lang"), F.col("source_lang"), F.col("target_lang"), cfg)
-    df = df.withColumns({"passages": made, "raw_passage_count": F.size("__pairs"), "query": F.coalesce("query", F.lit("")), "eng_query": F.coalesce("eng_query", F.lit(""))}).drop("__pairs")
-    return with_gold(df)
+    none = F.lit(False)
+    empty = F.col("query").isNull() & F.col("eng_query").isNull() if cfg.skip_empty_queries else none
+    unanswered = F.col("answer").isNull() & F.col("eng_answer").isNull() if cfg.drop_empty_answers else none
+    return df.withColumn("__why", F.when(F.col("query_id").isNull(), "unusable_id").when(empty, "empty_query").when(unanswered, "no_answer"))
+
+
+def report(raw: DataFrame, cfg: IngestConfig | None = None) -> DataFrame:
+    """One row of what an ingest run saw, left out and gave."""
+    cfg = cfg or IngestConfig()
+    count = lambda c, name: F.count_if(c).alias(name)
+    why = F.col("__why")
+    seen = _flagged(raw, cfg).select("__why").agg(
+        F.count("*").alias("records_processed"), count(why.isNotNull(), "records_skipped"), count(why == "unusable_id", "unusable_ids"),
+        count(why == "empty_query", "empty_queries"), count(why == "no_answer", "without_any_answer"),
+    )
+    full = examples(raw, cfg)
+    df = deduped(full, cfg.dedupe_scope) if cfg.dedupe else full
+    chars = F.aggregate("passages", F.lit(0).cast("long"), lambda a, p: a + p["char_length"])
+    long = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    given = df.agg(
+        F.count("*").alias("records_emitted"), count(F.col("answer").isNull(), "empty_answers"), count(F.col("eng_answer").isNull(), "empty_eng_answers"),
+        count(F.size("passages") == 0, "without_passages"), long(F.size("passages")).alias("passages_emitted"),
+        long(F.length("query") + F.length("eng_query")).alias("query_chars"), long(chars).alias("passage_chars"),
+    )
+    before = full.agg(long(F.size("passages")).alias("__all"))
+    out = seen.join(F.broadcast(given), F.lit(True)).join(F.broadcast(before), F.lit(True))  # one row each
+    return out.withColumn("passages_deduped", F.col("__all") - F.col("passages_emitted")).drop("__all")
+
+
+def distributions(df: DataFrame) -> DataFrame:
+    """dimension (language, flores_target, query_type), value and n of clean examples, in one pass; blanks are left out."""
+    pairs = F.array(*(F.struct(F.lit(name).alias("dimension"), F.col(c).alias("value")) for name, c in (("language", "shard_lang"), ("flores_target", "target_lang"), ("query_type", "query_type"))))
+    return df.select(F.inline(pairs)).where("value is not null and value != ''").groupBy("dimension", "value").agg(F.count("*").alias("n"))
 
 
 def with_gold(df: DataFrame) -> DataFrame:

@@ -14,7 +14,14 @@ from ragweave.functions import text as X
 
 #: A query side is broadcast while it has at most so many rows; beyond, both sides are shuffled.
 BROADCAST_QUERIES = 100_000
+#: Characters of texts that are broadcast with it.
+BROADCAST_CHARS = 64_000_000
 SCORE_DIGITS = 6
+#: Why a question is reranked or not, which callers match on.
+REASONS = {
+    "fast": "route_fast", "sure": "hybrid confidence was sufficient", "unasked": "route_does_not_request",
+    "deep": "DEEP and hybrid ranking is not uniquely strong", "unsure": "hybrid ranking is ambiguous",
+}
 
 
 def _small(df: DataFrame, rows: int = BROADCAST_QUERIES) -> bool:
@@ -22,6 +29,18 @@ def _small(df: DataFrame, rows: int = BROADCAST_QUERIES) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def few_texts(df: DataFrame, text: str) -> bool:
+    """Whether ``df`` with its column ``text`` may be broadcast."""
+    found = df.limit(BROADCAST_QUERIES + 1).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars")).head()
+    return found["n"] <= BROADCAST_QUERIES and (found["chars"] or 0) <= BROADCAST_CHARS
+
+
+def beside(left: DataFrame, small: DataFrame, on, how: str = "inner", text: str | None = None) -> DataFrame:
+    """Join with a side that is usually small: it is broadcast if its rows, and the characters of its column ``text``, are within the bounds."""
+    few = few_texts(small, text) if text else _small(small)
+    return left.join(F.broadcast(small) if few else small, on, how)
+
+
 def top_k(scored: DataFrame, k: int | Column, key: str = "query_id", score: str = "score", tie: str = "doc_id") -> DataFrame:
     """The first ``k`` rows of each key by falling score, with their rank; equal scores by ``tie``.
 
@@ -43,12 +62,20 @@ class LexicalIndex:
     @classmethod
     def build(cls, docs: DataFrame, config: RetrievalConfig | None = None) -> LexicalIndex:
         cfg = config or RetrievalConfig()
-        kept = docs.where(X.squeeze_ends(F.coalesce("text", F.lit(""))) != "").select("doc_id", X.tokens(F.col("text")).alias("t"))
-        by_doc = kept.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term"))
-        postings = by_doc.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
-        corpus = kept.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_length"))
-        df = postings.groupBy("term").agg(F.count("*").alias("df"))  # the shuffle of the postings is used again
-        raw = df.join(F.broadcast(corpus), F.lit(True)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+        kept = docs.where(X.squeeze_ends(F.coalesce("text", F.lit(""))) != "")
+        sorted_ = F.array_sort(X.tokens(F.col("text")))
+        kept = kept.select("doc_id", F.inline(F.array(F.struct(sorted_.alias("t")))))
+        # The runs of the sorted tokens are the document's terms: nothing is shuffled to count them.
+        starts = F.filter(F.transform("t", lambda x, i: F.when((i == 0) | (x != F.get(F.col("t"), i - 1)), i)), lambda i: i.isNotNull())
+        kept = kept.select("*", F.inline(F.array(F.struct(starts.alias("at")))))
+        n = F.size("t")
+        run = F.transform("at", lambda i, k: F.struct(F.get(F.col("t"), i).alias("term"), (F.coalesce(F.get(F.col("at"), k + 1), n) - i).cast("long").alias("tf")))
+        postings = kept.select("doc_id", n.alias("length"), F.inline(run))
+        # One scan gives document frequencies and, under a null term, the number of documents and their length.
+        seen = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("term"), n.cast("long").alias("length"))), F.transform("at", lambda i: F.struct(F.get(F.col("t"), i).alias("term"), F.lit(0).cast("long").alias("length"))))
+        found = kept.select(F.inline(seen)).groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("total"))
+        corpus = found.where("term is null").select(F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avg_length"))  # one row
+        raw = found.where("term is not null").join(F.broadcast(corpus), F.lit(True)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
         mean = raw.agg(F.avg("raw").alias("mean_raw"))  # one row, as corpus
         idf = F.when(F.col("raw") < 0, F.lit(cfg.idf_floor) * F.col("mean_raw")).otherwise(F.col("raw"))
         terms = raw.join(F.broadcast(mean), F.lit(True)).select("term", "df", "avg_length", idf.alias("idf"))
@@ -171,8 +198,8 @@ def decisions(found: DataFrame, policy: RerankPolicy | None = None) -> DataFrame
     very = (F.col("top") >= cfg.deep_skip) & ((F.col("gap") >= cfg.min_gap) | (F.col("n_strong") <= 1))
     sure = confident(cfg)
     wants = F.col("route") != "FAST"
-    skipped = F.when(fast, "route_fast").when(deep & very, "hybrid confidence was sufficient").when(~deep & sure, "hybrid confidence was sufficient").when(~deep & ~wants, "route_does_not_request")
-    reason = F.when(deep, "DEEP and hybrid ranking is not uniquely strong").otherwise("hybrid ranking is ambiguous")
+    skipped = F.when(fast, REASONS["fast"]).when(deep & very, REASONS["sure"]).when(~deep & sure, REASONS["sure"]).when(~deep & ~wants, REASONS["unasked"])
+    reason = F.when(deep, REASONS["deep"]).otherwise(REASONS["unsure"])
     return df.withColumns({"requested": F.when(fast, F.lit(False)).when(deep, F.lit(True)).otherwise(wants), "applied": skipped.isNull(), "reason": F.coalesce(skipped, reason)})
 
 

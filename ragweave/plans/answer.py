@@ -29,16 +29,28 @@ class Answering:
     routes: RoutingConfig = field(default_factory=RoutingConfig)
     policy: RerankPolicy = field(default_factory=RerankPolicy)
     answers: AnswerConfig = field(default_factory=AnswerConfig)
+    #: What ``run`` keeps between the branches of its plan, until ``release``.
+    kept: list[DataFrame] = field(default_factory=list)
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df.persist())
+        return self.kept[-1]
+
+    def release(self) -> None:
+        """Give up what was kept, once the responses have been written."""
+        while self.kept:
+            self.kept.pop().unpersist()
 
     def hits(self, asked: DataFrame) -> DataFrame:
         """Fused hits of routed questions, with query, document text and language."""
         lists = self.retrieve(asked, int(max(p[1] for p in ranking.ROUTES.values())))
-        depth = F.broadcast(asked.select("query_id", "candidate_k", "top_k"))
-        cut = [(name, df.join(depth, "query_id").where(F.col("rank") <= F.col("candidate_k")).drop("candidate_k", "top_k")) for name, df in lists]
-        fused = ranking.fuse(cut, self.retrieval.rrf_k, F.lit(1 << 30)).join(depth, "query_id").where(F.col("rank") <= F.col("top_k"))
+        depth = asked.select("query_id", "candidate_k", "top_k")
+        cut = [(name, ranking.beside(df, depth, "query_id").where(F.col("rank") <= F.col("candidate_k")).drop("candidate_k", "top_k")) for name, df in lists]
+        fused = ranking.fuse(cut, self.retrieval.rrf_k, F.lit(1 << 30))
+        fused = ranking.beside(fused, depth, "query_id").where(F.col("rank") <= F.col("top_k"))
         texts = self.docs.select("doc_id", "text", "language")
-        named = F.broadcast(asked.select("query_id", F.col("text").alias("query"), "rerank_top_n"))
-        return fused.join(texts, "doc_id").join(named, "query_id").withColumn("score", F.col("rrf"))
+        named = asked.select("query_id", F.col("text").alias("query"), "rerank_top_n")
+        return ranking.beside(fused.join(texts, "doc_id"), named, "query_id", text="query").withColumn("score", F.col("rrf"))
 
     def run(self, questions: DataFrame) -> DataFrame:
         """One response per question (query_id, text): status, answer, sources, route and how it came about."""
@@ -46,18 +58,18 @@ class Answering:
         stable_unions(spark)
         blank = questions.where(X.squeeze_ends(F.coalesce("text", F.lit(""))) == "")
         asked = routing.features(questions.where(X.squeeze_ends(F.coalesce("text", F.lit(""))) != ""), self.routes)
-        asked = asked.join(F.broadcast(ranking.route_plans(spark)), "route")
-        hits = self.hits(asked).persist()  # top_k rows a question, read by five branches
+        asked = asked.join(F.broadcast(ranking.route_plans(spark)), "route")  # three rows
+        hits = self._keep(self.hits(asked))  # top_k rows a question, read by five branches
         decided = ranking.decisions(asked.join(ranking.signals(hits, self.policy), "query_id", "left"), self.policy)
         flag = decided.select("query_id", "applied")
         marked = hits.join(flag, "query_id")
         # Only the hits to rescore reach the reranker.
         again = self.rerank(marked.where("applied"), F.col("rerank_top_n")).withColumn("score", F.col("rerank_score")).drop("rerank_score")
         final = marked.where("not applied").unionByName(again)
-        final = final.persist()
+        final = self._keep(final)
         gated = guardrails.gate(decided, final, self.answers)
         packed = guardrails.evidence(final, self.answers)
-        ready = gated.join(packed, "query_id", "left").withColumn("strict_overlap", F.when(F.col("strict"), F.lit(self.routes.strict_overlap))).persist()
+        ready = self._keep(gated.join(packed, "query_id", "left").withColumn("strict_overlap", F.when(F.col("strict"), F.lit(self.routes.strict_overlap))))
         open_ = ready.where(F.col("sufficient") & (F.size("items") > 0))
         first = self._answered(open_, False)
         good = first.where("verified or status != 'grounded'")

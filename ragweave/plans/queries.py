@@ -206,7 +206,7 @@ def raw_examples(spark, sf_dir) -> DataFrame:
 
 
 _PASSAGES = f"""{_LISTS}, p AS (
-SELECT conv_id AS query_id, CASE WHEN conv_id % 2 = 0 THEN 'hi' ELSE 'ta' END AS shard_lang, i AS passage_index, selected, nullif({_squeeze('en')}, '') AS t1, nullif({_squeeze('tr')}, '') AS t2 FROM rows WHERE conv_id % 11 <> 0),
+SELECT conv_id AS query_id, CASE WHEN conv_id % 2 = 0 THEN 'hi' ELSE 'ta' END AS shard_lang, i AS passage_index, selected, nullif({_squeeze('nfc_normalize(en)')}, '') AS t1, nullif({_squeeze('nfc_normalize(tr)')}, '') AS t2 FROM rows WHERE conv_id % 11 <> 0),
 passages AS (SELECT query_id, shard_lang, passage_index, 'en' AS language, 'english' AS passage_source, t1 AS text, selected FROM p WHERE t1 IS NOT NULL
 UNION ALL SELECT query_id, shard_lang, passage_index, shard_lang, 'translated', t2, selected FROM p WHERE t2 IS NOT NULL)"""
 
@@ -227,6 +227,26 @@ def ingest_counts(spark, sf_dir):
     return ingest.counts(ingest.examples(raw_examples(spark, sf_dir), IngestConfig(skip_empty_queries=False)))
 
 
+@query("ingest_report", f"""WITH {_PASSAGES}, ex AS (SELECT conv_id AS query_id, {_squeeze('nfc_normalize(tr[1])')} AS answer, CASE WHEN conv_id % 5 = 0 THEN '' ELSE coalesce({_squeeze('nfc_normalize(tr[1])')}, '') END AS native,
+  coalesce({_squeeze("regexp_replace(" + _squeeze("nfc_normalize('. ' || en[1])") + ", '^[" + _S[1:-1] + ".,;:!?—–*#>)(-]+', '')")}, '') AS eng FROM lists WHERE conv_id % 11 <> 0),
+good AS (SELECT * FROM ex WHERE native <> '' OR eng <> ''),
+k AS (SELECT p.*, row_number() OVER (PARTITION BY language, replace(lower(text), 'ß', 'ss') ORDER BY shard_lang, query_id, passage_index, passage_source) AS n FROM passages p JOIN good USING (query_id)),
+per AS (SELECT good.query_id, count(k.query_id) FILTER (n = 1) AS kept, coalesce(sum(length(text)) FILTER (n = 1), 0) AS chars FROM good LEFT JOIN k USING (query_id) GROUP BY 1)
+SELECT (SELECT count(*) FROM lists) AS records_processed, (SELECT count(*) FROM lists) - count(*) AS records_skipped, (SELECT count(*) FROM lists WHERE conv_id % 11 = 0) AS unusable_ids, (SELECT count(*) FROM ex) - count(*) AS empty_queries, CAST(0 AS BIGINT) AS without_any_answer,
+  count(*) AS records_emitted, count(*) FILTER (coalesce(answer, '') = '') AS empty_answers, count(*) AS empty_eng_answers, (SELECT count(*) FROM k WHERE n > 1) AS passages_deduped, count(*) FILTER (kept = 0) AS without_passages,
+  CAST(sum(kept) AS BIGINT) AS passages_emitted, CAST(sum(length(native) + length(eng)) AS BIGINT) AS query_chars, CAST(sum(chars) AS BIGINT) AS passage_chars FROM good JOIN per USING (query_id)""")
+def ingest_report(spark, sf_dir):
+    """What an ingest run with global passage dedup saw, left out and gave."""
+    return ingest.report(raw_examples(spark, sf_dir), IngestConfig(dedupe=True))
+
+
+@query("ingest_distributions", f"""WITH {_LISTS}, ex AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'hi' ELSE 'ta' END AS lang, CASE WHEN conv_id % 3 = 0 THEN 'DESCRIPTION' END AS kind FROM lists WHERE conv_id % 11 <> 0)
+SELECT 'language' AS dimension, lang AS value, count(*) AS n FROM ex GROUP BY 2 UNION ALL SELECT 'flores_target', lang, count(*) FROM ex GROUP BY 2 UNION ALL SELECT 'query_type', kind, count(*) FROM ex WHERE kind IS NOT NULL GROUP BY 2""")
+def ingest_distributions(spark, sf_dir):
+    """Examples by language, target language and query type."""
+    return ingest.distributions(ingest.examples(raw_examples(spark, sf_dir), IngestConfig(skip_empty_queries=False)))
+
+
 @query("ingest_deduped", f"""WITH {_PASSAGES}, k AS (SELECT *, row_number() OVER (PARTITION BY language, replace(lower(text), 'ß', 'ss') ORDER BY shard_lang, query_id, passage_index, passage_source) AS n FROM passages)
 SELECT query_id, count(*) AS kept, count(*) FILTER (selected) AS gold FROM k WHERE n = 1 GROUP BY query_id""")
 def ingest_deduped(spark, sf_dir):
@@ -319,7 +339,7 @@ d AS (SELECT chunk_strategy, document_id, count(*) AS k, bool_or(is_selected) AS
 e AS (SELECT chunk_strategy, round(avg(k), 3) AS chunks_per_passage, round(quantile_cont(k, 0.5), 3) AS median_chunks, count(*) AS docs, count(*) FILTER (g) AS gold FROM d GROUP BY 1),
 t AS (SELECT count(*) AS n, count(*) FILTER (is_selected) AS gold FROM sent)
 SELECT c.chunk_strategy, count(*) AS chunks, round(avg(n), 2) AS avg_chars, round(quantile_cont(n, 0.5), 3) AS median_chars, CAST(min(n) AS INT) AS min_chars, CAST(max(n) AS INT) AS max_chars,
-  CAST(list_sort(list(n))[CAST(round_even(0.9 * (count(*) - 1), 0) AS INT) + 1] AS INT) AS p90_chars, round(avg(c.k), 3) AS avg_sentences, any_value(e.chunks_per_passage) AS chunks_per_passage, any_value(e.median_chunks) AS median_chunks,
+  CAST(list_sort(list(n))[CAST(round_even(0.9 * (count(*) - 1), 0) AS INT) + 1] AS INT) AS p90_chars, round(avg(c.k), 3) AS avg_sentences, round(quantile_cont(c.k, 0.5), 3) AS median_sentences, CAST(min(c.k) AS INT) AS min_sentences, CAST(max(c.k) AS INT) AS max_sentences, any_value(e.chunks_per_passage) AS chunks_per_passage, any_value(e.median_chunks) AS median_chunks,
   any_value((SELECT n FROM t) - e.docs) AS zero_chunk_passages, any_value(round(100.0 * e.gold / (SELECT gold FROM t), 2)) AS gold_coverage_pct
 FROM c JOIN e USING (chunk_strategy) GROUP BY 1""")
 def chunk_metrics(spark, sf_dir):
@@ -384,7 +404,8 @@ def rerank_signals(spark, sf_dir):
   FROM hits h JOIN benchmark b ON b.item_id = h.query_id JOIN documents d USING (doc_id))
 SELECT query_id, doc_id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, old) AS rank FROM r""")
 def lexical_rerank(spark, sf_dir):
-    hits = _hybrid(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", "text"), "doc_id").join(F.broadcast(questions(spark, sf_dir).withColumnRenamed("text", "query")), "query_id")
+    hits = _hybrid(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    hits = ranking.beside(hits, questions(spark, sf_dir).withColumnRenamed("text", "query"), "query_id", text="query")
     return ranking.rerank_lexical(hits, 12).select("query_id", "doc_id", "rerank_score", "rank")
 
 
@@ -425,7 +446,13 @@ def query_route(spark, sf_dir):
     return _features(spark, sf_dir).select("conv_id", "turn", "query_type", "route", "complexity")
 
 
-@query("query_entities")
+_ENTITIES = r"""SELECT conv_id, turn, CAST(len(list_distinct(list_concat(
+  list_transform(list_filter(string_split(regexp_replace(regexp_replace(q, '([\p{L}\p{N}\p{M}_]+)', chr(1) || '\1' || chr(2), 'g'), '\x01([A-Z][a-zA-Z]{2,})\x02((\s+\x01[A-Z][a-zA-Z]{2,}\x02)*)', chr(3) || chr(4) || '\1\2' || chr(3), 'g'), chr(3)), lambda x: x LIKE chr(4) || '%'), lambda x: regexp_replace(x, '[\x01\x02\x04]', '', 'g')),
+  list_filter(list_transform(regexp_extract_all(q, '["“”'']([^"“”'']+)["“”'']', 1), lambda x: trim(x)), lambda x: x <> '')))) AS INT) AS n_entities,
+  CASE WHEN regexp_matches(q, '\p{L}') THEN 'en' ELSE 'und' END AS language FROM (SELECT conv_id, turn, text AS q FROM conversations)"""
+
+
+@query("query_entities", _ENTITIES)
 def query_entities(spark, sf_dir):
     return _features(spark, sf_dir).select("conv_id", "turn", "n_entities", "language")
 
@@ -450,10 +477,12 @@ def route_examples(spark, sf_dir):
 _BENCH_FEATURES = _FEATURES.replace("conv_id, turn", "item_id").replace("FROM conversations", "FROM benchmark")
 
 
-@query("rerank_decision", f"""WITH {_HYBRID}, {_SIGNALS}, {_BENCH_FEATURES},
-s AS (SELECT f.item_id AS query_id, f.route, coalesce(top, 0) AS top, coalesce(gap, 0) AS gap, coalesce(n_strong, 0) AS n_strong FROM feat f LEFT JOIN sig ON sig.query_id = f.item_id),
+_DECIDED = """s AS (SELECT f.item_id AS query_id, f.route, coalesce(top, 0) AS top, coalesce(gap, 0) AS gap, coalesce(n_strong, 0) AS n_strong FROM feat f LEFT JOIN sig ON sig.query_id = f.item_id),
 d AS (SELECT *, CASE WHEN route = 'FAST' THEN 'route_fast' WHEN route = 'DEEP' AND top >= 0.04 AND (gap >= 0.006 OR n_strong <= 1) THEN 'hybrid confidence was sufficient'
-  WHEN route = 'ACCURATE' AND top >= 0.028 AND NOT (gap < 0.006 AND n_strong > 1) AND n_strong <= 2 THEN 'hybrid confidence was sufficient' END AS skip FROM s)
+  WHEN route = 'ACCURATE' AND top >= 0.028 AND NOT (gap < 0.006 AND n_strong > 1) AND n_strong <= 2 THEN 'hybrid confidence was sufficient' END AS skip FROM s)"""
+
+
+@query("rerank_decision", f"""WITH {_HYBRID}, {_SIGNALS}, {_BENCH_FEATURES}, {_DECIDED}
 SELECT query_id, route, route <> 'FAST' AS requested, skip IS NULL AS applied, coalesce(skip, CASE WHEN route = 'DEEP' THEN 'DEEP and hybrid ranking is not uniquely strong' ELSE 'hybrid ranking is ambiguous' END) AS reason FROM d""")
 def rerank_decision(spark, sf_dir):
     asked = routing.features(questions(spark, sf_dir))
@@ -478,7 +507,22 @@ def sufficiency_gate(spark, sf_dir):
     return guardrails.gate(asked, _hits(spark, sf_dir)).select("query_id", "gate_reason", "sufficient")
 
 
-@query("evidence_pack")
+_PACK = f"""{_HYBRID},
+h AS (SELECT query_id, rank, doc_id, {_strip('d.text')} AS x, list_distinct({_tokens('d.text')}) AS t FROM hits JOIN documents d USING (doc_id) WHERE {_strip('d.text')} <> ''),
+n AS (SELECT query_id, doc_id, x, t, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM h),
+pack(query_id, i, ids, kept, chars, dropped, truncated) AS (
+  SELECT DISTINCT query_id, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[][]), CAST(0 AS BIGINT), 0, false FROM n
+  UNION ALL
+  SELECT query_id, i, CASE WHEN take THEN list_append(ids, CAST(doc_id AS VARCHAR)) ELSE ids END, CASE WHEN take THEN list_append(kept, t) ELSE kept END, CASE WHEN take THEN chars + length(x) ELSE chars END,
+    dropped + CASE WHEN NOT truncated AND same THEN 1 ELSE 0 END, truncated OR (NOT same AND full_)
+  FROM (SELECT *, NOT truncated AND NOT same AND NOT full_ AS take FROM (
+    SELECT p.query_id, n.i, p.ids, p.kept, p.chars, p.dropped, p.truncated, n.doc_id, n.x, n.t,
+      len(list_filter(p.kept, lambda k: len(k) > 0 AND len(n.t) > 0 AND len(list_intersect(k, n.t)) / (len(k) + len(n.t) - len(list_intersect(k, n.t))) >= 0.85)) > 0 AS same,
+      len(p.ids) >= 5 OR (p.chars + length(n.x) > 3500 AND len(p.ids) > 0) AS full_
+    FROM pack p JOIN n ON n.query_id = p.query_id AND n.i = p.i + 1)))"""
+
+
+@query("evidence_pack", f"WITH RECURSIVE {_PACK} SELECT query_id, array_to_string(ids, ',') AS doc_ids, dropped, truncated FROM pack QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i DESC) = 1")
 def evidence_pack(spark, sf_dir):
     e = guardrails.evidence(_hits(spark, sf_dir))
     return e.select("query_id", F.array_join(F.transform("items", lambda k: k["doc_id"].cast("string")), ",").alias("doc_ids"), "dropped", "truncated")
@@ -496,7 +540,7 @@ u AS (SELECT conv_id, turn, i - 1 AS i, claims[i] AS claim, ev FROM a, range(1,
 o AS (SELECT *, round(CASE WHEN len(ev) > 0 AND len({_content('claim')}) > 0 THEN len(list_intersect({_content('claim')}, ev)) / len({_content('claim')}) ELSE 0.0 END, 6) AS overlap FROM u)
 SELECT conv_id, turn, i, claim, overlap, CASE WHEN overlap >= 0.12 THEN 'supported' WHEN overlap >= 0.06 THEN 'uncertain' ELSE 'unsupported' END AS label FROM o""")
 def grounding_verdicts(spark, sf_dir):
-    d = documents(spark, sf_dir).select(F.col("doc_id").alias("conv_id"), F.array_distinct(X.content_tokens(F.col("text"))).alias("ev"))
+    d = documents(spark, sf_dir).select(F.col("doc_id").alias("conv_id"), X.content_tokens(F.col("text")).alias("ev"))
     c = table(spark, sf_dir, "conversations").join(d, "conv_id").select("conv_id", "turn", "ev", X.claims(F.col("text")).alias("claims"))
     rows = c.select("conv_id", "turn", F.posexplode(guardrails.verdicts(F.col("claims"), F.col("ev"), 0.12)).alias("i", "v"))
     return rows.select("conv_id", "turn", F.col("i").cast("long").alias("i"), "v.claim", "v.overlap", "v.label")
@@ -524,8 +568,7 @@ def answer_plan(spark, sf_dir):
 
 def _gold(spark, sf_dir) -> DataFrame:
     """Documents that hold a question's text are its gold."""
-    q = questions(spark, sf_dir)
-    return documents(spark, sf_dir).join(F.broadcast(q.withColumnRenamed("text", "qt")), F.expr("contains(text, qt)")).select("query_id", "doc_id")
+    return evaluation.holding(documents(spark, sf_dir), questions(spark, sf_dir))
 
 
 _GOLD = "gold AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -546,13 +589,14 @@ def recall_mrr(spark, sf_dir):
     return _per_query(spark, sf_dir).select("query_id", "r1", "r5", "r10", F.round("mrr", 6).alias("mrr"))
 
 
-@query("metric_breakdown", f"""WITH {_PER}, {_BENCH_FEATURES}, e AS (SELECT per.*, feat.route, feat.query_type FROM per JOIN feat ON feat.item_id = per.query_id),
-u AS (SELECT 'all' AS dimension, 'all' AS value, * FROM e UNION ALL SELECT 'route', route, * FROM e UNION ALL SELECT 'query_type', query_type, * FROM e)
+@query("metric_breakdown", f"""WITH {_PER}, {_BENCH_FEATURES}, e AS (SELECT per.*, feat.route, feat.query_type, CASE feat.route WHEN 'DEEP' THEN 'complex' WHEN 'ACCURATE' THEN 'moderate' ELSE 'simple' END AS complexity, CASE WHEN regexp_matches(feat.q, '\\p{{L}}') THEN 'en' ELSE 'und' END AS language FROM per JOIN feat ON feat.item_id = per.query_id),
+u AS (SELECT 'all' AS dimension, 'all' AS value, * FROM e UNION ALL SELECT 'route', route, * FROM e UNION ALL SELECT 'query_type', query_type, * FROM e
+  UNION ALL SELECT 'complexity', complexity, * FROM e UNION ALL SELECT 'language', language, * FROM e)
 SELECT dimension, value, count(r10) AS n, round(avg(r1), 4) AS recall_at_1, round(avg(r5), 4) AS recall_at_5, round(avg(r10), 4) AS recall_at_10, round(avg(mrr), 4) AS mrr,
   round(avg(lat), 3) AS lat_mean, round(quantile_cont(lat, 0.5), 3) AS lat_p50, round(quantile_cont(lat, 0.7), 3) AS lat_p70, CAST(max(lat) AS DOUBLE) AS lat_p100 FROM u GROUP BY 1, 2""")
 def metric_breakdown(spark, sf_dir):
     rows = routing.features(_per_query(spark, sf_dir))
-    return evaluation.breakdowns(rows, ["route", "query_type"], M.latency(F.col("n_chars"), "lat_"))
+    return evaluation.breakdowns(rows, ["route", "query_type", "complexity", "language"], M.latency(F.col("n_chars"), "lat_"))
 
 
 @query("latency_summary", """SELECT event_type, round(avg(value), 3) AS mean, round(quantile_cont(value, 0.5), 3) AS p50, round(quantile_cont(value, 0.7), 3) AS p70, round(max(value), 3) AS p100 FROM events GROUP BY 1""")
@@ -562,7 +606,8 @@ def latency_summary(spark, sf_dir):
 
 @query("nearest_rank_p90", "SELECT lang AS language, list_sort(list(n_chars))[CAST(round_even(0.9 * (count(*) - 1), 0) AS INT) + 1] AS p90 FROM documents GROUP BY lang")
 def nearest_rank_p90(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("language")).agg(M.nearest_rank(F.col("n_chars"), 90).alias("p90"))
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("language"), "n_chars")
+    return M.at_indexes(rows, ["language"], {"p90": ("n_chars", M.nearest(90))}).withColumn("p90", F.col("p90").cast("long"))
 
 
 def _index_sql(c: str) -> str:
@@ -578,16 +623,36 @@ def index_percentiles(spark, sf_dir):
     return evaluation.length_profile(documents(spark, sf_dir), "language")
 
 
+_EVAL = f"""{_PASSAGES}, ex AS (SELECT conv_id AS query_id, CASE WHEN conv_id % 2 = 0 THEN 'hi' ELSE 'ta' END AS shard_lang, CASE WHEN conv_id % 3 = 0 THEN 'DESCRIPTION' ELSE '' END AS labelled,
+  coalesce(CASE WHEN conv_id % 5 = 0 THEN '' ELSE {_squeeze('nfc_normalize(tr[1])')} END, '') AS native,
+  coalesce({_squeeze("regexp_replace(" + _squeeze("nfc_normalize('. ' || en[1])") + ", '^[" + _S[1:-1] + ".,;:!?—–*#>)(-]+', '')")}, '') AS eng FROM lists WHERE conv_id % 11 <> 0),
+gold_of AS (SELECT query_id, string_agg(query_id || ':' || passage_index || ':' || language, ',' ORDER BY passage_index, passage_source) AS gold_document_ids FROM passages WHERE selected GROUP BY 1),
+asked AS (SELECT query_id, shard_lang AS query_language, labelled, gold_document_ids, 'indic' AS query_source, native AS text FROM ex JOIN gold_of USING (query_id) WHERE native <> '' OR eng <> ''
+  UNION ALL SELECT query_id, 'en', labelled, gold_document_ids, 'english', eng FROM ex JOIN gold_of USING (query_id) WHERE eng <> native),
+ask AS (SELECT *, query_id AS conv_id, row_number() OVER () AS turn FROM asked WHERE text <> '')"""
+_EVAL_FEATURES = _FEATURES.replace("conv_id, turn", "conv_id, turn, query_source, query_language, labelled, gold_document_ids").replace("FROM conversations", "FROM ask")
+
+
 def _eval_examples(spark, sf_dir) -> DataFrame:
     return ingest.examples(raw_examples(spark, sf_dir))
 
 
-@query("eval_build")
+@query("eval_build", f"""WITH {_EVAL}, {_EVAL_FEATURES} SELECT conv_id AS query_id, q AS query, query_language, gold_document_ids, labelled AS query_type, route AS expected_route,
+  CASE route WHEN 'DEEP' THEN 'complex' WHEN 'ACCURATE' THEN 'moderate' ELSE 'simple' END AS complexity, query_source, n_tokens, n_chars FROM feat""")
 def eval_build(spark, sf_dir):
     rows = evaluation.gold_set(_eval_examples(spark, sf_dir))
     return rows.withColumn("gold_document_ids", F.array_join("gold_document_ids", ","))
 
 
+@query("eval_report", f"""WITH {_EVAL}, {_EVAL_FEATURES} SELECT (SELECT count(*) FROM ex WHERE native <> '' OR eng <> '') AS examples_seen,
+  (SELECT count(*) FROM ex WHERE (native <> '' OR eng <> '') AND query_id NOT IN (SELECT query_id FROM gold_of)) AS examples_without_gold, CAST(0 AS BIGINT) AS dropped_no_indexed_gold,
+  count(*) FILTER (query_source = 'indic') AS indic_emitted, count(*) FILTER (query_source = 'english') AS english_emitted,
+  count(*) FILTER (route = 'FAST') AS fast_emitted, count(*) FILTER (route = 'ACCURATE') AS accurate_emitted, count(*) FILTER (route = 'DEEP') AS deep_emitted FROM feat""")
+def eval_report(spark, sf_dir):
+    """What building the evaluation set saw and left out."""
+    return evaluation.gold_report(_eval_examples(spark, sf_dir))
+
+
 @query("stratified_cap", f"WITH {_FEATURES}, t AS (SELECT conv_id, turn, role, route, row_number() OVER (PARTITION BY role, route ORDER BY conv_id, turn) AS rn FROM feat JOIN conversations USING (conv_id, turn)) SELECT conv_id, turn, role AS query_language, route AS expected_route FROM t ORDER BY rn, role, route LIMIT 20")
 def stratified_cap(spark, sf_dir):
     rows = _features(spark, sf_dir).select("conv_id", F.col("turn").alias("t"), F.col("role").alias("query_language"), F.col("route").alias("expected_route"))
@@ -617,12 +682,22 @@ def query_id_profile(spark, sf_dir):
     return table(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.countDistinct(i).alias("distinct_ids"), (F.count("*") - F.countDistinct(i)).alias("repeated_ids"), F.min(i).alias("least"), F.max(i).alias("greatest"))
 
 
-@query("policy_comparison")
+_RERANKED = f"""r AS (SELECT h.query_id, h.doc_id, row_number() OVER (PARTITION BY h.query_id ORDER BY round(len(list_intersect(list_distinct({_tokens('b.text')}), list_distinct({_tokens('d.text')}))) / len(list_distinct({_tokens('b.text')})), 6) DESC, h.rank) AS rank
+  FROM hits h JOIN benchmark b ON b.item_id = h.query_id JOIN documents d USING (doc_id))"""
+
+
+@query("policy_comparison", f"""WITH {_HYBRID}, {_SIGNALS}, {_BENCH_FEATURES}, {_GOLD}, {_RERANKED}, {_DECIDED},
+f AS (SELECT v.strategy, d.query_id, CASE v.strategy WHEN 'always' THEN true WHEN 'never' THEN false ELSE d.skip IS NULL END AS applied FROM d, (VALUES ('always'), ('never'), ('adaptive')) v(strategy)),
+a AS (SELECT f.strategy, f.query_id, r.doc_id, r.rank FROM f JOIN r ON r.query_id = f.query_id WHERE applied UNION ALL SELECT f.strategy, f.query_id, h.doc_id, h.rank FROM f JOIN hits h ON h.query_id = f.query_id WHERE NOT applied),
+m AS (SELECT strategy, query_id, min(rank) AS best FROM a JOIN gold USING (query_id, doc_id) GROUP BY ALL),
+q AS (SELECT f.strategy, f.applied, f.query_id IN (SELECT query_id FROM gold) AS has, best FROM f LEFT JOIN m USING (strategy, query_id))
+SELECT strategy, count(*) FILTER (has) AS n, round(avg(CASE WHEN best <= 1 THEN 1.0 ELSE 0.0 END) FILTER (has), 4) AS recall_at_1, round(avg(CASE WHEN best <= 5 THEN 1.0 ELSE 0.0 END) FILTER (has), 4) AS recall_at_5,
+  round(avg(CASE WHEN best <= 10 THEN 1.0 ELSE 0.0 END) FILTER (has), 4) AS recall_at_10, round(avg(coalesce(1.0 / best, 0)) FILTER (has), 4) AS mrr, round(100.0 * count(*) FILTER (applied) / count(*), 1) AS pct_reranked FROM q GROUP BY 1""")
 def policy_comparison(spark, sf_dir):
     """Recall and share of reranked questions when reranking always, never and by the policy."""
     stable_unions(spark)
     q = questions(spark, sf_dir)
-    hits = _hits(spark, sf_dir).join(F.broadcast(q.withColumnRenamed("text", "query")), "query_id")
+    hits = ranking.beside(_hits(spark, sf_dir), q.withColumnRenamed("text", "query"), "query_id", text="query")
     flags = rerank_decision(spark, sf_dir).select("query_id", "applied")
     policies = F.array(*(F.struct(F.lit(n).alias("strategy"), f.alias("applied")) for n, f in (("always", F.lit(True)), ("never", F.lit(False)), ("adaptive", F.col("applied")))))
     flags = flags.select(F.col("query_id").alias("id"), F.inline(policies))
@@ -650,7 +725,7 @@ def system_comparison(spark, sf_dir):
     q = questions(spark, sf_dir)
     lists = hybrid_lists(spark, sf_dir, q, 20)
     fused = ranking.fuse(lists)
-    hits = fused.join(documents(spark, sf_dir).select("doc_id", "text"), "doc_id").join(F.broadcast(q.withColumnRenamed("text", "query")), "query_id")
+    hits = ranking.beside(fused.join(documents(spark, sf_dir).select("doc_id", "text"), "doc_id"), q.withColumnRenamed("text", "query"), "query_id", text="query")
     systems = [*((name, df.where("rank <= 10")) for name, df in lists), ("hybrid", fused), ("hybrid+rerank", ranking.rerank_lexical(hits, 12))]
     named = lambda name, c: F.concat(F.lit(f"{name}:"), F.col(c).cast("string"))
     ranked = gold = asked = None

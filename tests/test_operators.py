@@ -242,8 +242,11 @@ def test_gold_set(spark):
 
 def test_percentiles(spark):
     df = spark.createDataFrame([(float(x),) for x in (10, 20, 30, 40)] + [(float("nan"),)], "v double")
-    r = df.agg(*M.latency(F.col("v")), M.nearest_rank(F.when(~F.isnan("v"), F.col("v")), 90).alias("n"), M.by_index(F.when(~F.isnan("v"), F.col("v")), 0.5).alias("i")).head()
-    assert tuple(r) == (25.0, 25.0, 31.0, 40.0, 40.0, 30.0)
+    assert tuple(df.agg(*M.latency(F.col("v"))).head()) == (25.0, 25.0, 31.0, 40.0)
+    rows = [("a", float(x)) for x in (10, 20, 30, 40)] + [("a", None), ("b", None), (None, 1.0), (None, 1.0), (None, 9.0)]
+    by = spark.createDataFrame(rows, "g string, v double")
+    got = M.at_indexes(by, ["g"], {"n": ("v", M.nearest(90)), "i": ("v", M.cut(0.5)), "z": ("v", M.cut(0.99))}).collect()
+    assert {tuple(r) for r in got} == {("a", 40.0, 30.0, 40.0), (None, 9.0, 1.0, 9.0)}
 
 
 def test_catalog(spark, tmp_path):
@@ -293,3 +296,59 @@ def test_environment(monkeypatch):
     monkeypatch.setenv("RAGWEAVE_TOP_K", "3")
     monkeypatch.setenv("RAGWEAVE_K1", " ")
     assert RetrievalConfig.from_env() == RetrievalConfig(top_k=3)
+
+
+def test_composition(spark):
+    """Decomposed letters are composed everywhere before anything is compared, also inside the arrays."""
+    decomposed, composed = "क़ café", "क़ café"
+    row = {"query_id": "1", "query": f"{decomposed}?", "Eng_Query": f". {decomposed}", "Answer": "é", "Eng_Answer": None, "passages": {"English_passages": [decomposed, "plain", None], "Translated_passages": [composed, decomposed, "x"], "is_selected": ["1", "0", "0"]}}
+    r = ingest.examples(raw(spark, row)).head()
+    assert (r["query"], r["eng_query"], r["answer"], r["eng_answer"]) == (f"{composed}?", composed, "é", None)
+    assert [p["text"] for p in r["passages"]] == [composed, composed, "plain", composed, "x"]
+    got = spark.createDataFrame([(t,) for t in ("가", "é", "é", "a", "", None, "̈́", "Ω")], "t string").select(X.nfc(F.col("t")).alias("n")).collect()
+    assert [x["n"] for x in got] == ["가", "é", "é", "a", "", None, "̈́", "Ω"]
+
+
+def test_stripped_ends(spark):
+    texts = [" \t a b　\x1c", "​a", "x\x85", "\x1f", "", None, "  y\n" + " " * 50_000 + "z "]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(X.squeeze_ends(F.col("t")).alias("s")).collect()
+    assert [r["s"] for r in got] == [t if t is None else t.strip() for t in texts]
+
+
+def test_holding(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    words = ["Ab", "cd", "e", "fg.", "(h", "i-j", "ß", "K"]
+    texts = [" ".join(r.choices(words, k=r.randint(0, 30))) for _ in range(60)]
+    asked = []
+    for _ in range(60):
+        t = r.choice(texts)
+        a = r.randrange(len(t) + 1)
+        asked.append(t[a : a + r.randint(1, 25)])
+    asked += ["cd", "zz zz zz zz", "cd e", "d e f", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    want = sorted((i, j) for i, x in enumerate(asked) if x is not None for j, t in enumerate(texts) if x in t)
+    assert sorted(tuple(x) for x in evaluation.holding(d, q).collect()) == want
+    monkeypatch.setattr(ranking, "BROADCAST_QUERIES", 3)
+    assert sorted(tuple(x) for x in evaluation.holding(d, q).collect()) == want
+
+
+def test_ingest_report(spark):
+    good = {"query_id": "1", "query": "q", "Eng_Query": "q", "Answer": "a", "passages": {"English_passages": ["One.", "Two."], "Translated_passages": ["एक।", "दो।"], "is_selected": ["1", "0"]}}
+    rows = [good, good | {"query_id": "2", "Answer": " "}, good | {"query_id": "none"}, good | {"query_id": "3", "query": " ", "Eng_Query": None}]
+    r = ingest.report(raw(spark, *rows), IngestConfig(dedupe=True)).head()
+    assert (r["records_processed"], r["records_skipped"], r["unusable_ids"], r["empty_queries"], r["records_emitted"]) == (4, 2, 1, 1, 2)
+    assert (r["empty_answers"], r["passages_emitted"], r["passages_deduped"], r["without_passages"]) == (1, 4, 4, 1)
+    found = {(x["dimension"], x["value"]): x["n"] for x in ingest.distributions(ingest.examples(raw(spark, *rows))).collect()}
+    assert found["language", "hi"] == 2
+
+
+def test_gold_report(spark):
+    row = {"query_id": "1", "query": "निगम क्या है?", "Eng_Query": "why is it so?", "passages": {"English_passages": ["One."], "Translated_passages": ["एक।"], "is_selected": ["1"]}}
+    none = row | {"query_id": "2", "passages": {"English_passages": ["N."], "Translated_passages": [], "is_selected": ["0"]}}
+    ex = ingest.examples(raw(spark, row, none, row | {"query_id": "3"}))
+    indexed = spark.createDataFrame([("1:0:en",)], "doc_id string")
+    r = evaluation.gold_report(ex, indexed).head()
+    assert (r["examples_seen"], r["examples_without_gold"], r["dropped_no_indexed_gold"], r["indic_emitted"], r["english_emitted"]) == (3, 1, 1, 1, 1)
