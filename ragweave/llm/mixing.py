@@ -5,13 +5,15 @@ is cut into equal ranges of some 2,000 documents, each range is sorted in one ta
 of the ranges before it are added to the running sum (a distributed prefix sum). Each source is
 then cut at its exact budget; a budget above the source's size repeats whole epochs first.
 
-A hot source has many ranges, so no task holds more than a range. Only per-source and per-range
-sums are brought together. The order depends on ids and seed alone, so reruns and retried tasks
-agree.
+A hot source has many ranges, and rows equal in id, source and text are counted before they are
+ordered, so no task orders more than a range. Only per-source and per-range sums are brought
+together. The order depends on ids, texts and seed alone, so reruns and retried tasks agree.
 
 Defined results: a null text has size 0; a null source is a source of its own, ordered last; rows
-with equal id and size are interchangeable; an empty table gives no rows; columns other than
-doc_id, text and source are not looked at (``mix_documents`` passes them on).
+that share an id, or have none, are documents of their own; rows equal in id, source and text are
+interchangeable (``mix_documents`` takes one of them as often as the mix takes them all); an empty
+table gives no rows; columns other than doc_id, text and source are not looked at
+(``mix_documents`` passes them on).
 """
 
 from __future__ import annotations
@@ -19,20 +21,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragweave.llm.common import WORD, Tables, join_checked
+from ragweave.llm.common import WORD, Tables, join_checked, one_of_equals
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 RANGE_ROWS = 2048
 
 
+def hash_key(seed: int) -> Column:
+    """The hash-random key of a document, from its id and text (hex, uniform)."""
+    part = lambda c, none: F.coalesce(F.col(c).cast("string"), F.lit(none))
+    return F.md5(F.concat(F.lit(f"{seed}:"), part("doc_id", "null"), F.lit(":"), F.md5(part("text", ""))))
+
+
 def sizes(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, source, size in words and the hash-random key (hex, uniform) of each document."""
+    """doc_id, source, size in words and the hash-random key of each document."""
     return docs.select(
         "doc_id",
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("key"),
+        hash_key(seed).alias("key"),
     )
 
 
@@ -60,15 +68,15 @@ def targets(stats: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 20) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, before, left: the words the mix takes of each row.
+    """doc_id, source, size, key, source_size, target, taken, before, left, epochs: the words the mix takes of each row.
 
     ``taken`` sums to the rounded target of each source exactly: the document at the cut gives its
     leading words. ``before`` is the prefix sum up to the document, ``left`` the budget of the last,
     partial epoch and ``epochs`` the number of whole ones.
     """
     tables = Tables(docs.sparkSession)
-    slim = tables.write(sizes(docs, seed))
-    stats = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    slim = tables.write(sizes(docs, seed).groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("rows")))
+    stats = slim.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("n"))
     stats = targets(stats, weights, max_epochs).select(
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("src"), "source_size", "target",
         F.ceil(F.col("n") / RANGE_ROWS).alias("ranges"),
@@ -78,17 +86,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
     fraction = F.conv(F.substring("key", 1, 12), 16, 10).cast("double") / float(1 << 48)
     ranged = join_checked(slim.withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), stats, "src")
     ranged = ranged.withColumn("range", F.floor(fraction * F.col("ranges")))
-    sums = ranged.groupBy("src", "range").agg(F.sum("size").alias("range_size"))
+    every = F.col("size") * F.col("rows")
+    sums = ranged.groupBy("src", "range").agg(F.sum(every).alias("range_size"))
     earlier = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = tables.write(sums.select("src", "range", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("offset")))
     inside = Window.partitionBy("src", "range").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    out = ranged.withColumn("inside", F.coalesce(F.sum(every).over(inside), F.lit(0)))
     out = join_checked(out, sums, ["src", "range"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    out = out.withColumns({"before": F.col("offset") + F.col("inside"), "epochs": epochs})
+    out = out.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("nth"))  # equal rows one after the other
+    out = out.withColumns({"before": F.col("offset") + F.col("inside") + F.col("nth") * F.col("size"), "epochs": epochs})
     out = out.withColumn("left", F.col("budget") - F.col("epochs") * F.col("source_size"))
     taken = F.col("epochs") * F.col("size") + F.least(F.greatest(F.col("left") - F.col("before"), F.lit(0)), F.col("size"))
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "before", "left", "epochs")
+    return out.select("doc_id", "source", "size", "key", "source_size", "target", taken.cast("long").alias("taken"), "before", "left", "epochs")
 
 
 def copies(mixed: DataFrame) -> Column:
@@ -99,20 +109,26 @@ def copies(mixed: DataFrame) -> Column:
 def mix_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 20) -> DataFrame:
     """The mixed corpus, with the columns of ``docs``: a document stands as often as the mix takes it whole.
 
-    Rows that share a doc_id are taken alike. Documents without words are not taken.
+    Documents without words are not taken.
     """
     tables = Tables(docs.sparkSession)
     mixed = mix(docs, weights, max_epochs, seed)
-    n = tables.write(mixed.select("doc_id", copies(mixed).alias("__copies")).where("__copies > 0").groupBy("doc_id").agg(F.max("__copies").alias("__copies")))
-    n = n.withColumnRenamed("doc_id", "__id")
-    out = join_checked(docs, n, docs["doc_id"].eqNullSafe(F.col("__id")))
-    return out.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
+    same = [F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("key").alias("__key")]
+    n = mixed.groupBy(*same).agg(F.sum(copies(mixed)).alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0")
+    n = tables.write(n)
+    keyed = docs.withColumns({"__at": hash_key(seed), "__from": F.col("source").cast("string")})
+    match = (F.col("__at") == F.col("__key")) & docs["doc_id"].eqNullSafe(F.col("__id")) & F.col("__from").eqNullSafe(F.col("__source"))
+    out = join_checked(keyed, n, match)
+    once = out.where("__rows = 1").select(*docs.columns, "__copies")
+    if not n.where("__rows > 1").isEmpty():
+        once = once.unionByName(one_of_equals(out.where("__rows > 1"), ["__key", "__id", "__source"], [*docs.columns, "__copies"]))
+    return once.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
 
 
 #: The same in DuckDB.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-             md5('20:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key FROM documents),
+             md5('20:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS DOUBLE) AS w, source_size * 3 AS cap FROM s0),
 s2 AS (SELECT *, cap / w AS ratio, sum(source_size) OVER () AS total, sum(w) OVER () AS all_w,
