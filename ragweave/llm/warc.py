@@ -8,12 +8,15 @@ over the stored ones, but for those that describe the body or the connection.
 
 The as-of join is a window over each URL and time block that carries the last full response
 forward, and a second one over the last response of each block, so a URL with a large part of all
-records is spread over its blocks.
+records is spread over its blocks. It carries a hash of the whole response, by which the stored
+headers are joined then: record ids may be missing or repeat. That join's plain sides let adaptive
+execution split a response that many revisits share.
 
 Defined results: records without a URL or date resolve to nothing; of responses at the same time
-the one with the largest record id is the later; a revisit at a response's own time does not see
-it; null or malformed records have type null and are left out by ``resolve``; an empty table gives
-no rows.
+the one with the largest record id is the later, then the one with the largest hash; a revisit at a
+response's own time does not see it; null or malformed records, also those whose Content-Length is
+negative, no number or beyond their end, have type null and are left out by ``resolve``; an empty
+table gives no rows; columns beside the parsed ones are not looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from datetime import UTC, datetime
-from urllib.parse import parse_qsl, quote, unquote, urlencode, urlsplit
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -43,6 +46,22 @@ PARSED = "type string, record_id string, url string, at timestamp, status int, h
 _SESSION = re.compile(r"^(jsessionid|phpsessid|sid|sessionid)$", re.I)
 
 
+_ESCAPE = re.compile(r"%([0-9A-Fa-f]{2})?")
+_UNRESERVED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
+
+
+def _escaped(m: re.Match) -> str:
+    if m[1] is None:
+        return "%25"
+    char = chr(int(m[1], 16))
+    return char if char in _UNRESERVED else f"%{m[1].upper()}"
+
+
+def _normal(part: str) -> str:
+    """One form of a part of a URL: escapes of unreserved characters are undone, all others are kept, in upper case."""
+    return quote(_ESCAPE.sub(_escaped, part), safe="/%~!$&'()*+,;=:@-._?", errors="surrogatepass")
+
+
 def canonical_url(url: str | None) -> str | None:
     """A URL without scheme, www, default port, fragment, tracking parameters and trailing slash."""
     if not url or "://" not in url:
@@ -56,9 +75,10 @@ def canonical_url(url: str | None) -> str | None:
     host = host[4:] if host.startswith("www.") else host
     if port and (parts.scheme.lower(), port) not in (("http", 80), ("https", 443)):
         host = f"{host}:{port}"
-    path = quote(unquote(re.sub(r"/{2,}", "/", parts.path)), safe="/~!$&'()*+,;=:@-._").rstrip("/") or "/"
-    query = sorted((k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if k.lower() not in TRACKING and not _SESSION.match(k))
-    return host + path + (f"?{urlencode(query)}" if query else "")
+    path = _normal(re.sub(r"/{2,}", "/", parts.path)).rstrip("/") or "/"
+    query = [_normal(p).partition("=") for p in parts.query.split("&") if p]
+    query = sorted((k, v) for k, _, v in query if k.lower() not in TRACKING and not _SESSION.match(k))
+    return host + path + ("?" + "&".join(f"{k}={v}" for k, v in query) if query else "")
 
 
 def _head(block: bytes) -> tuple[str, dict[str, str], bytes]:
@@ -89,10 +109,10 @@ def parse_record(data: bytes | None) -> tuple:
     if not data or not data.startswith(b"WARC/1."):
         return nothing
     _, warc, block = _head(data)
-    try:
-        block = block[: int(warc.get("content-length", ""))]
-    except ValueError:
+    length = warc.get("content-length", "")
+    if not (length.isascii() and length.isdigit() and len(length) < 19 and int(length) <= len(block)):
         return nothing
+    block = block[: int(length)]
     at = _date(warc.get("warc-date", ""))
     http: dict[str, str] = {}
     status, body = None, block
@@ -135,10 +155,11 @@ def resolve(records: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame
     full = (F.col("type") == "response") & (F.col("status") == 200)
     df = records.where(full | (F.col("type") == "revisit"))
     df = df.select("type", "record_id", "canonical", "at", "headers", "n_body", "body_sha1", F.floor(F.unix_seconds("at") / block_seconds).alias("block"))
-    df = tables.write(df)
+    headers = F.array_sort(F.map_entries("headers"))
+    df = tables.write(df.withColumn("key", F.when(F.col("type") == "response", F.xxhash64("record_id", "at", "n_body", "body_sha1", headers))))
     usable = df.where("canonical is not null and at is not null")
     # The last response of each block, carried over the blocks of its URL.
-    light = F.when(F.col("type") == "response", F.struct("at", "record_id"))
+    light = F.when(F.col("type") == "response", F.struct("at", "record_id", "key"))
     blocks = usable.groupBy("canonical", "block").agg(F.max(light).alias("last"))
     earlier = Window.partitionBy("canonical").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.select("canonical", "block", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
@@ -146,14 +167,15 @@ def resolve(records: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame
     order = Window.partitionBy("canonical", "block").orderBy(F.unix_micros("at")).rangeBetween(Window.unboundedPreceding, -1)
     inside = usable.withColumn("inside", F.max(light).over(order)).where("type = 'revisit'")
     found = inside.join(carried, ["canonical", "block"]).withColumn("match", F.coalesce("inside", "carried"))
-    found = found.select("record_id", "canonical", "at", "headers", F.col("match.record_id").alias("response_id"))
-    lost = df.where("type = 'revisit' and (canonical is null or at is null)").select("record_id", "canonical", "at", "headers", F.lit(None).cast("string").alias("response_id"))
+    found = found.select("record_id", "canonical", "at", "headers", F.col("match.record_id").alias("response_id"), F.col("match.key").alias("key"))
+    lost = df.where("type = 'revisit' and (canonical is null or at is null)").select("record_id", "canonical", "at", "headers", F.lit(None).cast("string").alias("response_id"), F.lit(None).cast("long").alias("key"))
     found = found.unionByName(lost)
-    # The stored headers of what was found, by record id; many revisits may share one response.
-    stored = df.where("type = 'response'").select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), F.col("n_body").alias("stored_body"), F.col("body_sha1").alias("stored_sha1"))
-    out = found.join(stored.dropDuplicates(["response_id"]), "response_id", "left")
+    # The stored headers of what was found; many revisits may share one response.
+    stored = usable.where("type = 'response'").select("canonical", "key", F.col("headers").alias("stored"), F.col("n_body").alias("stored_body"), F.col("body_sha1").alias("stored_sha1"))
+    stored = tables.write(stored.dropDuplicates(["canonical", "key"]))
+    out = found.join(stored, ["canonical", "key"], "left")
     agrees = _agreement(F.col("stored"), F.col("headers"))
-    outcome = F.when(F.col("response_id").isNull(), "orphan").when(agrees, "resolved").otherwise("changed")
+    outcome = F.when(F.col("key").isNull(), "orphan").when(agrees, "resolved").otherwise("changed")
     news = F.map_filter("headers", lambda k, v: ~k.isin(*NOT_MERGED))
     merged = F.map_concat(F.map_filter("stored", lambda k, v: ~F.map_contains_key(news, k)), news)
     ok = F.col("outcome") == "resolved"
