@@ -4,13 +4,15 @@ Base rules look at single counts of a text. The method then takes a vector of tr
 statistics of each document and rejects it if its Mahalanobis distance from the minimum covariance
 determinant (MCD) estimate of its language and source is beyond a chi-square quantile.
 
-MCD: start from coordinatewise medians and interquartile ranges, then repeat concentration steps:
-compute all distances, keep the ``SUPPORT`` share of rows with the smallest, and re-estimate mean
-and covariance from these. A step is one aggregation by (group, distance bin): the bins that
-together hold the share give the moments. Groups are never gathered; a hot group is a few hundred
-partial sums. Sums are of scaled integers, so the order of rows can't change them. A group
-is judged by its own estimate if its support has more rows than the vector has coordinates, so
-that there is a covariance to estimate (with ``SUPPORT`` 0.75, from 6 rows on); smaller groups by
+MCD: from each of three deterministic starts (quartiles, all rows' covariance, and the covariance of
+their directions from the medians) repeat concentration steps: compute all distances, keep the
+``SUPPORT`` share of rows with the smallest, and re-estimate mean and covariance from these. Steps go
+on until no determinant falls any more, and each group takes its least determinant over all steps
+and starts. A step is one aggregation by (group, start, distance bin): the bins that together hold
+the share give the moments, the last of them in proportion. Groups are never gathered; a hot group
+is a few hundred partial sums. Sums are of scaled integers, so the order of rows can't change them.
+A group is judged by its own estimate if its support has more rows than the vector has coordinates,
+so that there is a covariance to estimate (with ``SUPPORT`` 0.75, from 6 rows on); smaller groups by
 that of their language, and languages as small by that of all documents.
 
 Defined results: null and blank texts have zero words and fail the base rule; null languages and
@@ -38,7 +40,9 @@ PRIOR_WORDS, PRIOR_LENGTH = 50, 5.0
 FLOORS = (0.06, 0.06, 0.08, 0.08)
 SCALE = 10_000
 SUPPORT = 0.75
-STEPS = 4
+#: Steps end when every determinant falls by less than this share, or after MAX_STEPS, should one cycle.
+CONVERGED, MAX_STEPS = 1e-6, 60
+STARTS = 3
 #: Documents beyond this quantile of the chi-square distribution with 4 degrees are rejected.
 QUANTILE = 0.999999
 P = len(FLOORS)
@@ -137,38 +141,93 @@ def distance(x: list[Column], param) -> Column:
     return sum((z[i] * z[i] / param(f"d{i}") for i in range(1, P)), z[0] * z[0] / param("d0"))
 
 
+def _starts(rows: DataFrame, tables: Tables) -> DataFrame:
+    """g, n, start and PARAMS of the estimates that concentration steps begin with."""
+    three = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
+    x = lambda i: F.col(f"x{i}").cast("decimal(19,0)")
+    sums = {f"s{i}": F.sum(x(i)) for i in range(P)} | {f"s{i}{j}": F.sum(x(i) * x(j)) for i, j in pairs}
+    quartiles = rows.groupBy("g").agg(F.count("*").alias("n"), *(F.percentile(f"x{i}", three).alias(f"q{i}") for i in range(P)), *(v.cast("double").alias(k) for k, v in sums.items()))
+    spread = lambda i: F.greatest(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / (SCALE * 1.349), 2), F.lit(FLOORS[i] ** 2))
+    base = tables.write(quartiles.select("g", "n", *(F.col(k) / F.col("n") / SCALE ** (len(k) - 1) for k in sums), *((F.col(f"q{i}")[1] / SCALE).alias(f"m{i}") for i in range(P)), *(spread(i).alias(f"v{i}") for i in range(P))).toDF("g", "n", *sums, *(f"m{i}" for i in range(P)), *(f"v{i}" for i in range(P))), 1)
+    # Directions: rows scaled by the spreads, to length one; their products as integers too.
+    away = join_checked(rows, base.select("g", *(f"m{i}" for i in range(P)), *(f"v{i}" for i in range(P))), "g")
+    z = [(F.col(f"x{i}") / SCALE - F.col(f"m{i}")) / F.sqrt(f"v{i}") for i in range(P)]
+    square = sum((v * v for v in z[1:]), z[0] * z[0])
+    turned = away.select("g", *(F.when(square > 0, F.round(z[i] * z[j] / square * SCALE**2)).otherwise(F.lit(0.0)).cast("decimal(19,0)").alias(f"u{i}{j}") for i, j in pairs))
+    turned = turned.groupBy("g").agg(*(F.sum(f"u{i}{j}").cast("double").alias(f"u{i}{j}") for i, j in pairs))
+    base = base.join(turned, "g")
+
+    def start(k: int, mean, cov) -> DataFrame:
+        at = base.withColumns({f"c{i}": mean(i) for i in range(P)})
+        at = _factor(at, lambda i, j: cov(max(i, j), min(i, j)) + (F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0)))
+        return at.select("g", "n", F.lit(k).alias("start"), *(F.col(f"c{i}").alias(f"m{i}") for i in range(P)), *PARAMS[P:])
+
+    medians, means = (lambda i: F.col(f"m{i}")), (lambda i: F.col(f"s{i}"))
+    turn = lambda i, j: F.col(f"u{i}{j}") / SCALE**2 / F.col("n") * F.sqrt(F.col(f"v{i}") * F.col(f"v{j}"))
+    first = start(0, medians, lambda i, j: F.col(f"v{i}") if i == j else F.lit(0.0))
+    return tables.write(first.union(start(1, means, lambda i, j: F.col(f"s{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}"))).union(start(2, medians, turn)), 1)
+
+
+def _concentrated(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """One step of every group and start: the estimate of the rows nearest by ``model``, and its log determinant."""
+    consistency = SUPPORT / _chi2_cdf(_chi2_quantile(SUPPORT, P), P + 2)
+    d2 = distance([F.col(f"x{i}") for i in range(P)], F.col)
+    near = join_checked(rows, model, "g").select("g", "n", "start", F.floor(F.log(d2 + 1e-4) * 16).alias("bin"), *(F.col(f"x{i}").cast("decimal(19,0)").alias(f"x{i}") for i in range(P)))
+    sums = {f"s{i}": F.sum(f"x{i}") for i in range(P)} | {f"s{i}{j}": F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(P) for j in range(i + 1)}
+    bins = near.groupBy("g", "n", "start", "bin").agg(F.count("*").alias("c"), *(v.cast("decimal(38,0)").alias(k) for k, v in sums.items()))
+    upto = Window.partitionBy("g", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    every = ["c", *sums]
+    total = bins.select("g", "n", "start", "bin", *every, *(F.sum(k).over(upto).alias(f"{k}_all") for k in every))
+    need = F.ceil(F.col("n") * SUPPORT)
+    first = Window.partitionBy("g", "start").orderBy("bin")
+    total = total.where(F.col("c_all") >= need).withColumn("k", F.row_number().over(first)).where("k = 1")
+    over = (F.col("c_all") - need) / F.col("c")  # the share of the last bin that is beyond the support
+    total = total.select("g", "n", "start", need.cast("double").alias("c"), *((F.col(f"{k}_all").cast("double") - over * F.col(k).cast("double")).alias(k) for k in sums))
+    mean = lambda i: F.col(f"s{i}") / F.col("c")
+    total = total.withColumns({f"m{i}": mean(i) / SCALE for i in range(P)})
+
+    def cov(i, j):
+        v = (F.col(f"s{i}{j}") / F.col("c") - mean(i) * mean(j)) * (consistency / SCALE**2)
+        return v + F.lit(FLOORS[i] ** 2) if i == j else v
+
+    out = _factor(total, cov)
+    return out.select("g", "n", "start", *PARAMS, sum((F.log(f"d{i}") for i in range(1, P)), F.log("d0")).alias("log_det"))
+
+
 def fit(stats: DataFrame, tables: Tables) -> DataFrame:
-    """The MCD estimate of every group (g) and language (__l) of ``stats`` (and x0...), and of all rows as group '*'.
+    """The MCD estimate of every group (g) of ``stats`` (and x0...), of the languages (__l) that small groups need, and as group '*' of all rows if a small language does.
 
     Returns one row per group: g, n and PARAMS.
     """
-    consistency = SUPPORT / _chi2_cdf(_chi2_quantile(SUPPORT, P), P + 2)
-    both = stats.select(F.explode(F.array("g", "__l", F.lit("*"))).alias("g"), *(f"x{i}" for i in range(P)))
-    three = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    model = both.groupBy("g").agg(F.count("*").alias("n"), *(F.percentile(f"x{i}", three).alias(f"q{i}") for i in range(P)))
-    model = model.withColumns({f"m{i}": F.col(f"q{i}")[1] / SCALE for i in range(P)})
-    spread = lambda i: F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / (SCALE * 1.349), 2)
-    model = _factor(model, lambda i, j: F.greatest(spread(i), F.lit(FLOORS[i] ** 2)) if i == j else F.lit(0.0))
-    model = tables.write(model.select("g", "n", *PARAMS), 1)
-    for _ in range(STEPS):
-        rows = join_checked(both, model, "g")
-        d2 = distance([F.col(f"x{i}") for i in range(P)], F.col)
-        rows = rows.select("g", "n", F.floor(F.log(d2 + 1e-4) * 16).alias("bin"), *(F.col(f"x{i}").cast("decimal(19,0)").alias(f"x{i}") for i in range(P)))
-        sums = {f"s{i}": F.sum(f"x{i}") for i in range(P)} | {f"s{i}{j}": F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(P) for j in range(i + 1)}
-        bins = rows.groupBy("g", "n", "bin").agg(F.count("*").alias("c"), *(v.cast("decimal(38,0)").alias(k) for k, v in sums.items()))
-        upto = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        total = bins.select("g", "n", "bin", *(F.sum(k).over(upto).cast("double").alias(k) for k in ["c", *sums]))
-        first = Window.partitionBy("g").orderBy("bin")
-        total = total.where(F.col("c") >= F.ceil(F.col("n") * SUPPORT)).withColumn("k", F.row_number().over(first)).where("k = 1")
-        mean = lambda i: F.col(f"s{i}") / F.col("c")
-        total = total.withColumns({f"m{i}": mean(i) / SCALE for i in range(P)})
-
-        def cov(i, j, mean=mean):
-            v = (F.col(f"s{i}{j}") / F.col("c") - mean(i) * mean(j)) * (consistency / SCALE**2)
-            return v + F.lit(FLOORS[i] ** 2) if i == j else v
-
-        model = tables.write(_factor(total, cov).select("g", "n", *PARAMS), 1)
-    return model
+    xs = [f"x{i}" for i in range(P)]
+    able = F.ceil(F.col("n") * SUPPORT) > P
+    groups = tables.write(stats.groupBy("g", "__l").agg(F.count("*").alias("n")), 1)
+    languages = groups.groupBy("__l").agg(F.sum("n").alias("n"), F.min(able).alias("alone")).where("not alone")
+    languages = tables.write(languages.select("__l", able.alias("able")), 1)
+    rows = stats.select("g", *xs)
+    if not languages.isEmpty():
+        rows = rows.union(join_checked(stats, languages.where("able"), "__l").select(F.col("__l").alias("g"), *xs))
+        if not languages.where("not able").isEmpty():
+            rows = rows.union(stats.select(F.lit("*").alias("g"), *xs))
+    model = _starts(rows, tables)
+    best = None
+    for _ in range(MAX_STEPS):
+        model = tables.write(_concentrated(rows, model), 1)
+        if best is None:
+            best = model
+            continue
+        both = best.union(model).groupBy("g", "start").agg(F.min_by(F.struct(*model.columns), "log_det").alias("b"), (F.min("log_det")).alias("least"))
+        both = both.join(best.select("g", "start", F.col("log_det").alias("before")), ["g", "start"])
+        both = tables.write(both.select("b.*", (F.col("least") < F.col("before") - CONVERGED).alias("fell")), 1)
+        tables.drop(best)
+        best = both.drop("fell")
+        best._ragweave_path = both._ragweave_path
+        moving = both.where("fell").select("g", "start")
+        if moving.isEmpty():
+            break
+        model = model.join(moving, ["g", "start"], "left_semi")  # the others have their least
+    return best.groupBy("g").agg(F.min_by(F.struct(*best.columns), F.struct("log_det", "start")).alias("b")).select("b.g", "b.n", *(f"b.{k}" for k in PARAMS))
 
 
 def _slim(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -177,11 +236,12 @@ def _slim(docs: DataFrame, keep: list[str]) -> DataFrame:
     return s.select(*keep, group_key().alias("g"), language_key().alias("__l"), *(F.col("__q")[k].alias(k) for k in STATS), *(x.alias(f"x{i}") for i, x in enumerate(vector(F.col("__q")))))
 
 
-def verdicts(stats: DataFrame, model: DataFrame) -> DataFrame:
+def verdicts(stats: DataFrame, model: DataFrame, tables: Tables) -> DataFrame:
     """Add ``distance2`` and ``kept`` to a table of statistics."""
     able = model.where((F.ceil(F.col("n") * SUPPORT) > P) & (F.col("g") != "*"))
     own, lang = (able.select(F.col("g").alias(key), F.struct(*PARAMS).alias(name)) for key, name in (("g", "__own"), ("__l", "__lang")))
     every = model.where("g = '*'").select(F.struct(*PARAMS).alias("__all"))  # one row
+    own, lang, every = (tables.write(x, 1) for x in (own, lang, every))
     out = join_checked(join_checked(stats, own, "g", "left"), lang, "__l", "left").join(F.broadcast(every), F.lit(True), "left")
     p = F.coalesce("__own", "__lang", "__all")
     d2 = distance([F.col(f"x{i}") for i in range(P)], lambda k: p[k])
@@ -197,18 +257,18 @@ def judge(docs: DataFrame) -> DataFrame:
     tables = Tables(docs.sparkSession)
     stats = tables.write(_slim(docs, ["doc_id"]))
     model = fit(stats.where("not base_failed"), tables)
-    return verdicts(stats, model).select("doc_id", *STATS, F.round("distance2", 6).alias("distance2"), "kept")
+    return verdicts(stats, model, tables).select("doc_id", *STATS, F.round("distance2", 6).alias("distance2"), "kept")
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns.
 
-    The statistics are computed a second time beside the texts, rather than joined back by id:
-    that costs CPU but moves no text, and repeated or null ids can't mix rows up.
+    Rows are written once beside their statistics, of which the estimates read their columns alone:
+    nothing is joined back by id, so repeated or null ids can't mix rows up.
     """
     tables = Tables(docs.sparkSession)
-    model = fit(tables.write(_slim(docs, [])).where("not base_failed"), tables)
     cols = docs.columns
-    s = with_stats(docs.select(*cols), cols).withColumns({"g": group_key(), "__l": language_key()})
-    s = s.select(*cols, "g", "__l", F.col("__q")["base_failed"].alias("base_failed"), *(x.alias(f"x{i}") for i, x in enumerate(vector(F.col("__q")))))
-    return verdicts(s, model).where("kept").select(*cols)
+    s = with_stats(docs.select(*cols), cols).select(F.struct(*cols).alias("__row"), group_key().alias("g"), language_key().alias("__l"), F.col("__q")["base_failed"].alias("base_failed"), *(x.alias(f"x{i}") for i, x in enumerate(vector(F.col("__q")))))
+    s = tables.write(s.where("not base_failed"))
+    model = fit(s.drop("__row"), tables)
+    return verdicts(s, model, tables).where("kept").select(*(F.col("__row")[c].alias(c) for c in cols))
