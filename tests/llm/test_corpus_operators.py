@@ -1,9 +1,11 @@
 """Operators over whole corpora against brute force on small fixtures."""
 
 import collections
+import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -62,6 +64,27 @@ def test_mixing(spark, monkeypatch):
     assert all(abs(kept[s] - want[s]) <= 510 for s in sizes)
 
 
+def test_mixing_rows_that_share_an_id(spark):
+    """Ids may be null, repeat within a source and stand in several sources; equal rows are taken as often as the mix takes them all."""
+    r = random.Random(3)
+    text = lambda n: " ".join(r.choices("abcdefgh", k=n))
+    rows = [(None if i % 3 else 1, text(r.randint(5, 15)), "ab"[i % 2]) for i in range(60)]
+    rows += [(1, "one two three", "a")] * 7 + [(None, "four five", "b")] * 5 + [(None, None, "b")] * 4
+    df = docs(spark, rows).repartition(4)
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len((t or "").split())
+    want, taken = plain_targets(sizes), collections.Counter()
+    mixed = mixing.mix(df).collect()
+    for g in mixed:
+        taken[g["source"]] += g["taken"]
+    assert len(mixed) == len(rows) and all(abs(taken[s] - want[s]) <= 0.5 for s in want)
+    kept = collections.Counter()
+    for x in mixing.mix_documents(df).collect():
+        kept[x["source"]] += len(x["text"].split())
+    assert all(abs(kept[s] - want[s]) <= 15 for s in want)
+
+
 def test_mixing_empty(spark):
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.mix_documents(docs(spark, [])).count() == 0
     assert [r["taken"] for r in mixing.mix(docs(spark, [(1, None, None), (2, " ", "a")])).collect()] == [0, 0]
@@ -78,10 +101,11 @@ def near(a, b):
     return p is None or a[p + 1 :] == b[p + 1 :] or a[p:] == b[p + 1 :] or a[p + 1 :] == b[p:]
 
 
-def brute_lines(rows):
+def brute_lines(rows, order=None):
+    """{(place, line number): whether an earlier line is only near} of the lines that go; places are ids, or ``order`` by row."""
     places = {}
-    for i, t, *_ in rows:
-        at = linededup.LAST if i is None else i
+    for k, (i, t, *_) in enumerate(rows):
+        at = order[k] if order else i
         for n, line in enumerate((t or "").split("\n")):
             w = tuple(re.findall(r"[^\x20\x09-\x0D]+", line))
             if w:
@@ -115,29 +139,80 @@ def line_rows(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_line_dedup(spark, seed):
-    rows = [*line_rows(seed, 150), (900, None, "s"), (901, "", "s"), (None, "a b c d e f g\nonly here once", "s"), (902, "one two three four five six\n" * 50, "s")]
+def line_places(spark, rows):
+    """The place of each row, as the operator orders rows."""
+    numbered = spark.createDataFrame([(k, r[0], r[1]) for k, r in enumerate(rows)], "k long, doc_id long, text string")
+    found = {r["k"]: tuple(r["p"]) for r in numbered.select("k", linededup.place_of(F.col("doc_id"), F.col("text")).alias("p")).collect()}
+    return [found[k] for k in range(len(rows))]
+
+
+#: Null ids, ids of two texts, and rows equal in both.
+ODD_ROWS = [
+    (900, None, "s"), (901, "", "s"), (903, " \n\t", "s"), (903, " \n\t", "s"),
+    (None, "a b c d e f g\nonly here once\nits own line", "s"), (None, "totally other words stand here\na second line of it", "s"), (None, "its own line\na b c d e f h", "s"), (None, None, "s"),
+    (902, "one two three four five six\n" * 50, "s"), (907, "p q r s t u v w\nshared by two of them", "s"), (907, "unique first line of the other\np q r s t u v x", "s"),
+    (908, "stands twice under one id\nand so does this", "s"), (908, "stands twice under one id\nand so does this", "t"), (None, "null and twice", "s"), (None, "null and twice", "s"),
+]
+
+
+@pytest.mark.parametrize(("seed", "bound"), [(1, None), (2, None), (3, 0)])
+def test_line_dedup(spark, monkeypatch, seed, bound):
+    if bound is not None:  # beyond the broadcast bound the result is the same
+        monkeypatch.setattr(common.join_checked, "__defaults__", ("inner", bound))
+    rows = [*line_rows(seed, 150 if bound is None else 40), *ODD_ROWS]
     df = docs(spark, rows, extra=True).repartition(6)
-    tables = common.Tables(spark)
-    got = {(r["place"], r["line_no"]): r["near"] for r in linededup.dropped_lines(df, tables).collect()}
-    want = brute_lines(rows)
-    assert got == want and any(want.values())
+    order = line_places(spark, rows)
+    found = linededup.dropped_lines(df, common.Tables(spark)).distinct().collect()
+    got = {(tuple(r["place"]), r["line_no"]): r["near"] for r in found}
+    want = brute_lines(rows, order)
+    assert len(found) == len(got) and got == want and any(want.values())
+    rest = collections.Counter()
+    report = collections.Counter()
+    seen = set()
+    for (i, t, *_), at in zip(rows, order, strict=True):
+        lines = (t or "").split("\n")
+        worded = [n for n, x in enumerate(lines) if x.split()]
+        again = bool(worded) and at in seen
+        seen.add(at)
+        gone = worded if again else [n for n in worded if (at, n) in want]
+        near_ = 0 if again else sum(want[at, n] for n in gone)
+        left = "\n".join(x for n, x in enumerate(lines) if n not in gone)
+        report[i, len(worded), len(gone) - near_, near_, ",".join(map(str, gone)), hashlib.sha256(left.encode()).hexdigest()] += 1
+        if not gone or left.split():
+            rest[i, left if gone else t] += 1
     out = linededup.dedup_lines(df)
     assert out.columns == df.columns
-    for r in out.collect():
-        at = linededup.LAST if r["doc_id"] is None else r["doc_id"]
-        source = next(t for i, t, _ in rows if i == r["doc_id"])
-        assert r["text"] == (None if source is None else "\n".join(x for n, x in enumerate(source.split("\n")) if (at, n) not in want))
-    assert {r["doc_id"] for r in linededup.report(df).collect()} == {x[0] for x in rows}
+    assert collections.Counter((r["doc_id"], r["text"]) for r in out.collect()) == rest
+    assert collections.Counter(map(tuple, linededup.report(df).collect())) == report
 
 
-def test_line_dedup_shuffled_joins(spark, monkeypatch):
-    """Beyond the broadcast bound the result is the same."""
-    monkeypatch.setattr(common.join_checked, "__defaults__", ("inner", 0))
-    rows = line_rows(3, 60)
-    got = {(r["place"], r["line_no"]): r["near"] for r in linededup.dropped_lines(docs(spark, rows), common.Tables(spark)).collect()}
-    assert got == brute_lines(rows)
+def test_unique_lines_of_shared_ids_stay(spark):
+    rows = [(1, "a b c d e f", "s"), (None, "a b c d e f\nunique to it", "s"), (None, "totally other words stand here\nsecond line", "s"), (7, "one two three four\nfive", "s"), (7, "a b c d e f\nsix", "s")]
+    got = {r["text"] for r in linededup.dedup_lines(docs(spark, rows)).collect()}
+    assert got == {"a b c d e f", "unique to it", "totally other words stand here\nsecond line", "one two three four\nfive", "six"}
+
+
+def test_neighbourhood_by_brute_force(spark):
+    r = random.Random(4)
+    lines = [["w%d" % r.randrange(4) for _ in range(n)] for n in (1, 2, 3, 5, 63, 64, 65, 130, 200)]
+    keys = linededup.neighbourhood(spark.createDataFrame([(k, w) for k, w in enumerate(lines)], "at long, w array<string>")).collect()
+    assert len(keys) == sum(map(len, lines)) + len(lines)
+    plain = lambda k, i: tuple(w for n, w in enumerate(lines[k]) if n != i)
+    by_key, by_words = {}, {}
+    for x in keys:
+        by_key.setdefault((x["u"], x["v"]), set()).add(plain(x["at"], x["i"]))
+        by_words.setdefault(plain(x["at"], x["i"]), set()).add((x["u"], x["v"]))
+    assert all(len(v) == 1 for v in [*by_key.values(), *by_words.values()])
+
+
+def test_very_long_lines(spark):
+    r = random.Random(5)
+    w = [str(r.randrange(10**6)) for _ in range(20_000)]
+    cut = w[:7000] + w[7001:]
+    began = time.monotonic()
+    got = linededup.report(docs(spark, [(1, " ".join(w), "s"), (2, " ".join(cut), "s"), (3, "\n".join(w[:40]), "s")])).collect()
+    assert {(x["doc_id"], x["n_near"]) for x in got} == {(1, 0), (2, 1), (3, 0)}
+    assert time.monotonic() - began < 60
 
 
 def test_line_dedup_empty(spark):
@@ -169,28 +244,33 @@ def near_rows(seed, n):
     return [(i, " ".join(w), "s") for i, w in enumerate(rows)]
 
 
-def brute_classes(rows):
-    texts = {i: t for i, t, *_ in rows}
-    n = sum(bool((t or "").split()) for t in texts.values())
-    df = np.zeros(1 << neardup.DF_BITS)
-    for t in texts.values():
-        w = neardup.word_hashes(t)
-        if len(w):
-            df[np.unique((w & np.uint64((1 << neardup.DF_BITS) - 1)).astype(np.int64))] += 1
-    idf = 1 + np.log((1 + n) / (1 + df))
-    sets = {i: neardup.shingles(neardup.word_hashes(t), idf) for i, t in texts.items() if (t or "").split()}
-    parent = {i: i for i in texts}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
+def plain_sets(texts):
+    """{key: {shingle: weight}} of texts with words, from the documents frequencies of the words themselves."""
+    plain = {i: t.lower().split() for i, t in texts.items() if (t or "").split()}
+    df = collections.Counter(w for t in plain.values() for w in set(t))
+    idf = lambda w: 1 + np.log((1 + len(plain)) / (1 + max(df[w], len(plain) / neardup.SPARSE)))
+    sets = {}
+    for i, t in plain.items():
+        size = min(5, len(t))
+        grams = collections.Counter(tuple(t[k : k + size]) for k in range(len(t) - size + 1))
+        sets[i] = {g: c * sum(map(idf, g)) / size for g, c in grams.items()}
+    return sets
+
+
+def plain_similarity(x, y):
+    low = sum(min(x[g], y[g]) for g in x.keys() & y.keys())
+    return low / (sum(x.values()) + sum(y.values()) - low)
+
 
+def brute_classes(rows):
+    """Classes by all pairs, each with its least id."""
+    sets = plain_sets({i: t for i, t, *_ in rows})
+    at = {i: i for i, *_ in rows}
     for a, b in itertools.combinations(sorted(sets), 2):
-        if neardup.similarity(sets[a], sets[b]) >= neardup.THRESHOLD:
-            x, y = sorted((root(a), root(b)))
-            parent[y] = x
-    return {i: root(i) for i in texts}
+        if at[a] != at[b] and plain_similarity(sets[a], sets[b]) >= neardup.THRESHOLD:
+            least, most = sorted((at[a], at[b]))
+            at = {k: least if v == most else v for k, v in at.items()}
+    return at
 
 
 def test_near_duplicates(spark):
@@ -218,59 +298,83 @@ def test_chains_lose_no_link(spark):
     assert got == brute_classes(rows)
 
 
-def test_near_duplicates_empty_and_null(spark):
-    assert neardup.report(docs(spark, [])).count() == 0 and neardup.dedup(docs(spark, [])).count() == 0
-    got = neardup.dedup(docs(spark, [(None, "a b c d e f", "s"), (None, "a b c d e f", "s"), (None, None, "s")])).collect()
-    assert len(got) == 2
-
-
-def exact_classes(rows):
-    """Classes by all pairs, with weights from the document frequencies of the words themselves."""
-    plain = {i: t.lower().split() for i, t, *_ in rows}
-    df = collections.Counter(w for t in plain.values() for w in set(t))
-    sets = {}
-    for i, t in plain.items():
-        grams = collections.Counter(tuple(t[k : k + 5]) for k in range(len(t) - 4))
-        sets[i] = {g: c * sum(1 + np.log((1 + len(plain)) / (1 + df[w])) for w in g) / 5 for g, c in grams.items()}
-    at = {i: i for i in plain}
-    for a, b in itertools.combinations(sorted(plain), 2):
-        x, y = sets[a], sets[b]
-        low = sum(min(x[g], y[g]) for g in x.keys() & y.keys())
-        if low / (sum(x.values()) + sum(y.values()) - low) >= neardup.THRESHOLD:
-            least, most = sorted((at[a], at[b]))
-            at = {k: least if v == most else v for k, v in at.items()}
-    return at
+@pytest.mark.parametrize("blocks", [(1024, 4_000_000), (5, 3000)])
+def test_crowded_bands_lose_no_link(spark, monkeypatch, blocks):
+    """A crowd of copies of one text, many of which are similar to few others or to none, in blocks of any size."""
+    monkeypatch.setattr(neardup, "BLOCK_NODES", blocks[0])
+    monkeypatch.setattr(neardup, "BLOCK_CHARS", blocks[1])
+    monkeypatch.setattr(neardup, "CELLS", 1000 * blocks[0])
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=6))
+    base, rows = [word() for _ in range(120)], []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.randint(1, 5)):
+            w[r.randrange(len(w))] = word()
+        rows.append((i, " ".join(w), "s"))
+    want = brute_classes(rows)
+    assert 3 < len(set(want.values())) < 120 and collections.Counter(want.values()).most_common(1)[0][1] > 20
+    assert {x["doc_id"]: x["class_id"] for x in neardup.report(docs(spark, rows).repartition(4)).collect()} == want
 
 
-@pytest.mark.parametrize("bound", [1_000_000, 200, 0])
-def test_rare_words_keep_their_weight(spark, monkeypatch, bound):
-    """Rare words that share a cell of 2^18 with frequent ones weigh as rare ones, broadcast or joined."""
-    monkeypatch.setattr(neardup, "BROADCAST_ROWS", bound)
-    r = random.Random(8)
-    cell = lambda w: int(neardup.word_hashes(w)[0]) & ((1 << neardup.DF_BITS) - 1)
-    common_words = [f"c{i}" for i in range(400)]
-    taken = {cell(w) for w in common_words}
-    hidden = [w for w in (f"r{i}" for i in range(200_000)) if cell(w) in taken]
-    rows = [(1000 + i, " ".join(r.sample(common_words, 300)), "s") for i in range(60)]
-    for k in range(14):
-        base = r.sample(common_words, 120)
-        other = list(base)
-        for j in range(1 + k % 3):
-            base[30 * j + 5], other[30 * j + 5] = hidden[k * 20 + 2 * j], hidden[k * 20 + 2 * j + 1]
-        rows += [(2 * k, " ".join(base), "s"), (2 * k + 1, " ".join(other), "s")]
-    want = exact_classes(rows)
-    assert want != brute_classes(rows) and any(i != c for i, c in want.items())
-    assert {x["doc_id"]: x["class_id"] for x in neardup.report(docs(spark, rows).repartition(3)).collect()} == want
-
-
-def test_sampling_estimates_similarity():
+def test_near_duplicates_empty_and_null(spark):
+    assert neardup.report(docs(spark, [])).count() == 0 and neardup.dedup(docs(spark, [])).count() == 0
+    got = neardup.dedup(docs(spark, [(None, "a b c d e f", "s"), (None, "a b c d e f", "s"), (None, "other words", "s"), (None, None, "s"), (None, None, "s")])).collect()
+    assert sorted(str(x["text"]) for x in got) == ["None", "a b c d e f", "other words"]
+
+
+def test_rows_that_share_an_id_are_documents(spark):
+    rows = [(7, "one text of some words under this id", "s"), (7, "quite another text with the same id as that", "s"), (8, "One text of  some words under this id", "s"), (7, "one text of some words under this id", "t"), (9, "alone", "s"), (None, "quite another text with the same id as that", "s")]
+    for order in (rows, rows[::-1]):
+        got = neardup.dedup(docs(spark, order)).collect()
+        assert sorted(" ".join(x["text"].lower().split()) for x in got) == ["alone", "one text of some words under this id", "quite another text with the same id as that"]
+        by = collections.defaultdict(list)
+        for x in neardup.report(docs(spark, order)).collect():
+            by[x["class_id"]].append((x["doc_id"], x["copies"]))
+        assert sorted(sorted(v, key=str) for v in by.values()) == sorted([[(7, 1), (None, 1)], [(7, 2), (8, 1)], [(9, 1)]], key=lambda v: sorted(v, key=str)) or sorted(map(len, by.values())) == [1, 2, 2]
+
+
+def test_frequencies_saturate(monkeypatch):
+    """Only words above N / SPARSE documents are looked up, and the weight is continuous there."""
+    w = neardup.Weights(neardup.word_hashes(["often"]), np.array([5000]), 100_000)
+    of = dict(zip("often seldom".split(), w.of("often seldom")[1], strict=True))
+    assert of["often"] == pytest.approx(1 + np.log(100_001 / 5001)) and of["seldom"] == pytest.approx(1 + np.log(100_001 / 101)) == w.idf(100) == w.idf(1)
+
+
+@pytest.mark.parametrize("length", [200, 3000, 15_000])
+def test_recall_of_samples_on_texts_of_any_length(length):
+    """Agreeing samples estimate the weighted Jaccard similarity, and similar texts share a band: recall at 0.8 to 0.85 is 0.9 or more."""
+    r = random.Random(length)
+    vocabulary = ["".join(r.choices("abcdefghijklmnop", k=5)) for _ in range(3000)]
+    idf = dict(zip(vocabulary, (1 + r.random() * 8 for _ in vocabulary), strict=True))
+    errors, shared, pairs = [], 0, 0
+    while pairs < (40 if length < 15_000 else 15):
+        a = r.choices(vocabulary, k=length)
+        b = [r.choice(vocabulary) if r.random() < 0.02 else w for w in a]
+        x, y = (neardup.weighted(neardup.word_hashes(t), np.array([idf[w] for w in t])) for t in (a, b))
+        exact = neardup.similarity(x, y)
+        if not 0.8 <= exact <= 0.85:
+            continue
+        sx, sy = neardup.sample(*x), neardup.sample(*y)
+        pairs += 1
+        errors.append((sx == sy).mean() - exact)
+        shared += bool((sx == sy).reshape(neardup.BANDS, neardup.ROWS).all(1).any() and (sx == sy).sum() >= neardup.LIKELY)
+    assert shared / pairs >= 0.9 and abs(np.mean(errors)) < 0.035 and np.std(errors) < 0.1
+
+
+def test_block_kernels_by_brute_force():
     r = np.random.default_rng(3)
     ids = r.integers(1, 1 << 62, 300).astype(np.uint64)
-    a, b = np.sort(ids[:250]), np.sort(ids[50:])
-    weight = dict(zip(ids.tolist(), r.gamma(2, 2, 300), strict=True))
-    sets = [(x, np.array([weight[i] for i in x.tolist()])) for x in (a, b)]
-    assert neardup.similarity(*sets) == pytest.approx(sum(weight[i] for i in set(a.tolist()) & set(b.tolist())) / sum(weight.values()))
-    assert (neardup.sample(*sets[0]) == neardup.sample(*sets[0])).all()
+    sets = []
+    for n in (250, 250, 1, 120, 40):
+        h = np.sort(r.choice(ids, n, replace=False))
+        sets.append((h, r.gamma(2, 2, n)))
+    plain = [dict(zip(h.tolist(), w, strict=True)) for h, w in sets]
+    for rows, found in neardup.all_similarities([0, 2, 4], sets):
+        for i, row in zip(rows, found, strict=True):
+            assert row == pytest.approx([plain_similarity(plain[i], y) for y in plain]) and row == pytest.approx([neardup.similarity(sets[i], y) for y in sets])
+    x, y = r.integers(0, 3, (7, neardup.SAMPLES)), r.integers(0, 3, (9, neardup.SAMPLES))
+    assert (neardup.agreeing(x, y) == (x[:, None] == y[None]).sum(2)).all()
 
 
 def test_closed_long_path(spark):
@@ -382,9 +486,10 @@ def record(kind, rid, url, at, status, headers, body=b"", content="application/h
     return head.encode() + block + b"\r\n\r\n"
 
 
-@pytest.mark.parametrize(("a", "b"), [("http://www.A.com/x/", "https://a.com:443//x?utm_source=q#f"), ("http://a.com?b=2&a=1", "http://a.com/?a=1&b=2"), ("http://a.com/%7Eu", "http://a.com/~u")])
+@pytest.mark.parametrize(("a", "b"), [("http://www.A.com/x/", "https://a.com:443//x?utm_source=q#f"), ("http://a.com?b=2&a=1", "http://a.com/?a=1&b=2"), ("http://a.com/%7Eu", "http://a.com/~u"), ("http://a.com/%c3%a9?x=%2f", "http://a.com/é?x=%2F"), ("http://a.com/a%zz?b&a", "http://a.com/a%25zz?a=&b=")])
 def test_canonical(a, b):
     assert warc.canonical_url(a) == warc.canonical_url(b) is not None
+    assert len({warc.canonical_url(f"http://a.com/{x}") for x in ("a%2Fb", "a/b", "a%FF", "a%FE", "a%20b", "a+b")}) == 6
     assert warc.canonical_url(None) is None and warc.canonical_url("mailto:x") is None and warc.canonical_url("http://a:port/") is None
 
 
@@ -416,6 +521,28 @@ def test_resolution(spark):
         assert got["v1"]["headers"] == {"etag": 'W/"1"', "x-a": "new", "x-b": "old", "content-type": "text/html"} and got["v1"]["n_body"] == 3
 
 
+def test_records_without_usable_ids(spark):
+    """Responses may share an id or have none; the headers are those of the response itself."""
+    day = "2024-01-01T0{}:00:00Z".format
+    rows = [
+        record("response", "same", "http://a.com/", day(1), "200 OK", [("ETag", "a"), ("X-N", "1")], b"1"), record("response", "same", "http://b.com/", day(1), "200 OK", [("ETag", "b"), ("X-N", "2")], b"22"),
+        record("response", "same", "http://a.com/", day(2), "200 OK", [("ETag", "c"), ("X-N", "3")], b"333"), record("response", "", "http://c.com/", day(1), "200 OK", [("ETag", "d"), ("X-N", "4")], b"4444"),
+        record("revisit", "v1", "http://a.com/", day(3), "304 N", [("ETag", "c")]), record("revisit", "v2", "http://b.com/", day(3), "304 N", [("ETag", "b")]),
+        record("revisit", "v3", "http://c.com/", day(3), "304 N", [("ETag", "d")]), record("revisit", "", "http://a.com/", "2024-01-01T01:30:00Z", "304 N", [("ETag", "a")]),
+    ]
+    for order in (rows, rows[::-1], rows + rows[:4]):
+        table = spark.createDataFrame([(bytearray(x), 1, "x") for x in order], "record binary, at int, stored string")
+        got = {x["record_id"]: (x["outcome"], x["headers"]["x-n"], x["n_body"]) for x in warc.resolve(warc.parse_records(table).selectExpr("*", "1 AS key", "2 AS block")).collect()}
+        assert got == {"v1": ("resolved", "3", 3), "v2": ("resolved", "2", 2), "v3": ("resolved", "4", 4), None: ("resolved", "1", 1)}
+
+
+@pytest.mark.parametrize("length", [b"-5", b"99999", b"", b"4_0", b"+3", b"x", b"9" * 30])
+def test_malformed_lengths(length):
+    good = record("response", "r", "http://a.com/", "2024-01-01T00:00:00Z", "200 OK", [])
+    assert warc.parse_record(good)[0] == "response"
+    assert warc.parse_record(re.sub(rb"Content-Length: \d+", b"Content-Length: " + length, good, count=1)) == (None,) * 8
+
+
 def test_resolution_by_brute_force(spark):
     r = random.Random(5)
     rows, plain = [], []
