@@ -53,14 +53,39 @@ def ship(spark: SparkSession) -> None:
     context._ragweave_shipped = True
 
 
+#: Folders that operators have opened, in order.
+_OPENED: list[str] = []
+
+
+def opened() -> int:
+    """A mark for ``release``."""
+    return len(_OPENED)
+
+
+def release(spark: SparkSession, mark: int = 0) -> None:
+    """Delete all tables that operators have written since ``mark``: results that read them must have been written."""
+    while len(_OPENED) > mark:
+        _delete(spark, _OPENED.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Tables:
-    """Tables written to the shared folder: they cut lineage and survive lost executors."""
+    """Tables written to the shared folder: they cut lineage and survive lost executors.
+
+    An operator's result reads some of them lazily, so they stay until ``release``.
+    """
 
     def __init__(self, spark: SparkSession):
         ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/ragweave/{uuid.uuid4().hex}"
         self.n = 0
+        self.live: list[DataFrame] = []
+        _OPENED.append(self.root)
 
     def write(self, df: DataFrame, partitions: int | None = None) -> DataFrame:
         """Write ``df`` as Parquet and return a reader of it."""
@@ -69,14 +94,20 @@ class Tables:
         (df.coalesce(partitions) if partitions else df).write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._ragweave_path = path
+        self.live.append(out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._ragweave_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        gone = {df._ragweave_path for df in tables}
+        for path in gone:
+            _delete(self.spark, path)
+        self.live = [df for df in self.live if df._ragweave_path not in gone]
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all tables but these."""
+        kept = {df._ragweave_path for df in tables}
+        self.drop(*(df for df in self.live if df._ragweave_path not in kept))
 
 
 def join_checked(left: DataFrame, small: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -157,7 +157,7 @@ def dropped_lines(docs: DataFrame, tables: Tables) -> DataFrame:
     both = pairs.join(kept, "at").join(kept.select(F.col("at").alias("other"), F.col("w").alias("w2")), "other")
     near = both.where(one_edit(F.col("w"), F.col("w2"))).select("at").distinct().select("at.place", "at.line_no", F.lit(True).alias("near"))
     out = tables.write(equal.union(near))
-    tables.drop(every, distinct, repeated, shared, some, where, keys, by_place, by_whole)
+    tables.keep_only(out)
     return out
 
 
@@ -218,3 +218,25 @@ def report(docs: DataFrame) -> DataFrame:
         F.array_join(F.transform("__out", lambda i: i.cast("string")), ",").alias("gone"),
         F.sha2(rest_of(text, F.col("__out")), 256).alias("rest_sha256"),
     )
+
+
+#: The same in DuckDB, where every row has an id of its own.
+ORACLE = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, k AS line_no, doc_id * 10000000 + k AS pos, regexp_extract_all(lines[k + 1], '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS k FROM t)),
+e AS (SELECT * FROM l WHERE len(w) > 0),
+d AS (SELECT w, len(w) AS n, min(pos) AS pos FROM e GROUP BY w),
+h AS (SELECT *, CASE side WHEN 0 THEN w[1:(m - 1) // 2] ELSE w[n - (m - 1) // 2 + 1:n] END AS half
+  FROM (SELECT *, unnest([n, n + 1]) AS m FROM d), (VALUES (0), (1)) s(side)),
+p AS (SELECT DISTINCT a.pos, a.w AS x, b.w AS y FROM h a JOIN h b ON a.m = b.m AND a.side = b.side AND a.half = b.half
+  WHERE a.pos > b.pos AND a.m >= 5 AND greatest(a.n, b.n) = a.m),
+f AS (SELECT pos, x, y, coalesce(list_position(list_transform(range(least(len(x), len(y))), lambda i: x[i + 1] <> y[i + 1]), true), 0) AS f FROM p),
+near AS (SELECT DISTINCT pos FROM f WHERE f = 0 OR (len(x) = len(y) AND x[f + 1:] = y[f + 1:]) OR (len(x) > len(y) AND x[f + 1:] = y[f:]) OR (len(x) < len(y) AND x[f:] = y[f + 1:])),
+g AS (SELECT doc_id, list(line_no ORDER BY line_no) AS gone, count(*) FILTER (e.pos <> d.pos) AS n_equal, count(*) FILTER (e.pos = d.pos) AS n_near
+  FROM e JOIN d USING (w) WHERE e.pos <> d.pos OR e.pos IN (SELECT pos FROM near) GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS n_lines FROM e GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_equal, 0) AS n_equal, coalesce(n_near, 0) AS n_near, coalesce(array_to_string(gone, ','), '') AS gone,
+  sha256(array_to_string(list_filter(lines, lambda x, i: NOT list_contains(coalesce(gone, []), i - 1)), chr(10))) AS rest_sha256
+FROM t LEFT JOIN g USING (doc_id) LEFT JOIN c USING (doc_id)
+"""

@@ -406,7 +406,7 @@ def classes(docs: DataFrame, tables: Tables) -> DataFrame:
 
     ``class_id`` is the least id of the class and ``copies`` the rows with the id.
     """
-    spark = docs.sparkSession
+    spark, before = docs.sparkSession, list(tables.live)
     docs = docs.select(F.col("__id").alias("id"), "text")
     idf = spark.sparkContext.broadcast(weights_of(docs))
     rows = tables.write(_signed(docs, idf))
@@ -443,7 +443,9 @@ def classes(docs: DataFrame, tables: Tables) -> DataFrame:
     # Documents: their text's class, by way of the node.
     final = closed(found.union(same), tables, label)
     ids = rows.groupBy("id").agg(F.count("*").alias("copies"))
-    return join_checked(ids, final, "id", "left").select("id", F.coalesce("class", "id").alias("class_id"), "copies")
+    out = tables.write(join_checked(ids, final, "id", "left").select("id", F.coalesce("class", "id").alias("class_id"), "copies"))
+    tables.keep_only(out, *before)
+    return out
 
 
 def report(docs: DataFrame) -> DataFrame:

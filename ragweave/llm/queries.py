@@ -6,7 +6,7 @@ from ragweave.llm import jpeg, linededup, mixing, neardup, pieces, pii, quality,
 from ragweave.llm.common import table
 
 QUERIES: dict = {}
-ORACLES: dict = {"op1_mixing": mixing.ORACLE}
+ORACLES: dict = {"op1_mixing": mixing.ORACLE, "op3_linededup": linededup.ORACLE}
 
 
 def _query(build):

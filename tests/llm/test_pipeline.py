@@ -4,6 +4,8 @@ import collections
 import hashlib
 import random
 
+import pytest
+
 import corpus_pipeline
 from ragweave.llm import linededup, pieces, quality, queries
 from tests.llm.test_corpus_operators import brute_classes, brute_lines, plain_targets
@@ -85,13 +87,16 @@ def test_every_operator_is_registered():
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None and linededup.MIN_WORDS == 5
 
 
-def test_mixing_oracle(spark, tmp_path):
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracles(spark, tmp_path, name):
     import duckdb
 
     table(spark, corpus(2), str(tmp_path))
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
-    want = duck.execute(queries.ORACLES["op1_mixing"])
-    names = [d[0] for d in want.description]
-    rows = lambda got: sorted((r["doc_id"], r["size"], r["taken"], r["source_size"], round(r["target"], 6)) for r in got)
-    assert rows(queries.op1_mixing(spark, str(tmp_path)).collect()) == rows(dict(zip(names, r, strict=True)) for r in want.fetchall())
+    want = duck.execute(queries.ORACLES[name])
+    names = sorted(d[0] for d in want.description)
+    rows = lambda got: sorted(repr([round(r[c], 6) if isinstance(r[c], float) else r[c] for c in names]) for r in got)
+    expected = rows(dict(zip([d[0] for d in want.description], r, strict=True)) for r in want.fetchall())
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    assert sorted(got.columns) == names and rows(got.collect()) == expected
