@@ -7,7 +7,7 @@ Parquet and read again. All but the last return the columns of ``docs``.
 from __future__ import annotations
 
 from ragweave.llm import linededup, mixing, neardup, pieces, quality
-from ragweave.llm.common import Tables, table
+from ragweave.llm.common import Tables, opened, release, table
 
 
 def quality_rules(spark, docs, sf_dir):
@@ -50,9 +50,15 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """The rows of the last stage over the table ``documents``."""
+    """The rows of the last stage over the table ``documents``.
+
+    What a stage wrote for itself, and the rows it read, are deleted once its own rows are written.
+    """
     tables = Tables(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
+        mark = opened()
         docs = tables.write(stage(spark, docs, sf_dir))
+        release(spark, mark)
+        tables.keep_only(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
