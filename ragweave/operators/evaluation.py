@@ -168,6 +168,37 @@ def field_profile(df: DataFrame) -> DataFrame:
     return rows.groupBy("field", "type").agg(F.count_if(~blank).alias("present"), F.count_if(blank).alias("missing"), F.min("v").alias("least"), F.max("v").alias("greatest"))
 
 
+def passage_stats(passages: DataFrame) -> DataFrame:
+    """One row: passages, selected ones, mean characters and sentences, and how many have at most one sentence or more."""
+    n = F.size(X.sentences(F.col("text")))
+    df = passages.select(F.length(F.coalesce("text", F.lit(""))).alias("chars"), n.alias("n"), F.coalesce("is_selected", F.lit(False)).alias("selected"))
+    return df.agg(
+        F.count("*").alias("passages"), F.count_if("selected").alias("selected_passages"), F.round(F.avg("chars"), 2).alias("avg_chars"), F.round(F.avg("n"), 2).alias("avg_sentences"),
+        F.count_if(F.col("n") <= 1).alias("single_sentence"), F.count_if(F.col("n") > 1).alias("multi_sentence"),
+    )
+
+
+#: Fixed value: what an English query may be left with at its start.
+STRAY = ".?!,:;"
+
+
+def inspected(raw: DataFrame) -> DataFrame:
+    """One row about raw examples: ids, blank fields, stray punctuation, passages and selected ones, lists of different lengths."""
+    blank = lambda c: F.coalesce(X.squeeze_ends(F.col(c).cast("string")), F.lit("")) == ""
+    lists = [F.col(f"passages.{c}") for c in ("English_passages", "Translated_passages", "is_selected")]
+    sizes = [F.greatest(F.coalesce(F.size(x), F.lit(0)), F.lit(0)) for x in lists]
+    selected = F.size(F.filter(F.coalesce(lists[2], F.array().cast("array<string>")), lambda s: F.coalesce(s.cast("string") == "1", F.lit(False))))
+    df = raw.select("*", F.expr("try_cast(query_id as bigint)").alias("__id"), selected.alias("__k"))
+    stray = F.substring(F.coalesce("Eng_Query", F.lit("")), 1, 1)
+    return df.agg(
+        F.count("*").alias("examples"), F.count("__id").alias("usable_ids"), (F.count("__id") - F.count_distinct("__id")).alias("repeated_ids"),
+        *(F.count_if(blank(c)).alias(f"blank_{c.lower()}") for c in ("query", "Eng_Query", "Answer", "Eng_Answer", "query_type")),
+        F.count_if((stray != "") & (F.instr(F.lit(STRAY), stray) > 0)).alias("stray_punctuation"), F.sum(sizes[0]).alias("english_passages"), F.sum(sizes[1]).alias("translated_passages"),
+        F.count_if((sizes[0] != sizes[1]) | (sizes[0] != sizes[2])).alias("different_lengths"), F.min("__k").alias("selected_least"), F.max("__k").alias("selected_most"),
+        F.round(F.avg("__k"), 2).alias("selected_mean"), F.mode("__k", deterministic=True).alias("selected_mode"), F.count_if(F.col("__k") == 0).alias("none_selected"), F.count_if(F.col("__k") > 1).alias("several_selected"),
+    )
+
+
 def repeated_texts(df: DataFrame) -> DataFrame:
     """unique and repeats of trimmed texts."""
     by = df.groupBy(F.xxhash64(X.squeeze_ends(F.coalesce("text", F.lit("")))).alias("h")).agg(F.count("*").alias("c"))

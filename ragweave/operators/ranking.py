@@ -129,9 +129,10 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: st
     vector_scores(np.ones((1, 1)), np.ones((1, 1)), metric)
     rows = (vectors.where(where) if where is not None else vectors).select("doc_id", "embedding")
     spark, out = vectors.sparkSession, None
+    kinds = f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(rows.dtypes)['doc_id']}, score double"
     numbered = queries.select("query_id", "embedding").toLocalIterator()
     while chunk := [r for _, r in zip(range(block), numbered, strict=False)]:
-        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in chunk]), np.array([r["embedding"] for r in chunk], np.float64)))
+        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in chunk], dtype=object), np.array([r["embedding"] for r in chunk], np.float64)))
 
         def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, matrix = shared.value
@@ -146,10 +147,10 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: st
                 found = pd.DataFrame({"query_id": ids[q], "doc_id": docs[d], "score": scores[q, d]})
                 yield found.sort_values(["query_id", "score", "doc_id"], ascending=[True, False, True]).groupby("query_id").head(k)
 
-        part = rows.mapInPandas(best, "query_id long, doc_id long, score double")
+        part = rows.mapInPandas(best, kinds)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = spark.createDataFrame([], "query_id long, doc_id long, score double")
+        out = spark.createDataFrame([], kinds)
     return top_k(out, k)
 
 

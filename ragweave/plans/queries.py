@@ -676,6 +676,22 @@ def selected_per_example(spark, sf_dir):
     return k.agg(F.min("k").alias("least"), F.max("k").alias("most"), F.round(F.avg("k"), 2).alias("mean"), F.mode("k", deterministic=True).alias("mode"), F.count_if(F.col("k") >= 1).alias("some"), F.count_if(F.col("k") == 0).alias("none"), F.count_if(F.col("k") > 1).alias("several"))
 
 
+@query("passage_stats", f"""WITH {_SENT} SELECT count(*) AS passages, count(*) FILTER (is_selected) AS selected_passages, round(avg(c), 2) AS avg_chars, round(avg(len(s)), 2) AS avg_sentences,
+  count(*) FILTER (len(s) <= 1) AS single_sentence, count(*) FILTER (len(s) > 1) AS multi_sentence FROM sent JOIN (SELECT doc_id, length(text) AS c FROM documents) USING (doc_id)""")
+def passage_stats(spark, sf_dir):
+    return evaluation.passage_stats(_passages(spark, sf_dir))
+
+
+@query("inspect_raw", f"""WITH {_LISTS}, r AS (SELECT *, len(list_filter(sel, lambda x: x)) AS k, coalesce({_squeeze('tr[1]')}, '') = '' AS bare FROM lists)
+SELECT count(*) AS examples, count(*) FILTER (conv_id % 11 <> 0) AS usable_ids, CAST(0 AS BIGINT) AS repeated_ids, count(*) FILTER (conv_id % 5 = 0 OR bare) AS blank_query, count(*) FILTER (en[1] IS NULL) AS blank_eng_query,
+  count(*) FILTER (bare) AS blank_answer, count(*) AS blank_eng_answer, count(*) FILTER (conv_id % 3 <> 0) AS blank_query_type, count(*) FILTER (en[1] IS NOT NULL) AS stray_punctuation,
+  CAST(sum(len(en)) AS BIGINT) AS english_passages, CAST(sum(len(tr)) AS BIGINT) AS translated_passages, count(*) FILTER (len(en) <> len(tr) OR len(en) <> len(sel)) AS different_lengths,
+  CAST(min(k) AS INT) AS selected_least, CAST(max(k) AS INT) AS selected_most, round(avg(k), 2) AS selected_mean, CAST((SELECT k FROM r GROUP BY k ORDER BY count(*) DESC, k LIMIT 1) AS INT) AS selected_mode,
+  count(*) FILTER (k = 0) AS none_selected, count(*) FILTER (k > 1) AS several_selected FROM r""")
+def inspect_raw(spark, sf_dir):
+    return evaluation.inspected(raw_examples(spark, sf_dir))
+
+
 @query("query_id_profile", "SELECT count(*) AS n, count(DISTINCT user_id) AS distinct_ids, count(*) - count(DISTINCT user_id) AS repeated_ids, min(user_id) AS least, max(user_id) AS greatest FROM events")
 def query_id_profile(spark, sf_dir):
     i = F.col("user_id")

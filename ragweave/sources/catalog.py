@@ -43,6 +43,15 @@ def reported_shards(report: str | None) -> dict[str, dict[str, str]] | None:
     return found or None
 
 
+def discover(spark: SparkSession, report: str | None, root: str) -> DataFrame:
+    """The catalog that a cached report has, else that of the files below ``root``."""
+    known = reported_shards(report)
+    if known is None:
+        return list_shards(spark, root)
+    rows = [(path, split, lang) for split, by in known.items() for lang, path in by.items()]
+    return spark.createDataFrame(rows, "path string, split string, lang string")
+
+
 def languages(df: DataFrame, split: str) -> DataFrame:
     return df.where(F.col("split") == split).select("lang").distinct().orderBy("lang")
 
