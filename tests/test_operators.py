@@ -10,7 +10,7 @@ from ragweave.config import AnswerConfig, ChunkConfig, IngestConfig, RerankPolic
 from ragweave.functions import measures as M
 from ragweave.functions import text as X
 from ragweave.operators import chunking, evaluation, guardrails, ingest, ranking, routing
-from ragweave.sources import catalog
+from ragweave.sources import catalog, stores
 from ragweave.streaming import ingest as streaming
 
 
@@ -282,14 +282,22 @@ def test_index_tables(spark, tmp_path):
     assert [(h["query_id"], h["doc_id"]) for h in hits] == [(7, 2)]
 
 
-def test_stream(spark, tmp_path):
+@pytest.mark.parametrize("every", [1, 2, 16])
+def test_stream(spark, tmp_path, every):
     folder, table, marks = (str(tmp_path / n) for n in ("in", "table", "marks"))
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.json").write_text('{"query_id": "1", "text": "One. Two.", "language": "en"}\n')
-    streaming.start(spark, folder, table, marks).awaitTermination()
-    (tmp_path / "in" / "b.json").write_text('{"query_id": "1", "text": "Changed.", "language": "en"}\n{"query_id": "2", "text": "New.", "language": "en"}\n')
-    streaming.start(spark, folder, table, marks).awaitTermination()
-    assert {(r["chunk_id"], r["text"]) for r in streaming.current(spark, table).collect()} == {("1:0:en:structure:0", "Changed."), ("2:0:en:structure:0", "New.")}
+    batches = [
+        ['{"query_id": "1", "text": "One. Two.", "language": "en"}'],
+        ['{"query_id": "1", "text": "Changed.", "language": "en"}', '{"query_id": "2", "text": "New.", "language": "en"}'],
+        ['{"query_id": "2", "text": "Newer.", "language": "en"}'],
+    ]
+    assert streaming.current(spark, table) is None
+    for n, lines in enumerate(batches):
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(lines) + "\n")
+        streaming.start(spark, folder, table, marks, compact_every=every).awaitTermination()
+    assert sorted((r["chunk_id"], r["text"]) for r in streaming.current(spark, table).collect()) == [("1:0:en:structure:0", "Changed."), ("2:0:en:structure:0", "Newer.")]
+    left = [v for kind in ("base", "delta") for v in stores.versions(spark, f"{table}/{kind}")]
+    assert left == ([2] if every == 1 else [1, 2] if every == 2 else [0, 1, 2])
 
 
 def test_environment(monkeypatch):
