@@ -5,9 +5,9 @@ tokenizer's pattern cuts a text into) and their lengths in tokens. Tier two is a
 worker: pre-tokens that miss are encoded by the library once and kept, up to ``CACHE`` entries.
 Pre-tokens are never shuffled.
 
-Frequent pre-tokens come from all texts: each task keeps a bounded space-saving summary, summaries
-are merged in two levels, and the ``FREQUENT`` largest are taken. They only decide what is looked
-up fast; counts are exact whatever is in the table.
+Frequent pre-tokens come from all texts: each task counts pre-tokens and drops the rarest when it
+has too many, these summaries are merged in two levels, and the ``FREQUENT`` largest are taken. They
+only decide what is looked up fast; counts are exact whatever is in the table.
 
 Exactness: byte-level BPE never merges across pre-tokens, so a text has the sum of its pre-tokens'
 counts. The pattern is applied here only to characters on whose classes (letter, digit, space)
@@ -119,8 +119,8 @@ class Counts:
             return lambda piece: len(self.library.encode(piece, add_special_tokens=False).ids)
         import tiktoken
 
-        single = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-        return lambda piece: len(single(piece))
+        ordinary = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return lambda piece: len(ordinary(piece))  # the pattern cuts a pre-token no further
 
     def whole(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -161,7 +161,7 @@ def frequent_pretokens(docs: DataFrame, path: str | None = None, keep: int = FRE
             for text in batch.column(0).to_pylist():
                 if text:
                     counts.update(pretokens(text))
-                if len(counts) > 40 * keep:  # space saving: the smallest go
+                if len(counts) > 40 * keep:  # the smallest go; which are frequent is no matter of exactness
                     counts = _top(counts, 10 * keep)
         if counts:
             part = TaskContext.get().partitionId()
