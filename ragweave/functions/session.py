@@ -1,14 +1,41 @@
-"""Session settings that plans rely on."""
+"""Session settings and shared folders that plans rely on."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def stable_unions(spark: SparkSession) -> None:
-    """Let unions not pass on their children's partitioning.
+    """Let unions not pass on their children's partitioning, in this session.
 
     Adaptive execution may coalesce the children differently after the plan has counted on equal
     partition counts, which then fails when the plan runs.
     """
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder is taken, but only for a master that runs
+    everything on this machine.
+    """
+    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if set_dir:
+        return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="ragweave-")
+    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
+    return f"file://{made}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, where several branches of a plan would compute it again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/ragweave/settled/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -115,7 +115,10 @@ def exploded(df: DataFrame) -> DataFrame:
 def first_passages(rows: DataFrame, order: list, scope: str = "global") -> DataFrame:
     """Passages of which no earlier one has the same language and text (case and spaces aside)."""
     key = [F.col("language"), X.dedupe_key(F.col("text")), *([F.col("shard_lang")] if scope == "per_lang" else [])]
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
+    # A 128-bit hash stands for the text; tasks keep the first of each key that they have before anything is shuffled.
+    null = [c.isNull() for c in key]
+    rows = rows.withColumns({"__a": F.xxhash64(*key, *null), "__b": F.xxhash64(F.lit(7), *key, *null)})
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy("__a", "__b").orderBy(*order))).where("__n = 1").drop("__n", "__a", "__b")
 
 
 def deduped(df: DataFrame, scope: str = "global") -> DataFrame:

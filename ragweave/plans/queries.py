@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ragweave.config import IngestConfig
 from ragweave.functions import measures as M
 from ragweave.functions import text as X
-from ragweave.functions.session import stable_unions
+from ragweave.functions.session import settled, stable_unions
 from ragweave.operators import chunking, evaluation, guardrails, ingest, ranking, routing
 from ragweave.plans.answer import Answering
 from ragweave.plans.registry import query
@@ -581,7 +581,7 @@ per AS (SELECT item_id AS query_id, length(text) AS lat, CASE WHEN h THEN CAST(c
 
 def _per_query(spark, sf_dir) -> DataFrame:
     q = questions(spark, sf_dir)
-    return evaluation.per_query(bm25_topk(spark, sf_dir), _gold(spark, sf_dir), q)
+    return evaluation.per_query(bm25_topk(spark, sf_dir), settled(_gold(spark, sf_dir)), q)
 
 
 @query("recall_mrr", f"WITH {_PER} SELECT query_id, r1, r5, r10, round(mrr, 6) AS mrr FROM per")
@@ -713,8 +713,8 @@ def policy_comparison(spark, sf_dir):
     """Recall and share of reranked questions when reranking always, never and by the policy."""
     stable_unions(spark)
     q = questions(spark, sf_dir)
-    hits = ranking.beside(_hits(spark, sf_dir), q.withColumnRenamed("text", "query"), "query_id", text="query")
-    flags = rerank_decision(spark, sf_dir).select("query_id", "applied")
+    hits = settled(ranking.beside(_hits(spark, sf_dir), q.withColumnRenamed("text", "query"), "query_id", text="query"))  # ten a question
+    flags = ranking.decisions(routing.features(q).join(ranking.signals(hits), "query_id", "left")).select("query_id", "applied")
     policies = F.array(*(F.struct(F.lit(n).alias("strategy"), f.alias("applied")) for n, f in (("always", F.lit(True)), ("never", F.lit(False)), ("adaptive", F.col("applied")))))
     flags = flags.select(F.col("query_id").alias("id"), F.inline(policies))
     # A policy's questions are questions of their own.
@@ -739,13 +739,13 @@ def system_comparison(spark, sf_dir):
     """Recall and reciprocal rank of dense, lexical, fused and always reranked search."""
     stable_unions(spark)
     q = questions(spark, sf_dir)
-    lists = hybrid_lists(spark, sf_dir, q, 20)
-    fused = ranking.fuse(lists)
+    lists = [(name, settled(df)) for name, df in hybrid_lists(spark, sf_dir, q, 20)]
+    fused = settled(ranking.fuse(lists))
     hits = ranking.beside(fused.join(documents(spark, sf_dir).select("doc_id", "text"), "doc_id"), q.withColumnRenamed("text", "query"), "query_id", text="query")
     systems = [*((name, df.where("rank <= 10")) for name, df in lists), ("hybrid", fused), ("hybrid+rerank", ranking.rerank_lexical(hits, 12))]
     named = lambda name, c: F.concat(F.lit(f"{name}:"), F.col(c).cast("string"))
     ranked = gold = asked = None
-    found = _gold(spark, sf_dir)
+    found = settled(_gold(spark, sf_dir))
     for name, df in systems:
         parts = (df.select(named(name, "query_id").alias("query_id"), "doc_id", "rank"), found.select(named(name, "query_id").alias("query_id"), "doc_id"), q.select(named(name, "query_id").alias("query_id"), F.lit(name).alias("retriever")))
         ranked, gold, asked = parts if ranked is None else (a.unionByName(b) for a, b in zip((ranked, gold, asked), parts, strict=True))
@@ -787,7 +787,7 @@ def set_ops_langs(spark, sf_dir):
 
 @query("semi_anti_gold", f"WITH {_GOLD} SELECT (SELECT count(DISTINCT query_id) FROM gold) AS with_gold, (SELECT count(*) FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM gold)) AS without_gold, (SELECT count(*) FROM gold WHERE doc_id IN (SELECT doc_id FROM labels)) AS labelled_gold")
 def semi_anti_gold(spark, sf_dir):
-    g, q = _gold(spark, sf_dir), questions(spark, sf_dir)
+    g, q = settled(_gold(spark, sf_dir)), questions(spark, sf_dir)
     parts = [
         q.join(g, "query_id", "left_semi").agg(F.count("*").alias("with_gold")), q.join(g, "query_id", "left_anti").agg(F.count("*").alias("without_gold")),
         g.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").agg(F.count("*").alias("labelled_gold")),
