@@ -10,7 +10,7 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragweave.functions.session import stable_unions
+from ragweave.functions.session import shared_dir, stable_unions
 
 #: A word is a maximal run of anything but space, tab, newline, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,22 +20,6 @@ BLANK_CHARS = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where it is unset, a temporary folder is taken, but only for a master that runs
-    everything on this machine.
-    """
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if set_dir:
-        return set_dir.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="ragweave-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
-
-
 def ship(spark: SparkSession) -> None:
     """Give the workers this package, once for each Spark context (as ``--py-files`` would), and set up the session."""
     stable_unions(spark)
