@@ -94,12 +94,15 @@ class Tables:
         self.drop(*(df for df in self.live if df._ragweave_path not in kept))
 
 
-def join_checked(left: DataFrame, small: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with ``small`` (a written table): broadcast it if it has at most ``rows`` rows.
+def join_checked(left: DataFrame, small: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS, array: str | None = None) -> DataFrame:
+    """Join with ``small`` (a written table): broadcast it if it has at most ``rows`` rows, and as many entries in its column ``array``.
 
     Beyond that both sides are shuffled, and adaptive execution splits skewed partitions.
     """
-    return left.join(F.broadcast(small) if small.count() <= rows else small, on, how)
+    few = small.count() <= rows
+    if few and array:
+        few = (small.agg(F.sum(F.greatest(F.size(array), F.lit(0)))).head()[0] or 0) <= rows
+    return left.join(F.broadcast(small) if few else small, on, how)
 
 
 def words(col: Column) -> Column:

@@ -139,7 +139,7 @@ def dropped_lines(docs: DataFrame, tables: Tables) -> DataFrame:
     some = tables.write(join_checked(halves, shared, "half", "left_semi").groupBy("a", "b").agg(F.first("at").alias("at")))
     # Their words, from the first place of each.
     where = tables.write(some.groupBy(F.col("at.place").alias("place")).agg(F.collect_set("at.line_no").alias("wanted")))
-    texts = join_checked(docs, where, "place")
+    texts = join_checked(docs, where, "place", array="wanted")
     rows = _lines(texts, "place", "wanted").where(F.array_contains("wanted", F.col("line_no")))
     kept = tables.write(rows.select(F.struct("place", "line_no").alias("at"), "w").dropDuplicates(["at"]))  # of equal rows any
     # The deletion neighbourhood of each.
@@ -168,7 +168,7 @@ def _marked(docs: DataFrame, tables: Tables) -> DataFrame:
     rows = _place(docs.where(_has_word(F.col("text")))).groupBy("place").agg(F.count("*").alias("__rows")).where("__rows > 1")
     by = tables.write(by.join(rows, "place", "full").withColumnRenamed("place", "__place"))
     place = place_of(docs["doc_id"], docs["text"])
-    return join_checked(docs.withColumn("__at", place), by, F.col("__at") == F.col("__place"), "left").drop("__place")
+    return join_checked(docs.withColumn("__at", place), by, F.col("__at") == F.col("__place"), "left", array="__gone").drop("__place")
 
 
 def _first_of_equals(marked: DataFrame) -> DataFrame:

@@ -158,7 +158,7 @@ ODD_ROWS = [
 @pytest.mark.parametrize(("seed", "bound"), [(1, None), (2, None), (3, 0)])
 def test_line_dedup(spark, monkeypatch, seed, bound):
     if bound is not None:  # beyond the broadcast bound the result is the same
-        monkeypatch.setattr(common.join_checked, "__defaults__", ("inner", bound))
+        monkeypatch.setattr(common.join_checked, "__defaults__", ("inner", bound, None))
     rows = [*line_rows(seed, 150 if bound is None else 40), *ODD_ROWS]
     df = docs(spark, rows, extra=True).repartition(6)
     order = line_places(spark, rows)
