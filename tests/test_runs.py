@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,9 +19,10 @@ def raw_row(i, text):
 
 @pytest.fixture
 def shards(spark, tmp_path):
+    (tmp_path / "raw" / "validation").mkdir(parents=True)
     for stem, texts in (("hin", ["red", "green", "blue"]), ("tam", ["red", "white"])):
         df = spark.createDataFrame([raw_row(i, t) for i, t in enumerate(texts)], catalog.RAW)
-        df.coalesce(1).write.parquet(str(tmp_path / "raw" / "validation" / f"{stem}val.parquet"))
+        pq.write_table(df.toArrow(), tmp_path / "raw" / "validation" / f"{stem}val.parquet")
     return {"validation": {"hi": str(tmp_path / "raw/validation/hinval.parquet"), "ta": str(tmp_path / "raw/validation/tamval.parquet"), "bn": str(tmp_path / "nowhere.parquet")}}
 
 
@@ -110,3 +112,16 @@ def test_latencies(spark):
     assert (got["retrieve"]["mean"], got["retrieve"]["p50"], got["retrieve"]["p100"]) == (2.0, 2.0, 3.0)
     assert got["rerank"]["n"] == 2 and got["total"]["p100"] == 33.0 and got["total"]["p50"] == 11.0
     assert set(runs.warm_up(spark, {"a": df})) == {"a"}
+
+
+def test_command_line(spark, shards, tmp_path, capsys):
+    from ragweave.__main__ import main
+
+    out = str(tmp_path / "out")
+    report = main(["ingest", str(tmp_path / "raw"), "--out", out, "--dedupe"], spark)
+    assert report["languages"] == ["hi", "ta"] and json.loads(capsys.readouterr().out) == json.loads(json.dumps(report))
+    assert main(["inspect", str(tmp_path / "raw")], spark)["examples"] == 5
+    assert main(["index", f"{out}/passages", "--out", f"{out}/index", "--strategy", "sliding"], spark)["points"] > 0
+    runs.evaluation_run(spark, ingest.examples(catalog.read_raw(spark, shards["validation"]["hi"], "hi", "validation")), f"{out}/eval")
+    hits = main(["search", f"{out}/eval", "--index", f"{out}/index", "--out", f"{out}/hits", "--k", "2"], spark)
+    assert hits["dense"] > 0 and sum(main(["route", f"{out}/eval"], spark).values()) == 6
