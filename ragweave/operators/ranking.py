@@ -63,7 +63,7 @@ class LexicalIndex:
     def build(cls, docs: DataFrame, config: RetrievalConfig | None = None) -> LexicalIndex:
         cfg = config or RetrievalConfig()
         kept = docs.where(X.squeeze_ends(F.coalesce("text", F.lit(""))) != "")
-        sorted_ = F.array_sort(X.tokens(F.col("text")))
+        sorted_ = F.sort_array(X.tokens(F.col("text")))
         kept = kept.select("doc_id", F.inline(F.array(F.struct(sorted_.alias("t")))))
         # The runs of the sorted tokens are the document's terms: nothing is shuffled to count them.
         starts = F.filter(F.transform("t", lambda x, i: F.when((i == 0) | (x != F.get(F.col("t"), i - 1)), i)), lambda i: i.isNotNull())
