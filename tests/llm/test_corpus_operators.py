@@ -402,10 +402,12 @@ def test_urls(spark):
     r = random.Random(4)
     made = [f"http://{r.choice(['good', 'fine'])}{i}.example.com/fr/{i}" for i in range(150)] + [f"http://{r.choice(['spam', 'pills'])}{i}.x.net/es/{i}" for i in range(150)]
     open_ = [f"http://good{i}.example.org/fr/{i}" for i in range(20)] + [f"http://spam{i}.x.org/es/{i}" for i in range(20)]
-    every = URLS + made + open_ + made[:5]
-    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(every)], "page_id long, url string, verdict string")
+    every = URLS + made + open_ + made[:5] + open_[:3] + ["http://good.example.org/" + "fr/" * 40_000, "http://" + "spam." * 20_000 + "x.org"]
+    df = spark.createDataFrame([(i, u, "h", 1) for i, u in enumerate(every)], "page_id long, url string, verdict string, score int")
     got = {x["page_id"]: x for x in urls.judge(df).collect()}
     assert len(got) == len(every)
+    for i, u in enumerate(every):  # repeated urls are judged alike
+        assert [got[i][c] for c in ("rule", "verdict", "score")] == [got[every.index(u)][c] for c in ("rule", "verdict", "score")]
     for i, u in enumerate(every):
         host, path = plain_url(u)
         assert (got[i]["host"], got[i]["path"]) == (host, path), u
