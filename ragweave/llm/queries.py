@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from ragweave.llm import jpeg, linededup, mixing, neardup, pieces, pii, quality, tokencount, urls, warc
+from ragweave.llm import jpeg, linededup, mixing, neardup, pieces, pii, quality, tokencount, txlog, urls, warc
 from ragweave.llm.common import table
 
 QUERIES: dict = {}
-ORACLES: dict = {"op1_mixing": mixing.ORACLE, "op3_linededup": linededup.ORACLE}
+ORACLES: dict = {"op1_mixing": mixing.ORACLE, "op3_linededup": linededup.ORACLE, "op12_txlog": txlog.ORACLE}
 
 
 def _query(build):
@@ -73,3 +73,9 @@ def op9_tokencount(spark, sf_dir):
 def op10_quality(spark, sf_dir):
     """Base statistics and verdict of each document."""
     return quality.judge(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_txlog(spark, sf_dir):
+    """The store after each epoch of the documents' log, and its undone changes."""
+    return txlog.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
