@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from ragweave.llm import jpeg, linededup, mixing, neardup, pieces, pii, quality, tokencount, txlog, urls, warc
+from ragweave.llm import hardneg, jpeg, linededup, mixing, neardup, pieces, pii, quality, tokencount, txlog, urls, warc
 from ragweave.llm.common import table
 
 QUERIES: dict = {}
-ORACLES: dict = {"op1_mixing": mixing.ORACLE, "op3_linededup": linededup.ORACLE, "op12_txlog": txlog.ORACLE}
+ORACLES: dict = {"op1_mixing": mixing.ORACLE, "op3_linededup": linededup.ORACLE, "op12_txlog": txlog.ORACLE, "op13_hardneg": hardneg.ORACLE}
 
 
 def _query(build):
@@ -79,3 +79,9 @@ def op10_quality(spark, sf_dir):
 def op12_txlog(spark, sf_dir):
     """The store after each epoch of the documents' log, and its undone changes."""
     return txlog.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op13_hardneg(spark, sf_dir):
+    """Hard negatives of every anchor and positive."""
+    return hardneg.mine(table(spark, sf_dir, "embeddings"))
