@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ragweave.llm import hardneg, jpeg, linededup, mixing, neardup, pieces, pii, quality, tokencount, txlog, urls, warc
+from ragweave.llm import hardneg, jpeg, linededup, mixing, neardup, pieces, pii, quality, tokencount, toxicity, txlog, urls, warc
 from ragweave.llm.common import table
 
 QUERIES: dict = {}
@@ -75,6 +75,12 @@ def op10_quality(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op11_toxicity(spark, sf_dir):
+    """The toxicity score of each document."""
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @_query
 def op12_txlog(spark, sf_dir):
     """The store after each epoch of the documents' log, and its undone changes."""
