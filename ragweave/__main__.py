@@ -13,6 +13,7 @@ from ragweave.config import ChunkConfig, IngestConfig, RetrievalConfig
 from ragweave.operators import chunking, embedding, evaluation, routing
 from ragweave.plans import runs
 from ragweave.sources import catalog, stores
+from ragweave.sources.lexical import LexicalStore
 
 
 def _questions(spark: SparkSession, path: str) -> DataFrame:
@@ -31,14 +32,14 @@ def index(spark: SparkSession, a: argparse.Namespace) -> dict:
     passages = catalog.read_passages(spark, a.source)
     report = runs.index_run(spark, passages, a.out, a.strategy, cfg=ChunkConfig.from_env(), recreate=a.recreate)
     chunks = spark.read.parquet(f"{a.out}/chunks").select(F.col("chunk_id").alias("doc_id"), "text")
-    stores.lexical_index(spark, f"{a.out}/lexical", chunks, RetrievalConfig.from_env())
+    LexicalStore(spark, f"{a.out}/lexical", RetrievalConfig.from_env()).sync(chunks.dropDuplicates(["doc_id"]))
     return report
 
 
 def search(spark: SparkSession, a: argparse.Namespace) -> dict:
     """Lexical and dense hits of an evaluation set's queries over an index, as tables."""
     asked = _questions(spark, a.source)
-    lexical = stores.lexical_index(spark, f"{a.index}/lexical", spark.createDataFrame([], "doc_id string, text string"))
+    lexical = LexicalStore(spark, f"{a.index}/lexical", RetrievalConfig.from_env())
     near = embedding.embedded(asked, embedding.hashed_ngrams(ChunkConfig.from_env()), "query").select("query_id", "embedding")
     counts = {}
     for name, hits in (("lexical", lexical.search(asked, a.k)), ("dense", stores.VectorTable(spark, f"{a.index}/vectors").search(near, a.k))):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,8 +36,42 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back, where several branches of a plan would compute it again."""
+    """``df`` written to the shared folder and read back, where several branches of a plan would compute it again.
+
+    The table stays until ``release_settled``, as results read it lazily.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ragweave/settled/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _written(spark: SparkSession) -> list[str]:
+    if not hasattr(spark, "_ragweave_settled"):
+        spark._ragweave_settled = []
+    return spark._ragweave_settled
+
+
+def release_settled(spark: SparkSession) -> None:
+    """Delete the tables that ``settled`` wrote in this session: results that read them must have been written."""
+    paths = _written(spark)
+    while paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once for each Spark context, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if getattr(context, "_ragweave_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="ragweave-"), "ragweave.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._ragweave_shipped = True

@@ -6,20 +6,24 @@ vec_id is a doc_id), parallel arrays (conversations by turn) and measures (event
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragweave.config import IngestConfig
 from ragweave.functions import measures as M
 from ragweave.functions import text as X
-from ragweave.functions.session import settled, stable_unions
+from ragweave.functions.session import settled, shared_dir, ship, stable_unions
 from ragweave.operators import chunking, evaluation, guardrails, ingest, ranking, routing
 from ragweave.plans.answer import Answering
 from ragweave.plans.registry import query
-from ragweave.sources import catalog
+from ragweave.sources import catalog, stores
+from ragweave.sources.lexical import LexicalStore
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +39,16 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
 
 
+def lexical(spark: SparkSession, sf_dir: str) -> LexicalStore:
+    """The lexical index of the documents in the shared folder; written first where these files have none."""
+    stable_unions(spark)
+    mark = stores.fingerprint(table(spark, sf_dir, "documents"))
+    store = LexicalStore(spark, f"{shared_dir(spark)}/ragweave/lexical/{mark}")
+    if not store.segments():
+        store.add(documents(spark, sf_dir))
+    return store
+
+
 # DuckDB fragments -----------------------------------------------------------------------------
 
 _S = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
@@ -352,13 +366,27 @@ def chunk_metrics(spark, sf_dir):
 
 @query("bm25_topk", f"WITH {_BM25} {_top('lex', 10)}")
 def bm25_topk(spark, sf_dir):
-    return ranking.LexicalIndex.build(documents(spark, sf_dir)).search(questions(spark, sf_dir), 10)
+    return lexical(spark, sf_dir).search(questions(spark, sf_dir), 10)
 
 
 @query("bm25_topk_filtered", f"WITH {_BM25} {_top('lex', 10, chr(39).join(['lang IN (', 'de', ',', 'fr', ')']))}")
 def bm25_topk_filtered(spark, sf_dir):
     d = documents(spark, sf_dir)
-    return ranking.LexicalIndex.build(d).search(questions(spark, sf_dir), 10, d.where(F.col("language").isin("de", "fr")))
+    return lexical(spark, sf_dir).search(questions(spark, sf_dir), 10, d.where(F.col("language").isin("de", "fr")))
+
+
+_FINAL = "SELECT doc_id, lang, source, CASE WHEN doc_id % 5 = 1 THEN text || ' ' || reverse(text) ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3"
+
+
+@query("bm25_grown", f"WITH base AS ({_FINAL}), {_BM25.replace('FROM documents', 'FROM base')} {_top('lex', 10)}")
+def bm25_grown(spark, sf_dir):
+    """The same search over an index that grew in batches: two halves, replaced documents, deleted ones."""
+    d, path = documents(spark, sf_dir), f"{shared_dir(spark)}/ragweave/lexical/{uuid.uuid4().hex}"
+    store = LexicalStore(spark, path)
+    for batch in (d.where("doc_id % 2 = 0"), d.where("doc_id % 2 != 0"), d.where("doc_id % 5 = 1").withColumn("text", F.concat("text", F.lit(" "), F.reverse("text")))):
+        store.add(batch)
+    store.delete(d.where("doc_id % 7 = 3"))
+    return store.search(questions(spark, sf_dir), 10)
 
 
 def _dense_query(metric: str, where: str | None = None):
@@ -379,7 +407,7 @@ def hybrid_lists(spark, sf_dir, asked: DataFrame, k: int) -> list[tuple[str, Dat
     """Ranked lists of questions: by the vector of the question's id, and by words."""
     v = vectors(spark, sf_dir)
     asked_vectors = v.join(asked.select(F.col("query_id").alias("doc_id")), "doc_id").withColumnRenamed("doc_id", "query_id")
-    return [("dense", ranking.dense_search(v, asked_vectors, k)), ("bm25", ranking.LexicalIndex.build(documents(spark, sf_dir)).search(asked, k))]
+    return [("dense", ranking.dense_search(v, asked_vectors, k)), ("bm25", lexical(spark, sf_dir).search(asked, k))]
 
 
 def _hybrid(spark, sf_dir) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragweave.config import RetrievalConfig
 from ragweave.operators import ranking
 from ragweave.sources import catalog
 
@@ -30,11 +30,11 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the finished versions ``path/v=N``, in order."""
+def versions(spark: SparkSession, path: str, mark: str = "") -> list[int]:
+    """Numbers of the versions ``path/v=N`` that are finished (or whose part ``mark`` is), in order."""
     fs, where = _fs(spark, path)
     names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
-    return sorted(n for n in (int(x[2:]) for x in names if x.startswith("v=")) if exists(spark, f"{path}/v={n}"))
+    return sorted(n for n in (int(x[2:]) for x in names if x.startswith("v=")) if exists(spark, f"{path}/v={n}/{mark}".rstrip("/")))
 
 
 class VectorTable:
@@ -101,11 +101,11 @@ class VectorTable:
         return ranking.dense_search(rows, queries, k, self.metric, F.col("language").isin(languages) if languages else None)
 
 
-def lexical_index(spark: SparkSession, path: str, docs: DataFrame, config: RetrievalConfig | None = None) -> ranking.LexicalIndex:
-    """The index written at ``path``; it is built of ``docs`` and written first if there is none."""
-    if not (exists(spark, f"{path}/postings") and exists(spark, f"{path}/terms")):
-        ranking.LexicalIndex.build(docs, config).write(path)
-    return ranking.LexicalIndex.read(spark, path, config)
+def fingerprint(df: DataFrame) -> str:
+    """A digest of the files that ``df`` reads: paths, sizes and times of change."""
+    files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    found = files.agg(F.count("*").alias("n"), F.sum(F.xxhash64("*").cast("decimal(38, 0)")).alias("h")).head()
+    return hashlib.sha256(f"{found['n']}:{found['h']}".encode()).hexdigest()[:24]
 
 
 def cache(spark: SparkSession, path: str) -> DataFrame:

@@ -98,14 +98,6 @@ def test_embedder(spark):
         embedding.embedded(df, embedding.Model("wrong", 3, load)).collect()
 
 
-def test_lexical_index_is_kept(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "red apple"), (2, "green pear"), (3, "blue sky")], "doc_id long, text string")
-    ask = spark.createDataFrame([(7, "pear")], "query_id long, text string")
-    for given in (docs, docs.limit(0)):  # the second time it is read
-        hits = stores.lexical_index(spark, str(tmp_path / "index"), given).search(ask).collect()
-        assert [(h["query_id"], h["doc_id"]) for h in hits] == [(7, 2)]
-
-
 def test_latencies(spark):
     df = spark.createDataFrame([(1.0, 10.0), (2.0, None), (3.0, 30.0)], "retrieve double, rerank double")
     got = {r["stage"]: r for r in runs.latencies(df, ["retrieve", "rerank"]).collect()}
