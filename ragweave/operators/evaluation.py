@@ -69,16 +69,22 @@ def breakdowns(rows: DataFrame, keys: list[str], more: list[Column] | None = Non
     return out.agg(*metric_block(), *(more or []))
 
 
+def still_indexed(examples: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Examples with only those of their gold ids that are ``indexed`` (doc_id), in order; each row by itself, ids may repeat."""
+    others = [c for c in examples.columns if c != "gold_document_ids"]
+    rows = examples.withColumn("__row", F.monotonically_increasing_id()).select("__row", F.struct(*others).alias("__head"), F.explode_outer("gold_document_ids").alias("doc_id"))
+    rows = rows.join(indexed.select("doc_id", F.lit(True).alias("__in")).distinct(), "doc_id", "left")
+    found = F.array_sort(F.collect_set(F.when(F.col("__in"), F.col("doc_id"))))
+    out = rows.groupBy("__row").agg(F.first("__head").alias("__head"), found.alias("gold_document_ids"))
+    return out.select(*(F.col(f"__head.{c}") if c != "gold_document_ids" else F.col(c) for c in examples.columns))
+
+
 def gold_set(examples: DataFrame, indexed: DataFrame | None = None, include_english: bool = True) -> DataFrame:
     """Evaluation rows of examples: the native query and, if it differs, the English one, with gold and features.
 
     Gold ids that are not ``indexed`` (doc_id) go, and examples without any left.
     """
-    df = examples
-    if indexed is not None:
-        kept = df.select("shard_lang", "query_id", F.explode("gold_document_ids").alias("doc_id")).join(indexed.select("doc_id"), "doc_id", "left_semi")
-        lists = kept.groupBy("shard_lang", "query_id").agg(F.array_sort(F.collect_set("doc_id")).alias("__gold"))
-        df = df.join(lists, ["shard_lang", "query_id"]).withColumn("gold_document_ids", F.col("__gold")).drop("__gold")
+    df = examples if indexed is None else still_indexed(examples, indexed).where(F.size("gold_document_ids") > 0)
     native, eng = X.squeeze_ends(F.coalesce("query", F.lit(""))), X.squeeze_ends(F.coalesce("eng_query", F.lit("")))
     own = F.struct(native.alias("text"), F.coalesce("shard_lang", X.script_language(native)).alias("query_language"), F.lit("indic").alias("query_source"))
     english = F.struct(eng.alias("text"), F.lit("en").alias("query_language"), F.lit("english").alias("query_source"))
@@ -94,14 +100,11 @@ def gold_report(examples: DataFrame, indexed: DataFrame | None = None, include_e
         F.count_if(F.col("query_source") == "indic").alias("indic_emitted"), F.count_if(F.col("query_source") == "english").alias("english_emitted"),
         *(F.count_if(F.col("expected_route") == r).alias(f"{r.lower()}_emitted") for r in ("FAST", "ACCURATE", "DEEP")),
     )
-    left = F.lit(True)
-    df = examples.select("shard_lang", "query_id", "gold_document_ids")
-    if indexed is not None:
-        kept = df.select("shard_lang", "query_id", F.explode("gold_document_ids").alias("doc_id")).join(indexed.select("doc_id"), "doc_id", "left_semi")
-        df = df.join(kept.select("shard_lang", "query_id").distinct().withColumn("__left", F.lit(True)), ["shard_lang", "query_id"], "left")
-        left = F.coalesce("__left", F.lit(False))
     some = F.size("gold_document_ids") > 0
-    seen = df.agg(F.count("*").alias("examples_seen"), F.count_if(~some).alias("examples_without_gold"), F.count_if(some & ~left).alias("dropped_no_indexed_gold"))
+    df = examples.select("gold_document_ids", some.alias("some"))
+    df = df if indexed is None else still_indexed(df, indexed)
+    left = F.size("gold_document_ids") > 0
+    seen = df.agg(F.count("*").alias("examples_seen"), F.count_if(~F.col("some")).alias("examples_without_gold"), F.count_if(F.col("some") & ~left).alias("dropped_no_indexed_gold"))
     return seen.join(F.broadcast(rows), F.lit(True))  # one row each
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ragweave.config import IngestConfig
@@ -44,14 +44,15 @@ def passage_array(pairs: Column, query_id: Column, shard: Column, source: Column
     return F.filter(F.flatten(F.transform(pairs, both)), lambda p: p["text"].isNotNull())
 
 
-def examples(raw: DataFrame, cfg: IngestConfig | None = None) -> DataFrame:
+def examples(raw: DataFrame, cfg: IngestConfig | None = None, seen: Observation | None = None) -> DataFrame:
     """Clean examples of raw rows (shard_lang, split and the raw fields), with their passages and gold ids.
 
     Rows without a castable query_id go; those with both queries blank go if asked, and likewise
-    those without any answer.
+    those without any answer. ``seen`` observes what was read and left out, in the same pass.
     """
     cfg = cfg or IngestConfig()
-    df = _flagged(raw, cfg).where("__why is null").drop("__why")
+    df = _flagged(raw, cfg)
+    df = (df if seen is None else df.observe(seen, *seen_metrics())).where("__why is null").drop("__why")
     made = passage_array(F.col("__pairs"), F.col("query_id"), F.col("shard_lang"), F.col("source_lang"), F.col("target_lang"), cfg)
     df = df.withColumns({"passages": made, "raw_passage_count": F.size("__pairs"), "query": F.coalesce("query", F.lit("")), "eng_query": F.coalesce("eng_query", F.lit(""))}).drop("__pairs")
     return with_gold(df)
@@ -74,25 +75,34 @@ def _flagged(raw: DataFrame, cfg: IngestConfig) -> DataFrame:
     return df.withColumn("__why", F.when(F.col("query_id").isNull(), "unusable_id").when(empty, "empty_query").when(unanswered, "no_answer"))
 
 
+def _long(c: Column) -> Column:
+    return F.coalesce(F.sum(c), F.lit(0)).cast("long")
+
+
+def seen_metrics() -> list[Column]:
+    """Counts over the flagged rows: what was read and what leaves rows out."""
+    why = F.col("__why")
+    out = [F.count_if(why == reason).alias(name) for reason, name in (("unusable_id", "unusable_ids"), ("empty_query", "empty_queries"), ("no_answer", "without_any_answer"))]
+    return [F.count("*").alias("records_processed"), F.count_if(why.isNotNull()).alias("records_skipped"), *out]
+
+
+def given_metrics() -> list[Column]:
+    """Counts over the examples that a run gives."""
+    chars = F.aggregate("passages", F.lit(0).cast("long"), lambda a, p: a + p["char_length"])
+    return [
+        F.count("*").alias("records_emitted"), F.count_if(F.col("answer").isNull()).alias("empty_answers"), F.count_if(F.col("eng_answer").isNull()).alias("empty_eng_answers"),
+        F.count_if(F.size("passages") == 0).alias("without_passages"), _long(F.size("passages")).alias("passages_emitted"),
+        _long(F.length("query") + F.length("eng_query")).alias("query_chars"), _long(chars).alias("passage_chars"),
+    ]
+
+
 def report(raw: DataFrame, cfg: IngestConfig | None = None) -> DataFrame:
-    """One row of what an ingest run saw, left out and gave."""
+    """One row of what an ingest run saw, left out and gave. A run itself observes these while it writes."""
     cfg = cfg or IngestConfig()
-    count = lambda c, name: F.count_if(c).alias(name)
-    why = F.col("__why")
-    seen = _flagged(raw, cfg).select("__why").agg(
-        F.count("*").alias("records_processed"), count(why.isNotNull(), "records_skipped"), count(why == "unusable_id", "unusable_ids"),
-        count(why == "empty_query", "empty_queries"), count(why == "no_answer", "without_any_answer"),
-    )
+    seen = _flagged(raw, cfg).select("__why").agg(*seen_metrics())
     full = examples(raw, cfg)
-    df = deduped(full, cfg.dedupe_scope) if cfg.dedupe else full
-    chars = F.aggregate("passages", F.lit(0).cast("long"), lambda a, p: a + p["char_length"])
-    long = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    given = df.agg(
-        F.count("*").alias("records_emitted"), count(F.col("answer").isNull(), "empty_answers"), count(F.col("eng_answer").isNull(), "empty_eng_answers"),
-        count(F.size("passages") == 0, "without_passages"), long(F.size("passages")).alias("passages_emitted"),
-        long(F.length("query") + F.length("eng_query")).alias("query_chars"), long(chars).alias("passage_chars"),
-    )
-    before = full.agg(long(F.size("passages")).alias("__all"))
+    given = (deduped(full, cfg.dedupe_scope) if cfg.dedupe else full).agg(*given_metrics())
+    before = full.agg(_long(F.size("passages")).alias("__all"))
     out = seen.join(F.broadcast(given), F.lit(True)).join(F.broadcast(before), F.lit(True))  # one row each
     return out.withColumn("passages_deduped", F.col("__all") - F.col("passages_emitted")).drop("__all")
 
@@ -122,13 +132,27 @@ def first_passages(rows: DataFrame, order: list, scope: str = "global") -> DataF
 
 
 def deduped(df: DataFrame, scope: str = "global") -> DataFrame:
-    """Examples with only the first passage of each text; their gold ids are those that are left."""
-    rows = df.select("shard_lang", "query_id", F.posexplode("passages").alias("seq", "p"))
-    kept = first_passages(rows.select("*", "p.language", "p.text"), ["shard_lang", "query_id", "seq"], scope)
-    lists = kept.groupBy("shard_lang", "query_id").agg(F.sort_array(F.collect_list(F.struct("seq", "p"))).alias("__kept"))
-    out = df.join(lists, ["shard_lang", "query_id"], "left")
-    none = F.filter("passages", lambda p: F.lit(False))
-    return with_gold(out.withColumn("passages", F.coalesce(F.transform("__kept", lambda x: x["p"]), none)).drop("__kept"))
+    """Examples with only the first passage of each text; their gold ids are those that are left.
+
+    Examples come in the order of shard, split, query_id and queries; those that agree in all of these,
+    in the order read. Each is an example of its own: ids may repeat, within a shard and across splits.
+    """
+    # An example is its head (all but the passages, at place -1) and a row for each passage, put together again by number.
+    others = [c for c in df.columns if c != "passages"]
+    place = lambda p, i: F.struct(i.alias("seq"), p.alias("p"))
+    none = F.lit(None).cast(df.schema["passages"].dataType.elementType)
+    parts = F.concat(F.array(place(none, F.lit(-1))), F.transform("passages", place))
+    rows = df.withColumn("__row", F.monotonically_increasing_id()).select("__row", F.struct(*others).alias("__head"), F.inline(parts))
+    head = F.col("seq") < 0
+    key = [F.col("p.language"), X.dedupe_key(F.col("p.text")), *([F.col("__head.shard_lang")] if scope == "per_lang" else [])]
+    null = [c.isNull() for c in key]
+    # A 128-bit hash stands for the text; heads are keys of their own.
+    rows = rows.withColumns({"__a": F.when(head, F.xxhash64("__row")).otherwise(F.xxhash64(*key, *null)), "__b": F.when(head, F.col("__row")).otherwise(F.xxhash64(F.lit(7), *key, *null))})
+    order = [F.col(f"__head.{c}") for c in ("shard_lang", "split", "query_id", "eng_query", "query")]
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__a", "__b", head).orderBy(*order, "__row", "seq"))).where("__n = 1")
+    kept = F.collect_list(F.when(~head, F.struct("seq", "p")))
+    out = rows.groupBy("__row").agg(F.first(F.when(head, F.col("__head")), ignorenulls=True).alias("__head"), F.transform(F.sort_array(kept), lambda x: x["p"]).alias("passages"))
+    return with_gold(out.select(*(F.col(f"__head.{c}") if c != "passages" else F.col(c) for c in df.columns)))
 
 
 def per_language(df: DataFrame, n: int, order: list) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +15,8 @@ BROADCAST_QUERIES = 100_000
 #: Characters of texts that are broadcast with it.
 BROADCAST_CHARS = 64_000_000
 SCORE_DIGITS = 6
+#: Queries of a block that are scored at once.
+SLAB = 512
 #: Why a question is reranked or not, which callers match on.
 REASONS = {
     "fast": "route_fast", "sure": "hybrid confidence was sufficient", "unasked": "route_does_not_request",
@@ -119,39 +119,60 @@ def vector_scores(left: np.ndarray, right: np.ndarray, metric: str) -> np.ndarra
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", where: Column | None = None, block: int = 4096) -> DataFrame:
-    """query_id, doc_id, score and rank of the most similar vectors (doc_id, embedding) of each query.
+def sound(df: DataFrame) -> DataFrame:
+    """Rows whose vector is there and whole, with ``size``."""
+    return df.where("embedding is not null").where(~F.exists("embedding", lambda x: x.isNull())).withColumn("size", F.size("embedding"))
+
+
+def meet(rows: DataFrame, asked: DataFrame, keys: list[str], k: int, metric: str) -> DataFrame:
+    """query_id, doc_id and score of the best ``k`` of each block of ``rows`` for each query of the block of ``asked`` with its keys.
+
+    A task holds two blocks and their product, so both sides' keys must bound their blocks.
+    """
+    kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double"
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+        ids, docs = left["query_id"].to_numpy(), right["doc_id"].to_numpy()
+        matrices = [np.stack(x["embedding"].to_numpy()).astype(np.float64) for x in (left, right)]
+        n, parts = min(k, len(docs)), []
+        for at in range(0, len(ids), SLAB):
+            scores = np.round(vector_scores(matrices[0][at : at + SLAB], matrices[1], metric), SCORE_DIGITS)
+            least = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n]
+            q, d = np.nonzero(scores >= least)
+            parts.append(pd.DataFrame({"query_id": ids[at + q], "doc_id": docs[d], "score": scores[q, d]}))
+        found = pd.concat(parts).sort_values(["query_id", "score", "doc_id"], ascending=[True, False, True])
+        return found.groupby("query_id").head(k)
+
+    left = asked.select("query_id", "embedding", *keys).groupBy(*keys)
+    return left.cogroup(rows.select("doc_id", "embedding", *keys).groupBy(*keys)).applyInPandas(best, kinds)
+
+
+def dealt(df: DataFrame, column: str, key: str, blocks: int) -> DataFrame:
+    """Add ``column``: one of ``blocks`` blocks, by a hash of the row's id and vector."""
+    return df.withColumn(column, F.pmod(F.xxhash64(key, "embedding"), F.lit(blocks)).cast("int"))
+
+
+def copied(df: DataFrame, column: str, blocks: int) -> DataFrame:
+    """Each row once for each of ``blocks`` blocks."""
+    return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias(column))
+
+
+def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", where: Column | None = None, block: int = 16_384) -> DataFrame:
+    """query_id, doc_id, score and rank of the most similar vectors (doc_id, embedding) of each query: the exact scan.
 
-    Queries go to the vectors in blocks of ``block`` rows, a block per join; each batch of vectors is
-    one matrix product that keeps its best ``k``, so only those are shuffled. ``where`` filters the
-    vectors beforehand.
+    Blocks of queries meet blocks of vectors, some ``block`` rows each, in one matrix product that
+    keeps its best ``k``; no vector goes to the driver. ``where`` filters the vectors beforehand. Null
+    vectors, vectors with a null number and vectors of another size than a query's don't meet it.
     """
     vector_scores(np.ones((1, 1)), np.ones((1, 1)), metric)
-    rows = (vectors.where(where) if where is not None else vectors).select("doc_id", "embedding")
-    spark, out = vectors.sparkSession, None
-    kinds = f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(rows.dtypes)['doc_id']}, score double"
-    numbered = queries.select("query_id", "embedding").toLocalIterator()
-    while chunk := [r for _, r in zip(range(block), numbered, strict=False)]:
-        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in chunk], dtype=object), np.array([r["embedding"] for r in chunk], np.float64)))
-
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                docs = pdf["doc_id"].to_numpy()
-                scores = np.round(vector_scores(matrix, np.stack(pdf["embedding"].to_numpy()).astype(np.float64), metric), SCORE_DIGITS)
-                n = min(k, len(docs))
-                least = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n]
-                q, d = np.nonzero(scores >= least)
-                found = pd.DataFrame({"query_id": ids[q], "doc_id": docs[d], "score": scores[q, d]})
-                yield found.sort_values(["query_id", "score", "doc_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-
-        part = rows.mapInPandas(best, kinds)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], kinds)
-    return top_k(out, k)
+    rows = sound((vectors.where(where) if where is not None else vectors).select("doc_id", "embedding"))
+    asked = sound(queries.select("query_id", "embedding"))
+    n, m = (max(1, -(-df.count() // block)) for df in (rows, asked))
+    rows = copied(dealt(rows, "vb", "doc_id", n), "qb", m)
+    asked = copied(dealt(asked, "qb", "query_id", m), "vb", n)
+    return top_k(meet(rows, asked, ["size", "vb", "qb"], k, metric), k)
 
 
 def fuse(lists: list[tuple[str, DataFrame]], k: int = 60, limit: int | Column = 10) -> DataFrame:

@@ -18,8 +18,9 @@ from ragweave.functions.session import settled, shared_dir, ship, stable_unions
 from ragweave.operators import chunking, evaluation, guardrails, ingest, ranking, routing
 from ragweave.plans.answer import Answering
 from ragweave.plans.registry import query
-from ragweave.sources import catalog, stores
+from ragweave.sources import catalog, shard_source, stores
 from ragweave.sources.lexical import LexicalStore
+from ragweave.sources.vectors import MAX_CELLS, VectorIndex
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -268,6 +269,32 @@ def ingest_deduped(spark, sf_dir):
     return df.where(F.size("passages") > 0).select("query_id", F.size("passages").cast("long").alias("kept"), F.size("gold_document_ids").cast("long").alias("gold"))
 
 
+@query("ingest_repeated_ids", f"""WITH {_PASSAGES}, r AS (SELECT CAST(query_id AS BIGINT) // 4 AS qid, CASE WHEN query_id % 3 = 0 THEN 'train' ELSE 'validation' END AS split, * FROM passages),
+k AS (SELECT *, row_number() OVER (PARTITION BY language, replace(lower(text), 'ß', 'ss') ORDER BY shard_lang, split, qid, (SELECT '. ' || en[1] FROM lists WHERE conv_id = r.query_id), query_id, passage_index, passage_source) AS n FROM r)
+SELECT qid AS query_id, split, shard_lang, max(text) AS last_text, count(*) AS kept, count(*) FILTER (selected) AS gold FROM k WHERE n = 1 GROUP BY qid, split, shard_lang, k.query_id""")
+def ingest_repeated_ids(spark, sf_dir):
+    """Dedup of examples that share their ids, within a shard and across splits: each keeps its own passages."""
+    raw = raw_examples(spark, sf_dir).where("query_id != 'none'").withColumns({"Eng_Query": F.coalesce("Eng_Query", F.lit("")), "split": F.when(F.col("query_id").cast("long") % 3 == 0, "train").otherwise("validation")})
+    raw = raw.orderBy(F.col("query_id").cast("long")).withColumn("query_id", F.floor(F.col("query_id").cast("long") / 4).cast("string"))
+    df = ingest.deduped(ingest.examples(raw, IngestConfig(skip_empty_queries=False))).where(F.size("passages") > 0)
+    last = F.array_max(F.transform("passages", lambda p: p["text"]))
+    return df.select("query_id", "split", "shard_lang", last.alias("last_text"), F.size("passages").cast("long").alias("kept"), F.size("gold_document_ids").cast("long").alias("gold"))
+
+
+@query("ingest_shards", """SELECT lang AS shard_lang, doc_id AS query_id, text AS query, CAST(NULL AS VARCHAR) AS error FROM documents WHERE lang IN ('de', 'fr') AND doc_id % 3 <> 0
+UNION ALL SELECT 'xx', NULL, NULL, 'unreadable'""")
+def ingest_shards(spark, sf_dir):
+    """Validation shards of two languages and one that isn't there, read by the shard source with pushed filters."""
+    d = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("query_id"), F.col("text").alias("query"), F.lit("q").alias("query_type"), "language", (F.col("doc_id") % 3 == 0).alias("train"))
+    root = f"{shared_dir(spark)}/ragweave/shards/{uuid.uuid4().hex}"
+    d.withColumn("split", F.when(F.col("train"), "train").otherwise("validation")).drop("train").repartition("split", "language").write.partitionBy("split", "language").parquet(root)
+    files = spark.read.parquet(root).select("_metadata.file_path", "split", "language").distinct().toDF("path", "split", "lang")
+    found = shard_source.catalog_of(files)
+    found["validation"]["xx"] = f"{root}/nowhere.parquet"
+    rows = shard_source.read(spark, found).where("split = 'validation' and shard_lang in ('de', 'fr', 'xx')")
+    return rows.select("shard_lang", F.col("query_id").cast("long").alias("query_id"), "query", F.when(F.col("error").isNotNull(), "unreadable").alias("error"))
+
+
 @query("lang_histogram", "SELECT lang AS language, count(*) AS n FROM documents WHERE lang IS NOT NULL AND lang <> '' GROUP BY lang")
 def lang_histogram(spark, sf_dir):
     return ingest.histogram(documents(spark, sf_dir), "language", skip_blank=True)
@@ -403,6 +430,15 @@ for _metric in _SCORES:
 query("dense_topk_filtered", _top(_dense("cosine", where="v.label IN (1, 3)"), 10))(_dense_query("cosine", "label IN (1, 3)"))
 
 
+@query("dense_topk_cells", _top(_dense("cosine"), 10))
+def dense_topk_cells(spark, sf_dir):
+    """The same search through the cell index, with every cell probed: each row is found in its cell."""
+    v = vectors(spark, sf_dir)
+    index = VectorIndex(spark, f"{shared_dir(spark)}/ragweave/vectors/{uuid.uuid4().hex}")
+    index.build(v)
+    return index.search(v.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), 10, probes=MAX_CELLS)
+
+
 def hybrid_lists(spark, sf_dir, asked: DataFrame, k: int) -> list[tuple[str, DataFrame]]:
     """Ranked lists of questions: by the vector of the question's id, and by words."""
     v = vectors(spark, sf_dir)

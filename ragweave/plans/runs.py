@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import time
 
-from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ragweave.config import ChunkConfig, IngestConfig
 from ragweave.functions import measures as M
 from ragweave.functions import text as X
 from ragweave.operators import chunking, embedding, evaluation, ingest
-from ragweave.sources import catalog, stores
+from ragweave.sources import catalog, shard_source, stores
+
+#: Errors that a report lists.
+ERRORS = 50
 
 
 def _one(df: DataFrame) -> dict:
@@ -28,38 +31,40 @@ def _counts(df: DataFrame) -> dict:
 
 
 def ingest_run(spark: SparkSession, shards: DataFrame | dict, languages: list[str], out: str, cfg: IngestConfig | None = None) -> dict:
-    """Ingest the shards of ``languages``: examples and passages as JSON Lines below ``out``, and a report, which is returned.
+    """Ingest the shards of ``languages``: examples and passages as JSON Lines below ``out``, and a report, which is returned and written.
 
-    ``shards`` is a catalog or what a report had of one ({split: {lang: path}}). A shard that can't
-    be opened is an error in the report, and the others go on.
+    ``shards`` is a catalog or what a report had of one ({split: {lang: path}}). The source is read
+    once: what was seen and given is observed while the examples are written. A shard that can't be
+    opened is an error in the report, of which it has the first ``ERRORS``; the others go on.
     """
     cfg, began = cfg or IngestConfig(), time.time()
-    raw, opened, errors = None, [], []
-    for lang in languages:
-        try:
-            path = shards[cfg.split][lang] if isinstance(shards, dict) else catalog.resolve(shards, lang, cfg.split)
-            rows = catalog.read_raw(spark, path, lang, cfg.split)
-        except (KeyError, PySparkException) as e:
-            errors.append(f"{lang}: {str(e).splitlines()[0]}")
-            continue
-        rows = rows.limit(cfg.examples_per_language) if cfg.examples_per_language else rows
-        raw, opened = rows if raw is None else raw.unionByName(rows), [*opened, lang]
-    report = {"split": cfg.split, "languages": opened, "errors": errors}
-    if raw is not None:
-        clean = ingest.examples(raw, cfg)
-        clean = ingest.deduped(clean, cfg.dedupe_scope) if cfg.dedupe else clean
-        clean.write.mode("overwrite").parquet(f"{out}/clean")
-        clean = spark.read.parquet(f"{out}/clean")  # both sinks and the counts read what was cleaned once
-        catalog.write_jsonl(clean, f"{out}/examples")
-        catalog.write_jsonl(ingest.exploded(clean).drop("seq"), f"{out}/passages")
-        report |= _one(ingest.report(raw, cfg)) | _counts(ingest.distributions(clean))
+    have = (shards if isinstance(shards, dict) else shard_source.catalog_of(shards)).get(cfg.split, {})
+    errors = [f"{lang}: no {cfg.split} shard; there are {', '.join(sorted(have)) or 'none'}" for lang in languages if lang not in have]
+    raw = shard_source.read(spark, {cfg.split: {lang: have[lang] for lang in languages if lang in have}}, cfg.examples_per_language)
+    seen, failed, given, before = (Observation(n) for n in ("seen", "failed", "given", "before"))
+    failures = F.collect_list(F.when(F.col("error").isNotNull(), F.concat_ws(": ", "shard_lang", "error")))  # a row a shard at most
+    raw = raw.observe(failed, failures.alias("errors"), F.array_sort(F.collect_set(F.when(F.col("error").isNull(), F.col("shard_lang")))).alias("languages"))
+    clean = ingest.examples(raw.where("error is null"), cfg, seen).observe(before, F.coalesce(F.sum(F.size("passages")), F.lit(0)).alias("passages"))
+    clean = ingest.deduped(clean, cfg.dedupe_scope) if cfg.dedupe else clean
+    clean.observe(given, *ingest.given_metrics()).write.mode("overwrite").parquet(f"{out}/clean")
+    clean = spark.read.parquet(f"{out}/clean")  # both sinks read what was cleaned once
+    catalog.write_jsonl(clean, f"{out}/examples")
+    catalog.write_jsonl(ingest.exploded(clean).drop("seq"), f"{out}/passages")
+    report = {"split": cfg.split, "languages": sorted(failed.get["languages"], key=languages.index), "errors": (sorted(failed.get["errors"]) + errors)[:ERRORS]}
+    report |= seen.get | given.get | {"passages_deduped": before.get["passages"] - given.get["passages_emitted"]} | _counts(ingest.distributions(clean))
     report["seconds"] = round(time.time() - began, 3)
+    return written(spark, report, f"{out}/report")
+
+
+def written(spark: SparkSession, report: dict, path: str) -> dict:
+    """Write a report as one JSON object and return it."""
+    spark.createDataFrame([(json.dumps(report, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return report
 
 
 def load_passages(spark: SparkSession, path: str | None, limit: int, languages: tuple[str, ...] = (), fallback: DataFrame | None = None) -> DataFrame:
-    """The first ``limit`` passages of JSON Lines; without a file, of ``fallback``, evenly by language."""
-    if path and stores.exists(spark, path):
+    """The first ``limit`` passages of JSON Lines (a file, or a folder written to its end); without one, of ``fallback``, evenly by language."""
+    if path and (stores.is_file(spark, path) or stores.exists(spark, path)):
         rows = catalog.read_passages(spark, path)
         return (rows.where(F.col("language").isin(*languages)) if languages else rows).limit(limit)
     if fallback is None:
