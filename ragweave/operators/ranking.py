@@ -168,7 +168,7 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: st
     """
     vector_scores(np.ones((1, 1)), np.ones((1, 1)), metric)
     rows = sound((vectors.where(where) if where is not None else vectors).select("doc_id", "embedding"))
-    asked = sound(queries.select("query_id", "embedding"))
+    asked = sound(queries.select(F.col("query_id").alias("query_id"), F.col("embedding").alias("embedding")))  # may come of the vectors
     n, m = (max(1, -(-df.count() // block)) for df in (rows, asked))
     rows = copied(dealt(rows, "vb", "doc_id", n), "qb", m)
     asked = copied(dealt(asked, "qb", "query_id", m), "vb", n)

@@ -14,7 +14,7 @@ out; all other columns are kept as payload, so a filter may name them.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,11 @@ def _matrix(column: pa.ListArray, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
 
+def scaler(metric: str) -> Callable[[np.ndarray], np.ndarray]:
+    """Rows as the quantiser sees them: of length 1 where only the angle counts."""
+    return (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)) if metric == "cosine" else (lambda m: m)
+
+
 def nearest_cells(vectors: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` nearest centroids of each row, the nearest first."""
     far = (centroids**2).sum(1)[None] - 2 * vectors @ centroids.T
@@ -69,10 +74,6 @@ class VectorIndex:
     def exists(self) -> bool:
         return stores.exists(self.spark, f"{self.path}/rows")
 
-    def _scaled(self, m: np.ndarray) -> np.ndarray:
-        """Rows as the quantiser sees them: of length 1 where only the angle counts."""
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30) if self.metric == "cosine" else m
-
     def build(self, vectors: DataFrame, cells: int | None = None, sample: int = SAMPLE) -> None:
         rows = ranking.sound(vectors)
         sizes = rows.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").head()
@@ -80,7 +81,7 @@ class VectorIndex:
         rows = rows.where(F.col("size") == size)
         cells = min(cells or max(1, round(2 * math.sqrt(n))), MAX_CELLS)
         chosen = rows.where(F.pmod(F.xxhash64(F.lit(9), "doc_id", "embedding"), F.lit(1 << 30)) < min(1.0, sample / max(n, 1)) * (1 << 30))
-        scaled = self._scaled
+        scaled = scaler(self.metric)
 
         def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts = [_matrix(b["embedding"], size) for b in batches if len(b)]
@@ -102,15 +103,17 @@ class VectorIndex:
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
         placed = settled(rows.select(*vectors.columns).mapInArrow(place, f"{kinds}, cell int"))
-        counts = placed.groupBy("cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+        placed.groupBy("cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).write.mode("overwrite").parquet(f"{self.path}/cells")
+        counts = self.spark.read.parquet(f"{self.path}/cells")
         placed = placed.join(F.broadcast(counts), "cell")  # a row for each cell
         part = F.pmod(F.xxhash64(F.lit(8), "doc_id", "embedding"), F.col("parts")).cast("int")
         placed = placed.withColumn("part", part).drop("parts")
-        placed.repartition("cell", "part").write.mode("overwrite").partitionBy("cell", "part").parquet(f"{self.path}/rows")
+        writer = placed.repartition("cell", "part").write.mode("overwrite")
+        (writer.partitionBy("cell", "part") if n else writer).parquet(f"{self.path}/rows")
 
     def _centroids(self) -> np.ndarray:
         found = self.spark.read.parquet(f"{self.path}/centroids").orderBy("cell").collect()  # MAX_CELLS at most
-        return np.array([r["centroid"] for r in found], np.float64).reshape(len(found), -1)
+        return np.array([r["centroid"] for r in found], np.float64) if found else np.zeros((0, 1))
 
     def rows(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/rows")
@@ -124,7 +127,7 @@ class VectorIndex:
         centroids = self._centroids()
         if not len(centroids):
             return ranking.dense_search(rows, queries, k, self.metric)
-        shared, scaled, size = self.spark.sparkContext.broadcast(centroids), self._scaled, centroids.shape[1]
+        shared, scaled, size = self.spark.sparkContext.broadcast(centroids), scaler(self.metric), centroids.shape[1]
         kind = queries.schema["query_id"].dataType.simpleString()
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,6 +142,6 @@ class VectorIndex:
         asked = settled(ranking.dealt(asked, "qb", "query_id", m).select("query_id", "embedding", "qb", F.explode("cells").alias("cell")))
         probed = [r["cell"] for r in asked.select("cell").distinct().collect()]  # MAX_CELLS at most
         rows = ranking.copied(rows.where(F.col("cell").isin(probed)), "qb", m)
-        parts = rows.select("cell", "part").distinct()
+        parts = self.spark.read.parquet(f"{self.path}/cells").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         asked = asked.join(parts, "cell")
         return ranking.top_k(ranking.meet(rows, asked, ["cell", "part", "qb"], k, self.metric), k)
