@@ -183,6 +183,8 @@ def parse(data: bytes) -> list[Image]:
             if marker == 0xDB:
                 while body:
                     wide = body[0] >> 4
+                    if wide > 1 or len(body) < 1 + 64 * (1 + wide):
+                        raise ValueError("a quantisation table is cut short or of other numbers")
                     image.quant[body[0] & 15] = int.from_bytes(body[1 : 2 + wide], "big")
                     body = body[1 + 64 * (1 + wide) :]
             elif marker == 0xC4:
@@ -205,12 +207,30 @@ def parse(data: bytes) -> list[Image]:
                 at = _scan(image, at)
         if not image.intervals or len(image.order) != len(image.components):
             raise ValueError("no scan of all components")
+        _validate(image)
         out.append(image)
     if not out:
         raise ValueError("no image")
     return out
 
 
+def _validate(image: Image) -> None:
+    """ValueError for sizes, sampling factors and table numbers that no baseline image has, and for tables that are missing or overfull."""
+    if not (image.height and image.width):
+        raise ValueError("an image without rows or columns")
+    if not 1 <= len(image.components) <= 4 or len({c[0] for c in image.components}) < len(image.components):
+        raise ValueError("components are missing or named twice")
+    if any(not (1 <= h <= 4 and 1 <= v <= 4) for _, h, v, _ in image.components) or sum(h * v for _, h, v, _ in image.components) > 10:
+        raise ValueError("sampling factors are out of range")
+    if any(q not in image.quant for *_, q in image.components):
+        raise ValueError("a quantisation table is missing")
+    if len({c for c, _, _ in image.order}) < len(image.order) or any(d not in image.dc or a not in image.ac for _, d, a in image.order):
+        raise ValueError("a component is coded twice, or its code table is missing")
+    for counts, symbols in (*image.dc.values(), *image.ac.values()):
+        if len(counts) != 16 or sum(counts) != len(symbols) or sum(n << (16 - bits) for bits, n in enumerate(counts, 1)) > 1 << 16:
+            raise ValueError("a code table is cut short or has more codes than fit")
+
+
 def _scan(image: Image, at: int) -> int:
     """Find the intervals of the scan that begins at ``at``; where it ends."""
     left = np.frombuffer(image.data, np.uint8, offset=at)

@@ -261,6 +261,26 @@ def test_jpeg_general_images():
             assert thumb[0][2 * (u // 3) + k // 2, 2 * (u % 3) + k % 2] == want
 
 
+def test_jpeg_header_bytes(spark):
+    """Whatever a header byte says, a damaged image has a thumbnail or none, and its neighbours keep theirs."""
+    good = jpeg.write_many([bytes(range(64)) * 3])[0]
+    r = random.Random(6)
+    ends = good.index(b"\xff\xda") + 14
+    bad = [good[:at] + bytes([v]) + good[at + 1 :] for at in range(ends) for v in {0, 1, 255, good[at] ^ 1, r.randrange(256)} - {good[at]}]
+    bad += [good[:at] + bytes(r.randrange(256) for _ in range(4)) + good[at + 4 :] for at in range(0, ends, 3)]
+    for frame in ((0, 8), (8, 0), (0, 0)):  # no rows, no columns
+        at = good.index(b"\xff\xc0") + 5
+        bad.append(good[:at] + frame[0].to_bytes(2, "big") + frame[1].to_bytes(2, "big") + good[at + 4 :])
+    assert all(x is None for x in jpeg.thumbnails(bad[-3:]))
+    want = jpeg.thumbnails([good])[0].tobytes()
+    for at in range(0, len(bad), 100):
+        found = jpeg.thumbnails([good, *bad[at : at + 100], good])
+        assert found[0].tobytes() == found[-1].tobytes() == want
+    media = spark.createDataFrame([(i, bytearray(x), "clash") for i, x in enumerate([good, *bad[:60], *bad[-3:]])], "doc_id long, media binary, feature2 string")
+    rows = jpeg.read_media(media).collect()
+    assert len(rows) == 64 and rows[0]["payload_sha256"] and all(x["feature"] is None for x in rows if x["doc_id"] > 60)
+
+
 def test_jpeg_damaged_images():
     """Any damage gives no thumbnail, takes no other image along and costs no more memory than the file has data."""
     good = jpeg.write_many([bytes(range(64)) * 3])[0]
