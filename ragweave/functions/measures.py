@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragweave.functions.selection import percentiles
+
 
 def finite(c: Column) -> Column:
     """NaN as null, so that aggregates leave it out."""
@@ -15,11 +17,6 @@ def mean_finite(c: Column, digits: int = 4) -> Column:
     return F.round(F.avg(finite(c)), digits)
 
 
-def interpolated(c: Column, p: float, digits: int = 3) -> Column:
-    """Exact percentile, linear between ranks."""
-    return F.round(F.percentile(finite(c), p / 100), digits)
-
-
 def nearest(p: float):
     """Index of the nearest rank of p percent: p/100 * (n - 1), rounded half to even."""
     return lambda n: F.bround(F.lit(p / 100) * (n - 1)).cast("long")
@@ -31,26 +28,23 @@ def cut(share: float):
 
 
 def at_indexes(df: DataFrame, by: list[str], wanted: dict) -> DataFrame:
-    """``by`` and, for each alias of ``wanted``, the value at an index of the sorted values of a column (its name, index of n).
-
-    Equal values are counted before anything is sorted, so a group costs its distinct values and is
-    never gathered. Nulls are left out; a group without values has null.
-    """
-    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
-    values = F.array(*(F.struct(F.lit(c).alias("__c"), F.col(c).cast("double").alias("__v")) for c in columns))
-    counted = df.select(*by, F.inline(values)).where("__v is not null").groupBy(*by, "__c", "__v").agg(F.count("*").alias("__n"))
-    every = Window.partitionBy(*by, "__c")
-    ranked = counted.withColumns({"__upto": F.sum("__n").over(every.orderBy("__v")), "__all": F.sum("__n").over(every)})
-    picked = lambda c, index: F.max(F.when((F.col("__c") == c) & (F.col("__upto") > index(F.col("__all"))) & (F.col("__upto") - F.col("__n") <= index(F.col("__all"))), F.col("__v")))
-    return ranked.groupBy(*by).agg(*(picked(c, index).alias(alias) for alias, (c, index) in wanted.items()))
-
-
-def latency(c: Column, prefix: str = "") -> list[Column]:
-    """mean, p50, p70 and p100."""
-    return [
-        mean_finite(c, 3).alias(f"{prefix}mean"), interpolated(c, 50).alias(f"{prefix}p50"),
-        interpolated(c, 70).alias(f"{prefix}p70"), F.round(F.max(finite(c)), 3).alias(f"{prefix}p100"),
-    ]
+    """``by`` and, for each alias of ``wanted``, the value at an index of the sorted values of a column (its name, index of n)."""
+    return percentiles(df, by, wanted)
+
+
+def beside_groups(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Two tables of a row a group put side by side; null keys are groups."""
+    named = right.select(*(F.col(c).alias(f"__{c}") for c in by), *(c for c in right.columns if c not in by))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    return left.join(named, same, "left").drop(*(f"__{c}" for c in by))
+
+
+def latency(df: DataFrame, by: list[str], column: str, prefix: str = "") -> DataFrame:
+    """``by``, mean, p50, p70 and p100 of a column, a row a group."""
+    sums = df.groupBy(*by).agg(mean_finite(F.col(column), 3).alias(f"{prefix}mean"), F.round(F.max(finite(F.col(column))), 3).alias(f"{prefix}p100"))
+    ranks = percentiles(df, by, {"__p50": (column, 50), "__p70": (column, 70)})
+    ranks = ranks.select(*by, F.round("__p50", 3).alias(f"{prefix}p50"), F.round("__p70", 3).alias(f"{prefix}p70"))
+    return beside_groups(sums, ranks, by).select(*by, *(f"{prefix}{c}" for c in ("mean", "p50", "p70", "p100")))
 
 
 def recall_at(rank: Column, is_gold: Column, k: int) -> Column:

@@ -58,15 +58,19 @@ def metric_block() -> list[Column]:
     return [F.count("r10").alias("n"), *(M.mean_finite(F.col(c)).alias(a) for c, a in (("r1", "recall_at_1"), ("r5", "recall_at_5"), ("r10", "recall_at_10"), ("mrr", "mrr")))]
 
 
-def breakdowns(rows: DataFrame, keys: list[str], more: list[Column] | None = None) -> DataFrame:
+def breakdowns(rows: DataFrame, keys: list[str], timed: str | None = None, prefix: str = "lat_") -> DataFrame:
     """Metrics over all rows and by each key alone, in one pass; blank keys are ``unknown``.
 
-    Returns dimension (``all`` or the key's name), value and the metrics.
+    Returns dimension (``all`` or the key's name), value and the metrics; with ``timed``, a column of
+    latencies, their mean and percentiles too.
     """
     named = rows.withColumns({k: F.coalesce(F.nullif(F.col(k).cast("string"), F.lit("")), F.lit("unknown")) for k in keys})
     pairs = F.array(F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("value")), *(F.struct(F.lit(k).alias("dimension"), F.col(k).alias("value")) for k in keys))
-    out = named.select("*", F.inline(pairs)).groupBy("dimension", "value")
-    return out.agg(*metric_block(), *(more or []))
+    out = named.select("*", F.inline(pairs))
+    found = out.groupBy("dimension", "value").agg(*metric_block())
+    if timed is None:
+        return found
+    return M.beside_groups(found, M.latency(out.withColumnRenamed(timed, "__timed"), ["dimension", "value"], "__timed", prefix), ["dimension", "value"])
 
 
 def still_indexed(examples: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -122,13 +126,15 @@ def stratified(rows: DataFrame, cap: int, order: list) -> DataFrame:
 def chunk_metrics(chunks: DataFrame, passages: DataFrame) -> DataFrame:
     """One row per strategy: counts, lengths, chunks per passage and coverage of gold passages."""
     per_doc = chunks.groupBy("chunk_strategy", "document_id").agg(F.count("*").alias("k"))
-    spread = per_doc.groupBy("chunk_strategy").agg(F.round(F.avg("k"), 3).alias("chunks_per_passage"), M.interpolated(F.col("k"), 50).alias("median_chunks"), F.count("*").alias("chunked_passages"))
+    spread = per_doc.groupBy("chunk_strategy").agg(F.round(F.avg("k"), 3).alias("chunks_per_passage"), F.count("*").alias("chunked_passages"))
     sizes = chunks.groupBy("chunk_strategy").agg(
-        F.count("*").alias("chunks"), F.round(F.avg("char_length"), 2).alias("avg_chars"), M.interpolated(F.col("char_length"), 50).alias("median_chars"),
+        F.count("*").alias("chunks"), F.round(F.avg("char_length"), 2).alias("avg_chars"),
         F.min("char_length").alias("min_chars"), F.max("char_length").alias("max_chars"), F.round(F.avg("sentence_count"), 3).alias("avg_sentences"),
-        M.interpolated(F.col("sentence_count"), 50).alias("median_sentences"), F.min("sentence_count").alias("min_sentences"), F.max("sentence_count").alias("max_sentences"),
+        F.min("sentence_count").alias("min_sentences"), F.max("sentence_count").alias("max_sentences"),
     )
-    ranks = M.at_indexes(chunks, ["chunk_strategy"], {"p90_chars": ("char_length", M.nearest(90))}).withColumn("p90_chars", F.col("p90_chars").cast("int"))
+    ranks = M.percentiles(chunks, ["chunk_strategy"], {"p90_chars": ("char_length", M.nearest(90)), "median_chars": ("char_length", 50), "median_sentences": ("sentence_count", 50)})
+    middle = M.percentiles(per_doc, ["chunk_strategy"], {"median_chunks": ("k", 50)})
+    ranks = ranks.join(middle, "chunk_strategy").withColumns({"p90_chars": F.col("p90_chars").cast("int")} | {c: F.round(c, 3) for c in ("median_chars", "median_sentences", "median_chunks")})
     total = passages.agg(F.count("*").alias("passages"), F.count_if("is_selected").alias("gold"))
     covered = passages.where("is_selected").select("document_id").distinct().join(chunks.select("chunk_strategy", "document_id").distinct(), "document_id").groupBy("chunk_strategy").agg(F.count("*").alias("covered"))
     out = sizes.join(spread, "chunk_strategy").join(ranks, "chunk_strategy").join(covered, "chunk_strategy", "left").join(F.broadcast(total), F.lit(True))

@@ -660,12 +660,12 @@ SELECT dimension, value, count(r10) AS n, round(avg(r1), 4) AS recall_at_1, roun
   round(avg(lat), 3) AS lat_mean, round(quantile_cont(lat, 0.5), 3) AS lat_p50, round(quantile_cont(lat, 0.7), 3) AS lat_p70, CAST(max(lat) AS DOUBLE) AS lat_p100 FROM u GROUP BY 1, 2""")
 def metric_breakdown(spark, sf_dir):
     rows = routing.features(_per_query(spark, sf_dir))
-    return evaluation.breakdowns(rows, ["route", "query_type", "complexity", "language"], M.latency(F.col("n_chars"), "lat_"))
+    return evaluation.breakdowns(rows, ["route", "query_type", "complexity", "language"], "n_chars")
 
 
 @query("latency_summary", """SELECT event_type, round(avg(value), 3) AS mean, round(quantile_cont(value, 0.5), 3) AS p50, round(quantile_cont(value, 0.7), 3) AS p70, round(max(value), 3) AS p100 FROM events GROUP BY 1""")
 def latency_summary(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(*M.latency(F.col("value")))
+    return M.latency(table(spark, sf_dir, "events"), ["event_type"], "value")
 
 
 @query("nearest_rank_p90", "SELECT lang AS language, list_sort(list(n_chars))[CAST(round_even(0.9 * (count(*) - 1), 0) AS INT) + 1] AS p90 FROM documents GROUP BY lang")

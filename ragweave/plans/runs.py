@@ -123,7 +123,8 @@ def latencies(rows: DataFrame, stages: list[str]) -> DataFrame:
     total = sum((F.coalesce(F.col(s), F.lit(0.0)) for s in stages[1:]), F.coalesce(F.col(stages[0]), F.lit(0.0)))
     pairs: list[Column] = [F.struct(F.lit(s).alias("stage"), F.col(s).cast("double").alias("ms")) for s in stages]
     pairs.append(F.struct(F.lit("total").alias("stage"), total.cast("double").alias("ms")))
-    return rows.select(F.inline(F.array(*pairs))).groupBy("stage").agg(F.count("ms").alias("n"), *M.latency(F.col("ms")))
+    every = rows.select(F.inline(F.array(*pairs)))
+    return M.beside_groups(every.groupBy("stage").agg(F.count("ms").alias("n")), M.latency(every, ["stage"], "ms"), ["stage"])
 
 
 def warm_up(spark: SparkSession, parts: dict[str, DataFrame]) -> dict[str, float]:
