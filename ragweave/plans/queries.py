@@ -19,7 +19,7 @@ from ragweave.operators import chunking, evaluation, guardrails, ingest, ranking
 from ragweave.plans.answer import Answering
 from ragweave.plans.registry import query
 from ragweave.sources import catalog, shard_source, stores
-from ragweave.sources.lexical import LexicalStore
+from ragweave.sources.lexical import LAYOUT, LexicalStore
 from ragweave.sources.vectors import MAX_CELLS, VectorIndex
 
 
@@ -44,7 +44,7 @@ def lexical(spark: SparkSession, sf_dir: str) -> LexicalStore:
     """The lexical index of the documents in the shared folder; written first where these files have none."""
     stable_unions(spark)
     mark = stores.fingerprint(table(spark, sf_dir, "documents"))
-    store = LexicalStore(spark, f"{shared_dir(spark)}/ragweave/lexical/{mark}")
+    store = LexicalStore(spark, f"{shared_dir(spark)}/ragweave/lexical/{LAYOUT}-{mark}")
     if not store.segments():
         store.add(documents(spark, sf_dir))
     return store

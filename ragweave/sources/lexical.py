@@ -1,14 +1,15 @@
 """A lexical index that grows: segments with their own statistics, and top-k search that skips blocks.
 
-A batch of documents becomes a segment: its documents with their tokens, postings in blocks of some
-``BLOCK`` documents of like length, and what it adds to document frequencies and corpus totals. A
-batch that replaces or deletes documents also lists their ids and takes their terms off the
-statistics, so statistics are sums over segments and no earlier text is cut into tokens again.
+A batch of documents becomes a segment: its documents with their tokens, postings that belong to blocks
+of some ``BLOCK`` documents of like length, the blocks' heads, and what it adds to document frequencies
+and corpus totals. A batch that replaces or deletes documents also lists their ids and takes their
+terms off the statistics, so statistics are sums over segments and no earlier text is cut into tokens
+again.
 
-Postings are dealt by block and not by term, so that a term of all documents is no hot key. For each
-term a block keeps its greatest frequency and its shortest length, which bound every score in it.
-A search first scores the blocks with the greatest bounds; the k-th score found rules out all blocks
-with a smaller bound, whose postings are not looked at. Scores and ties are those of ``ranking.LexicalIndex``.
+Postings are dealt by block and not by term, so that a term of all documents is no hot key, and sorted
+by term, which lets a scan leave out what was not asked. For each term a block's head has its greatest
+frequency and its shortest length, which bound every score in it. A search first scores the blocks with the greatest bounds; the k-th score found rules out all blocks
+with a smaller bound, whose postings are not scored. Scores and ties are those of ``ranking.LexicalIndex``.
 
 Defined results: ids are unique within a batch; a document without characters is not indexed (and
 takes the place of an earlier one all the same); null ids are left out.
@@ -27,10 +28,14 @@ from ragweave.functions.session import settled
 from ragweave.operators.ranking import SCORE_DIGITS, beside, top_k
 from ragweave.sources import stores
 
+#: The layout of the tables; part of the path of indexes that are found again by the files they index.
+LAYOUT = 2
 #: Documents of a block.
 BLOCK = 128
 #: Blocks of a question that are scored before any is ruled out.
 FIRST = 4
+#: Below so many documents a search scores every block at once: the passes that rule blocks out would take longer.
+PRUNED_FROM = 100_000
 
 
 class LexicalStore:
@@ -145,11 +150,12 @@ class LexicalStore:
             many = F.element_at(F.create_map(*(F.lit(x) for r in sizes for x in (r["size"], -(-r["n"] // BLOCK)))), F.col("size")) if sizes else F.lit(1)
             block = F.col("size").cast("long") * F.lit(1 << 40) + F.pmod(F.xxhash64("doc_id"), many)
             # Dealt by block once; both aggregations then stay in their tasks.
-            rows = rows.select(block.alias("block"), "doc_id", "length", "tokens").repartition("block")
-            counted = rows.select("block", "doc_id", "length", F.explode("tokens").alias("term")).groupBy("block", "doc_id", "length", "term").agg(F.count("*").cast("int").alias("tf"))
-            postings = counted.groupBy("block", "term").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.collect_list(F.struct("doc_id", "tf", "length")).alias("docs"))
+            rows = rows.select(block.alias("block"), "doc_id", "length", "tokens").repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "block")
+            postings = rows.select("block", "doc_id", "length", F.explode("tokens").alias("term")).groupBy("block", "doc_id", "length", "term").agg(F.count("*").cast("int").alias("tf"))
             postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{at}/postings")
-            deltas.append(self.spark.read.parquet(f"{at}/postings").select("term", F.col("n").alias("df")))
+            heads = self.spark.read.parquet(f"{at}/postings").groupBy("block", "term")
+            heads.agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length")).write.mode("overwrite").parquet(f"{at}/heads")
+            deltas.append(self.spark.read.parquet(f"{at}/heads").select("term", F.col("n").alias("df")))
         changes = reduce(DataFrame.unionByName, deltas) if deltas else self.spark.createDataFrame([], "term string, df int")
         changes.groupBy("term").agg(F.sum("df").alias("df")).write.mode("overwrite").parquet(f"{at}/terms")
         if base:
@@ -187,15 +193,15 @@ class LexicalStore:
 
     def bounds(self, weighted: DataFrame) -> DataFrame:
         """query_id, segment, block, bound (no document of the block scores more) and postings (of the asked terms)."""
-        heads = self._read("postings").select("segment", "block", "term", "n", "max_tf", "min_length")
-        met = beside(heads, weighted.where("weight > 0"), "term")
+        met = beside(self._read("heads"), weighted.where("weight > 0"), "term")
         bound = F.sum(F.col("weight") * self._part(F.col("max_tf"), F.col("min_length")))
         return met.groupBy("query_id", "segment", "block").agg(bound.alias("bound"), F.sum("n").alias("postings"))
 
-    def _scored(self, weighted: DataFrame, blocks: DataFrame, allowed: DataFrame | None) -> DataFrame:
-        met = beside(self._read("postings").select("segment", "block", "term", "docs"), weighted, "term")
-        rows = beside(met, blocks.select("query_id", "segment", "block"), ["query_id", "segment", "block"], "left_semi")
-        rows = self._live(rows.select("query_id", "segment", "weight", F.inline("docs")))
+    def _scored(self, weighted: DataFrame, blocks: DataFrame | None, allowed: DataFrame | None) -> DataFrame:
+        rows = beside(self._read("postings"), weighted, "term")
+        if blocks is not None:
+            rows = beside(rows, blocks.select("query_id", "segment", "block"), ["query_id", "segment", "block"], "left_semi")
+        rows = self._live(rows)
         if allowed is not None:
             rows = rows.join(allowed.select("doc_id"), "doc_id", "left_semi")
         score = F.round(F.sum(F.col("weight") * self._part(F.col("tf"), F.col("length"))), SCORE_DIGITS)
@@ -217,6 +223,8 @@ class LexicalStore:
         if self._read("postings") is None:
             kind = queries.schema["query_id"].dataType.simpleString()
             return self.spark.createDataFrame([], f"query_id {kind}, doc_id string, score double, rank int")
+        if self.totals()["n"] < PRUNED_FROM:
+            return top_k(self._scored(self._weighted(queries), None, allowed), k)
         weighted, _, found, later = self._chosen(queries, k, allowed)
         return top_k(found.unionByName(self._scored(weighted, later, allowed)), k)
 

@@ -31,6 +31,7 @@ def asked(spark):
 def test_batches_equal_a_fresh_build(spark, tmp_path, asked, monkeypatch):
     monkeypatch.setattr(lexical, "BLOCK", 8)
     monkeypatch.setattr(lexical, "FIRST", 1)
+    monkeypatch.setattr(lexical, "PRUNED_FROM", 100)  # the first steps score all blocks, the others don't
     rng, store = random.Random(3), LexicalStore(spark, str(tmp_path / "index"))
     assert store.search(asked).collect() == [] and store.segments() == []
     docs = {}
@@ -72,8 +73,9 @@ def test_a_batch_does_not_read_earlier_texts(spark, tmp_path, asked):
     assert spark.read.parquet(f"{at}/terms").where("df <= 0").isEmpty()
 
 
-def test_blocks_are_skipped(spark, tmp_path):
+def test_blocks_are_skipped(spark, tmp_path, monkeypatch):
     """Few postings of frequent terms are read where a rare term decides."""
+    monkeypatch.setattr(lexical, "PRUNED_FROM", 0)
     rng = random.Random(5)
     docs = texts(rng, range(4000)) | {i: "w0 w1 rare" for i in range(5000, 5012)}
     store = LexicalStore(spark, str(tmp_path / "index"))
