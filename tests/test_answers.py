@@ -1,6 +1,8 @@
 """The answer plan by value: what is answered, refused and why, with the generators put in."""
 
 import json
+import time
+import uuid
 
 import pandas as pd
 import pytest
@@ -69,3 +71,43 @@ def test_rerank_model(spark):
     got = [(r["query_id"], r["text"], r["rank"]) for r in ranking.rerank_model(hits, 2, score).orderBy("query_id", "rank").collect()]
     assert got == [(1, "aa", 1), (1, "a", 2), (2, "bb", 1), (2, "cc", 2)]
     assert [r["text"] for r in ranking.rerank_model(hits.where("query_id = 1"), 3, score).orderBy("rank").collect()] == ["aaaa", "aa", "a"]
+
+
+def asked_frame(spark, n=24):
+    items = [{"doc_id": 1, "text": "Paris is the capital.", "language": "en", "score": 0.5}]
+    rows = [(i, f"question {i % 12}", "en", items) for i in range(n)]
+    return spark.createDataFrame(rows, "query_id long, text string, language string, items array<struct<doc_id:long,text:string,language:string,score:double>>")
+
+
+def test_kept_answers(spark, tmp_path):
+    """Each distinct prompt is asked once, several at a time; a rerun asks only what failed."""
+    calls, path = tmp_path / "calls", f"file://{tmp_path}/responses"
+    calls.mkdir()
+    good = json.dumps({"answer": "Paris", "status": "grounded", "sources": []})
+
+    def client(broken):
+        def complete(system, prompt):
+            (calls / uuid.uuid4().hex).write_text(prompt)
+            time.sleep(0.3)
+            if broken and "question 3" in prompt:
+                raise TimeoutError
+            return "nothing" if broken and "question 4" in prompt else good
+
+        return complete
+
+    ask = lambda broken, **more: {r["query_id"]: r for r in generation.kept(client(broken), path, "answer", retries=1, tasks=1, **more)(asked_frame(spark)).collect()}
+    began = time.time()
+    got = ask(True, concurrency=12)
+    assert time.time() - began < 0.3 * 14 + 15  # twelve at a time; one by one would add their sums
+    assert len(list(calls.iterdir())) == 12 + 2  # the broken ones are tried again
+    assert len(got) == 24 and [got[i]["error"] for i in (0, 3, 15, 4, 16)] == [None, "timeout", "timeout", "invalid_json", "invalid_json"]
+    assert got[0]["raw"] == got[12]["raw"] == good and got[3]["raw"] is None and (got[3]["attempts"], got[0]["attempts"]) == (2, 1)
+    got = ask(False, wave=1)  # only the two that failed
+    assert len(list(calls.iterdir())) == 14 + 2 and all(r["raw"] == good and r["error"] is None for r in got.values())
+    ask(True)
+    assert len(list(calls.iterdir())) == 16
+
+
+@pytest.mark.parametrize("e,kind", [(TimeoutError(), "timeout"), (ConnectionResetError(), "connection"), (json.JSONDecodeError("x", "y", 0), "invalid_json"), (type("RateLimitError", (Exception,), {})(), "rate_limited"), (KeyError(), "client_error")])
+def test_error_kinds(e, kind):
+    assert generation.error_kind(e) == kind
