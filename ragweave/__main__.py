@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragweave.config import ChunkConfig, IngestConfig, RetrievalConfig
+from ragweave.functions.session import release_settled
 from ragweave.operators import chunking, embedding, evaluation, routing
 from ragweave.plans import runs
 from ragweave.sources import catalog, stores
@@ -92,7 +93,9 @@ def main(argv: list[str], spark: SparkSession | None = None) -> dict:
     parser.add_argument("--dedupe", action="store_true")
     parser.add_argument("--recreate", action="store_true")
     a = parser.parse_args(argv)
-    report = COMMANDS[a.command](spark or SparkSession.builder.appName("ragweave").getOrCreate(), a)
+    spark = spark or SparkSession.builder.appName("ragweave").getOrCreate()
+    report = COMMANDS[a.command](spark, a)
+    release_settled(spark)  # all commands have written their results
     print(json.dumps(report, ensure_ascii=False, default=str))
     return report
 
