@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ragweave.llm import hardneg, jpeg, linededup, mixing, neardup, pieces, pii, quality, tokencount, toxicity, txlog, urls, warc
 from ragweave.llm.common import table
 
@@ -91,3 +93,35 @@ def op12_txlog(spark, sf_dir):
 def op13_hardneg(spark, sf_dir):
     """Hard negatives of every anchor and positive."""
     return hardneg.mine(table(spark, sf_dir, "embeddings"))
+
+
+#: What a contract fixes besides an operator's own method, as queries of their own that SQL can express.
+ORACLES["url_rules"] = r"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+rules(kind, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+fits AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(kind, length(h || p)) AS by_rule FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, by_rule FROM u LEFT JOIN fits USING (page_id)"""
+ORACLES["quality_base"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (SELECT doc_id, i, list_slice(w, i, i + 4) AS gram FROM d, range(1, 100000) r(i) WHERE i <= len(w) - 4),
+twice AS (SELECT doc_id, unnest(range(i, i + 5)) AS pos FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT pos) AS n FROM twice GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(w) < 10 OR 100 * coalesce(rep.n, 0) > 20 * len(w) AS base_failed FROM d LEFT JOIN rep USING (doc_id)"""
+
+
+@_query
+def url_rules(spark, sf_dir):
+    """Host, path and the longest rule of every url, before the method judges what no rule fits."""
+    host, path = urls.host_path(F.col("url"))
+    df = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    rule, verdict = urls.matched(F.col("host"), F.col("path"))
+    return df.withColumns({"rule": rule, "by_rule": verdict})
+
+
+@_query
+def quality_base(spark, sf_dir):
+    """The statistics and the base rule of every document, before the outlier test."""
+    return quality.with_stats(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "__q.*")
