@@ -15,11 +15,12 @@ from ragweave.config import IngestConfig
 from ragweave.functions import measures as M
 from ragweave.functions import text as X
 from ragweave.functions.session import settled, shared_dir, ship, stable_unions
-from ragweave.operators import chunking, evaluation, guardrails, ingest, ranking, routing
+from ragweave.operators import chunking, evaluation, guardrails, ingest, profiling, ranking, routing
 from ragweave.plans.answer import Answering
 from ragweave.plans.registry import query
 from ragweave.sources import catalog, shard_source, stores
 from ragweave.sources.lexical import LAYOUT, LexicalStore
+from ragweave.sources.seen import SeenKeys
 from ragweave.sources.vectors import MAX_CELLS, VectorIndex
 
 
@@ -830,6 +831,21 @@ def flat_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.explode(F.json_object_keys("props")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
 
 
+_JSON_KINDS = "CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'DOUBLE' THEN 'decimal' ELSE 'integer' END"
+
+
+@query("nested_profile", f"""WITH t AS (SELECT props, json_valid(props) AS good FROM clicks),
+v AS (SELECT regexp_replace(j.fullkey, '\\[\\d+\\]', '[]', 'g') AS path, {_JSON_KINDS} AS kind, j.value, CASE WHEN j.type NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN j.value ->> '$' END AS t
+  FROM (SELECT props FROM t WHERE good) g, json_tree(g.props) j),
+s AS (SELECT path, kind, t, CASE kind WHEN 'object' THEN len(json_keys(value)) WHEN 'array' THEN json_array_length(value) WHEN 'string' THEN length(t) END AS size FROM v
+  UNION ALL SELECT '$', CASE WHEN props IS NULL THEN 'missing' ELSE 'malformed' END, NULL, NULL FROM t WHERE good IS NOT TRUE)
+SELECT path, kind, count(*) AS n, count(*) FILTER (kind IN ('null', 'missing') OR size = 0 OR (kind = 'string' AND trim(t) = '')) AS n_empty, CAST(min(size) AS BIGINT) AS least_size, CAST(max(size) AS BIGINT) AS most_size,
+  CAST(sum(size) AS BIGINT) AS total_size, min(substr(t, 1, 80)) AS least, max(substr(t, 1, 80)) AS greatest FROM s GROUP BY path, kind""")
+def nested_profile(spark, sf_dir):
+    """Paths, kinds, sizes and previews of the values in JSON texts whose schema nobody stated."""
+    return profiling.nested_profile(table(spark, sf_dir, "clicks"), "props")
+
+
 # Tables and sets ------------------------------------------------------------------------------
 
 
@@ -859,6 +875,21 @@ def semi_anti_gold(spark, sf_dir):
     return parts[0].join(F.broadcast(parts[1]), F.lit(True)).join(F.broadcast(parts[2]), F.lit(True))
 
 
+@query("keep_first_batches", f"""WITH k AS (SELECT doc_id, doc_id % 3 AS batch, {_KEY} AS key, row_number() OVER (PARTITION BY lang, {_KEY} ORDER BY doc_id % 3, doc_id) AS n, count(*) OVER (PARTITION BY lang, {_KEY}, doc_id % 3) AS c FROM documents)
+SELECT doc_id, CAST(batch AS INT) AS batch, c - 1 AS repeats FROM k WHERE n = 1""")
+def keep_first_batches(spark, sf_dir):
+    """Documents come in three batches; each keeps those whose text no earlier one had, by a table of keys."""
+    seen = SeenKeys(spark, f"{shared_dir(spark)}/ragweave/seen/{uuid.uuid4().hex}")
+    stable_unions(spark)
+    out = None
+    for batch in range(3):
+        d = documents(spark, sf_dir).where(F.pmod("doc_id", F.lit(3)) == batch)
+        kept = seen.first(d, [F.col("language"), X.dedupe_key(F.col("text"))], ["doc_id"], batch)
+        kept = kept.select("doc_id", F.lit(batch).alias("batch"), "repeats")
+        out = kept if out is None else out.unionByName(kept)
+    return out
+
+
 @query("shard_catalog", "SELECT source || '/' || split AS path, split, stem, lang FROM (SELECT DISTINCT source, CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'validation' END AS split, CASE WHEN lang = 'en' THEN 'hin' ELSE 'tam' END AS stem, CASE WHEN lang = 'en' THEN 'hi' ELSE 'ta' END AS lang FROM documents)")
 def shard_catalog(spark, sf_dir):
     """Shard files named after documents; files of unknown stems go."""

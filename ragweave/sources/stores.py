@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ragweave.operators import ranking
@@ -87,7 +88,8 @@ class VectorTable:
         new, have = catalog.checked_dimension(points, size), self.read()
         rows = new if have is None else catalog.upsert(have, new, "point_id")
         number = (versions(self.spark, self.path) or [0])[-1] + 1
-        rows.write.mode("overwrite").partitionBy("language").parquet(f"{self.path}/v={number}")
+        # In order within files, so that a page skips the row groups that end before it.
+        rows.sortWithinPartitions("language", "point_id").write.mode("overwrite").partitionBy("language").parquet(f"{self.path}/v={number}")
         for old in versions(self.spark, self.path)[:-2]:
             remove(self.spark, f"{self.path}/v={old}")
         return self.count()
@@ -100,6 +102,28 @@ class VectorTable:
         """The points without their vectors, which are not read."""
         return catalog.index_rows(self.read())
 
+    def page(self, after=None, size: int = 128, languages: list[str] | None = None) -> DataFrame:
+        """The next ``size`` payloads by point id, those after ``after``; vectors are not read.
+
+        Each task keeps the least ``size`` of its rows, so no page sorts the table.
+        """
+        rows = self.payloads()
+        if languages:
+            rows = rows.where(F.col("language").isin(languages))
+        return (rows if after is None else rows.where(F.col("point_id") > F.lit(after))).orderBy("point_id").limit(size)
+
+    def pages(self, after=None, size: int = 128, languages: list[str] | None = None) -> Iterator[list[Row]]:
+        """All payloads, a page at a time, each read when it is asked for.
+
+        A reader that stopped goes on with ``after`` = the last point id it had; points put in since then
+        are met if their ids are greater. No more than a page is on the driver; for whole scans use ``payloads``.
+        """
+        while self.read() is not None and (rows := self.page(after, size, languages).collect()):
+            yield rows
+            if len(rows) < size:
+                return
+            after = rows[-1]["point_id"]
+
     def search(self, queries: DataFrame, k: int = 10, languages: list[str] | None = None) -> DataFrame:
         """query_id, doc_id (a point id), score and rank of the nearest points of each query (query_id, embedding)."""
         rows = self.read().select(F.col("point_id").alias("doc_id"), "language", "embedding")

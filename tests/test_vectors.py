@@ -71,3 +71,23 @@ def test_null_and_odd_vectors(spark, tmp_path):
 def test_blocks_give_the_same_rows(spark, many):
     few = many.where("doc_id < 900")
     assert pairs(ranking.dense_search(few, asked(few), 4, block=70)) == pairs(ranking.dense_search(few, asked(few), 4))
+
+
+def test_pages_of_payloads(spark, tmp_path):
+    from ragweave.sources.stores import VectorTable
+
+    t = VectorTable(spark, str(tmp_path / "points"))
+    assert list(VectorTable(spark, str(tmp_path / "none")).pages()) == []
+    t.create(2)
+    assert list(t.pages()) == []
+    points = spark.createDataFrame([(f"p{i:03d}", ["hi", "ta"][i % 2], f"text {i}", [1.0, float(i)]) for i in range(50)], "point_id string, language string, text string, embedding array<float>")
+    t.upsert(points.repartition(5))
+    pages = list(t.pages(size=20))
+    assert [len(p) for p in pages] == [20, 20, 10] and [r["point_id"] for p in pages for r in p] == [f"p{i:03d}" for i in range(50)]
+    assert "embedding" not in pages[0][0].asDict() and pages[1][0]["text"] == "text 20"
+    rest = [r["point_id"] for p in t.pages(after=pages[0][-1]["point_id"], size=7) for r in p]
+    assert rest == [f"p{i:03d}" for i in range(20, 50)]
+    assert [r["point_id"] for p in t.pages(size=10, languages=["ta"]) for r in p] == [f"p{i:03d}" for i in range(1, 50, 2)]
+    assert [len(p) for p in t.pages(size=25)] == [25, 25]
+    plan = t.page(after="p010")._jdf.queryExecution().executedPlan().toString()
+    assert "embedding" not in plan and "PushedFilters: [IsNotNull(point_id), GreaterThan(point_id,p010)]" in plan and "TakeOrderedAndProject" in plan
