@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 #: Characters of a value that a profile shows.
 PREVIEW = 80
-#: Kinds of values by the types that Spark gives them; whole numbers beyond 64 bits are decimals.
-KINDS = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BIGINT": "integer", "DECIMAL": "decimal", "DOUBLE": "decimal", "FLOAT": "decimal", "BOOLEAN": "boolean", "VOID": "null"}
-NODES = "array<struct<path: string, v: variant>>"
+#: Kinds of values by the first character of their JSON; others are numbers.
+KINDS = {"{": "object", "[": "array", '"': "string", "t": "boolean", "f": "boolean", "n": "null"}
 
 
 def nesting(text: Column) -> Column:
@@ -25,19 +24,31 @@ def nesting(text: Column) -> Column:
     return F.coalesce(F.aggregate(signs, start, step, lambda acc: acc["most"]), F.lit(0))
 
 
-def _kind(v: Column) -> Column:
-    of = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))
-    return F.coalesce(F.element_at(of, F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)), F.lit("null"))
+def _sign(v: Column) -> Column:
+    return F.substring(F.to_json(v), 1, 1)
 
 
-def _children(node: Column) -> Column:
-    path, v = node["path"], node["v"]
-    of = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
-    name = lambda k: F.when(k.rlike(r'[.\[\]"]'), F.concat(F.lit('"'), k, F.lit('"'))).otherwise(k)
-    pairs = F.map_entries(F.when(of == "OBJECT", v).cast("map<string, variant>"))
-    fields = F.transform(pairs, lambda e: F.struct(F.concat(path, F.lit("."), name(e["key"])).alias("path"), e["value"].alias("v")))
-    items = F.transform(F.when(of == "ARRAY", v).cast("array<variant>"), lambda x: F.struct(F.concat(path, F.lit("[]")).alias("path"), x.alias("v")))
-    return F.coalesce(fields, items, F.array().cast(NODES))
+def _entries() -> Column:
+    """The entries (key, value) of a container that has not been counted yet; null for all else."""
+    items = F.col("__v").cast("array<variant>")
+    keyless = F.array_repeat(F.lit(None).cast("string"), F.size(items))
+    fresh = F.col("__size").isNull()
+    return F.when(fresh & (F.col("__of") == "{"), F.map_entries(F.col("__v").cast("map<string, variant>"))).when(fresh & (F.col("__of") == "["), F.arrays_zip(keyless.alias("key"), items.alias("value")).cast("array<struct<key: string, value: variant>>"))
+
+
+def _opened(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (path, __of, __size, __v) and those of the entries of containers, which are then counted and let go of their values."""
+    rows = rows.select(*by, "path", "__of", "__size", "__v", F.inline(F.array(F.struct(_entries().alias("__e")))))
+    # The row itself comes first, with its entries' number as its key. Only short columns go along to each entry.
+    own = F.struct(F.size("__e").cast("string").alias("key"), F.when(F.col("__e").isNull(), F.col("__v")).alias("value"))
+    none = F.array().cast("array<struct<key: string, value: variant>>")
+    rows = rows.withColumn("__counted", F.col("__e").isNotNull())
+    rows = rows.select(*by, "path", "__of", "__size", "__counted", F.posexplode(F.concat(F.array(own), F.coalesce("__e", none))).alias("__i", "__x"))
+    same, key = F.col("__i") == 0, F.col("__x.key")
+    name = F.when(key.rlike(r'[.\[\]"]'), F.concat(F.lit('"'), key, F.lit('"'))).otherwise(key)
+    path = F.when(same, F.col("path")).when(F.col("__of") == "{", F.concat("path", F.lit("."), name)).otherwise(F.concat("path", F.lit("[]")))
+    size = F.when(same & F.col("__counted"), key.cast("long")).when(same, F.col("__size"))
+    return rows.select(*by, path.alias("path"), F.when(same, F.col("__of")).otherwise(_sign(F.col("__x.value"))).alias("__of"), size.alias("__size"), F.col("__x.value").alias("__v"))
 
 
 def nested_profile(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
@@ -49,30 +60,30 @@ def nested_profile(df: DataFrame, column: str, by: list[str] | None = None) -> D
     scalars, in code point order). Null texts are of kind ``missing``; texts that aren't JSON, or give a
     name twice in one object, are ``malformed``. Rows of one path with several kinds show where types clash.
 
-    The depth of the deepest text (one row for the driver) sets how many levels are walked, all of them
-    within a row, so the texts are read twice and only partial sums by path and kind are shuffled.
+    The depth of the deepest text (one row for the driver) sets how many times containers are opened, one
+    generator after another, so the texts are read twice and only partial sums by path and kind are shuffled.
     """
     by = by or []
     text = F.col(column)
     depth = df.agg(F.max(nesting(text))).head()[0] or 0
-    whole = F.try_parse_json(text)
-    rows = df.select(*by, F.when(text.isNull(), "missing").when(whole.isNull(), "malformed").alias("__odd"), F.inline(F.array(F.struct(whole.alias("__v")))))
-    first = F.when(F.col("__odd").isNull(), F.array(F.struct(F.lit("$").alias("path"), F.col("__v").alias("v")))).otherwise(F.array().cast(NODES))
-    rows = rows.select(*by, "__odd", F.inline(F.array(F.struct(first.alias("__l0")))))
-    for i in range(depth):
-        below = F.flatten(F.transform(f"__l{i}", _children))
-        rows = rows.select("*", F.inline(F.array(F.struct(below.alias(f"__l{i + 1}")))))
-    nodes = F.concat(*(F.col(f"__l{i}") for i in range(depth + 1)))
-    odd = F.array(F.struct(F.lit("$").alias("path"), F.lit(None).cast("variant").alias("v")))
-    nodes = F.when(F.col("__odd").isNotNull(), odd).otherwise(nodes)
-    rows = rows.select(*by, "__odd", F.inline(nodes)).select(*by, "path", "v", F.coalesce("__odd", _kind(F.col("v"))).alias("kind"))
-    kind, v = F.col("kind"), F.col("v")
-    as_text = F.when(kind.isin("string", "integer", "decimal", "boolean"), v).cast("string")
-    rows = rows.select(*by, "path", "kind", as_text.alias("__t"), F.when(kind == "object", F.size(F.when(kind == "object", v).cast("map<string, variant>"))).when(kind == "array", F.size(F.when(kind == "array", v).cast("array<variant>"))).when(kind == "string", F.length(as_text)).cast("long").alias("__size"))
-    empty = kind.isin("null", "missing") | ((kind == "string") & (F.btrim("__t") == "")) | F.coalesce(F.col("__size") == 0, F.lit(False))
-    shown = F.substring("__t", 1, PREVIEW)
+    rows = df.select(*by, F.lit("$").alias("path"), text.isNull().alias("__null"), F.inline(F.array(F.struct(F.try_parse_json(text).alias("__v")))))
+    whole = F.when(F.col("__null"), "missing").when(F.col("__v").isNull(), "malformed").otherwise(_sign(F.col("__v")))
+    rows = rows.select(*by, "path", whole.alias("__of"), F.lit(None).cast("long").alias("__size"), "__v")
+    for _ in range(depth):
+        rows = _opened(rows, by)
+    of, v = F.col("__of"), F.col("__v")
+    # Only strings are cast: a cast of another scalar is planned anew for each value, its JSON is not.
+    t = F.when(of == '"', v.cast("string")).when(~of.isin("{", "[", "n", "missing", "malformed"), F.to_json(v))
+    rows = rows.select(*by, "path", "__of", "__size", F.inline(F.array(F.struct(t.alias("t")))))
+    kind = F.when(of.isin("missing", "malformed"), of)
+    for sign, name in KINDS.items():
+        kind = kind.when(of == sign, name)
+    kind = kind.when(F.col("t").rlike("[.eE]"), "decimal").otherwise("integer")
+    rows = rows.select(*by, "path", "t", kind.alias("kind"), F.when(of == '"', F.length("t").cast("long")).otherwise(F.col("__size")).alias("size"))
+    kind, shown = F.col("kind"), F.substring("t", 1, PREVIEW)
+    empty = kind.isin("null", "missing") | F.coalesce(F.col("size") == 0, F.lit(False)) | ((kind == "string") & (F.btrim("t") == ""))
     return rows.groupBy(*by, "path", "kind").agg(
-        F.count("*").alias("n"), F.count_if(empty).alias("n_empty"), F.min("__size").alias("least_size"), F.max("__size").alias("most_size"), F.sum("__size").alias("total_size"),
+        F.count("*").alias("n"), F.count_if(empty).alias("n_empty"), F.min("size").alias("least_size"), F.max("size").alias("most_size"), F.sum("size").alias("total_size"),
         F.min(shown).alias("least"), F.max(shown).alias("greatest"),
     )
 
