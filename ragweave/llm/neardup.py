@@ -303,50 +303,57 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _block_pairs(members: DataFrame, blocks: Column) -> DataFrame:
-    """Deal out the rows of each band in pairs of ``blocks`` blocks: columns i <= j and side (0 in block i, 1 in j, 2 where they are one)."""
-    own = F.pmod(F.xxhash64(F.lit(5), "id"), F.col("blocks"))
-    df = members.withColumn("blocks", blocks.cast("int")).withColumn("own", own.cast("int"))
-    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
-    df = df.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side")).drop("own", "other", "blocks")
+def _block_pairs(members: DataFrame, mains: Column, others: Column) -> DataFrame:
+    """Deal out the rows of each band in cells: columns i, j and side (0 or 1).
+
+    Side 0 of cell (i, j) is block i of the nodes outside the band's main class. Side 1 is block j of the
+    main class or, from j = the number of those on, a later block of the nodes outside it. Members of the
+    main class, which are not compared among each other, go to as many cells as there are blocks outside
+    it, mostly one. The rows are at most the members, twice the nodes outside times the blocks of the main
+    class, and those nodes times their own blocks: of the order of the comparisons by ``BLOCK_NODES``.
+    """
+    blocks = lambda c: F.greatest(F.ceil(c), F.lit(1)).cast("int")
+    cell = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    df = members.withColumns({"mains": blocks(mains), "others": blocks(others)})
+    df = df.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "id"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    own, first = F.col("own"), F.col("mains")
+    of_main = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda i: cell(i, own, 1))
+    of_other = F.transform(F.sequence(F.lit(0), first + F.col("others") - 1), lambda j: F.when((j < first) | (j - first > own), cell(own, j, 0)).when(j - first < own, cell(j - first, first + own, 1)))
+    df = df.select(*members.columns, F.inline(F.when(F.col("main"), of_main).otherwise(F.filter(of_other, lambda c: c.isNotNull()))))
     return df.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
 
-def _across(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Numbers of rows to compare with numbers of rows: all pairs across the sides of a block pair with a row outside the band's main class."""
-    side, main = group.column("side").to_numpy(), group.column("main").to_numpy()
-    if (side == 2).all():
-        yield np.flatnonzero(~main), np.arange(len(side))
-    else:
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        yield left[~main[left]], right
-        yield right[~main[right]], left[main[left]]
+def _across(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the rows of a cell outside the band's main class, and of the rows to compare them with: side 1, and in the first column side 0 too."""
+    side = group.column("side").to_numpy()
+    left = np.flatnonzero(side == 0)
+    return left, np.arange(len(side)) if group.column("j")[0].as_py() == 0 else np.flatnonzero(side == 1)
 
 
 def _active(members: DataFrame) -> DataFrame:
-    """band and id of the members (band, id, class, main, n, sign) that have a likely partner of another class in their band."""
+    """band and id of the members (band, id, class, main, n, n_main, sign) that have a likely partner of another class in their band."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["band", "i", "j"]):
             ids, of = group.column("id").to_numpy(), group.column("class").to_numpy()
             sign = group.column("sign").combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES)
             active = np.zeros(len(ids), bool)
-            for some, rest in _across(group):
-                step = max(1, CELLS // max(len(rest), 1))
-                for low in range(0, len(some), step):
-                    x = some[low : low + step]
-                    likely = (agreeing(sign[x], sign[rest]) >= LIKELY) & (of[x][:, None] != of[rest])
-                    active[x] |= likely.any(1)
-                    active[rest] |= likely.any(0)
+            some, rest = _across(group)
+            step = max(1, CELLS // max(len(rest), 1))
+            for low in range(0, len(some), step):
+                x = some[low : low + step]
+                likely = (agreeing(sign[x], sign[rest]) >= LIKELY) & (of[x][:, None] != of[rest])
+                active[x] |= likely.any(1)
+                active[rest] |= likely.any(0)
             if active.any():
                 yield pa.RecordBatch.from_pydict({"band": np.full(active.sum(), group.column("band")[0].as_py(), np.int64), "id": ids[active]})
 
-    return _block_pairs(members, F.ceil(F.col("n") / BLOCK_NODES)).mapInArrow(look, "band long, id long").distinct()
+    cells = _block_pairs(members.select("band", "id", "class", "main", "n", "n_main", "sign"), F.col("n_main") / BLOCK_NODES, (F.col("n") - F.col("n_main")) / BLOCK_NODES)
+    return cells.mapInArrow(look, "band long, id long").distinct()
 
 
 def _linked(members: DataFrame, idf) -> DataFrame:
-    """Links (x, y) that join all members (band, id, class, main, chars, text) with a similar member of another class in their band to its class."""
+    """Links (x, y) that join all members (band, id, class, main, chars, main_chars, text) with a similar member of another class in their band to its class."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = idf.value
@@ -361,20 +368,21 @@ def _linked(members: DataFrame, idf) -> DataFrame:
                 return c
 
             links = []
-            for some, rest in _across(group):
-                for rows, found in all_similarities(list(range(len(some))), [sets[i] for i in some] + [sets[i] for i in rest]) if len(some) and len(rest) else ():
-                    for k, near in zip(rows, found[:, len(some) :] >= THRESHOLD, strict=True):
-                        x = some[k]
-                        _, first = np.unique(of[rest[near]], return_index=True)  # one of each class
-                        for y in rest[near][first]:
-                            a, b = find(int(of[x])), find(int(of[y]))
-                            if a != b:
-                                root[max(a, b)] = min(a, b)
-                                links.append((int(ids[x]), int(ids[y])))
+            some, rest = _across(group)
+            for rows, found in all_similarities(list(range(len(some))), [sets[i] for i in some] + [sets[i] for i in rest]) if len(some) and len(rest) else ():
+                for k, near in zip(rows, found[:, len(some) :] >= THRESHOLD, strict=True):
+                    x = some[k]
+                    _, first = np.unique(of[rest[near]], return_index=True)  # one of each class
+                    for y in rest[near][first]:
+                        a, b = find(int(of[x])), find(int(of[y]))
+                        if a != b:
+                            root[max(a, b)] = min(a, b)
+                            links.append((int(ids[x]), int(ids[y])))
             if links:
                 yield pa.RecordBatch.from_pydict({"x": pa.array([x for x, _ in links], pa.int64()), "y": pa.array([y for _, y in links], pa.int64())})
 
-    return _block_pairs(members, F.ceil(F.col("chars") / BLOCK_CHARS)).mapInArrow(link, "x long, y long")
+    cells = _block_pairs(members, F.col("main_chars") / BLOCK_CHARS, (F.col("chars") - F.col("main_chars")) / BLOCK_CHARS)
+    return cells.mapInArrow(link, "x long, y long")
 
 
 def closed(links: DataFrame, tables: Tables, old: DataFrame | None = None) -> DataFrame:
@@ -433,12 +441,12 @@ def classes(docs: DataFrame, tables: Tables) -> DataFrame:
     # What is left between classes of a band.
     now = tables.write(join_checked(shared.where("n > 2").select("band", "id", "n"), label, "id", "left").select("band", "id", "n", F.coalesce("class", "id").alias("class")))
     sizes = now.groupBy("band", "class").agg(F.count("*").alias("c"))
-    open_ = tables.write(sizes.groupBy("band").agg(F.max(F.struct("c", "class")).alias("most"), F.count("*").alias("several")).where("several > 1").select("band", F.col("most.class").alias("main_class")))
+    open_ = tables.write(sizes.groupBy("band").agg(F.max(F.struct("c", "class")).alias("most"), F.count("*").alias("several")).where("several > 1").select("band", F.col("most.class").alias("main_class"), F.col("most.c").alias("n_main")))
     members = join_checked(now, open_, "band").withColumn("main", F.col("class") == F.col("main_class")).drop("main_class")
     active = tables.write(_active(members.join(signs, "id")))
-    members = join_checked(members.drop("n"), active, ["band", "id"])
+    members = join_checked(members.drop("n", "n_main"), active, ["band", "id"])
     members = tables.write(members.join(texts_of(active.select("id")), "id"))
-    chars = tables.write(members.groupBy("band").agg(F.sum(F.length("text") + 1).alias("chars")))
+    chars = tables.write(members.groupBy("band").agg(F.sum(F.length("text") + 1).alias("chars"), F.sum(F.when(F.col("main"), F.length("text") + 1).otherwise(0)).alias("main_chars")))
     found = tables.write(_linked(join_checked(members, chars, "band"), idf))
     # Documents: their text's class, by way of the node.
     final = closed(found.union(same), tables, label)

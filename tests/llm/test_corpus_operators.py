@@ -317,6 +317,27 @@ def test_crowded_bands_lose_no_link(spark, monkeypatch, blocks):
     assert {x["doc_id"]: x["class_id"] for x in neardup.report(docs(spark, rows).repartition(4)).collect()} == want
 
 
+@pytest.mark.parametrize(("crowd", "outside"), [(4000, 1), (900, 7), (40, 60), (0, 30), (30, 0)])
+def test_cells_meet_all_pairs_once_and_deal_the_main_class_once(spark, crowd, outside):
+    """Rows of cells grow with the members and with the outsiders times the blocks, not with the square of the crowd."""
+    block, n = 16, crowd + outside
+    members = spark.range(n).select(F.lit(5).cast("long").alias("band"), "id", (F.col("id") < crowd).alias("main"))
+    got = neardup._block_pairs(members, F.lit(crowd / block), F.lit(outside / block)).collect()
+    mains, others = max(1, -(-crowd // block)), max(1, -(-outside // block))
+    assert len(got) <= crowd * others + 2 * outside * mains + outside * (others + 1)
+    if outside <= block:
+        assert len(got) == crowd + outside * mains
+    cells = collections.defaultdict(lambda: ([], []))
+    for r in got:
+        cells[r["i"], r["j"]][r["side"]].append(r["id"])
+    met = collections.Counter()
+    for (_, j), (left, right) in cells.items():
+        assert all(x >= crowd for x in left)
+        pairs = [(x, y) for x in left for y in right] + ([(x, y) for x in left for y in left if x < y] if j == 0 else [])
+        met.update((min(p), max(p)) for p in pairs)
+    assert set(met.values()) <= {1} and len(met) == outside * crowd + outside * (outside - 1) // 2
+
+
 def test_near_duplicates_empty_and_null(spark):
     assert neardup.report(docs(spark, [])).count() == 0 and neardup.dedup(docs(spark, [])).count() == 0
     got = neardup.dedup(docs(spark, [(None, "a b c d e f", "s"), (None, "a b c d e f", "s"), (None, "other words", "s"), (None, None, "s"), (None, None, "s")])).collect()
