@@ -100,6 +100,13 @@ class HashedNgrams:
         return out / np.where(norm > 0, norm, 1)
 
 
+def next_to(flat: np.ndarray) -> np.ndarray:
+    """Cosine of each row with the next; a zero vector is like nothing."""
+    norm = np.linalg.norm(flat, axis=1)
+    unit = flat / np.where(norm > 0, norm, 1)[:, None]
+    return (unit[:-1] * unit[1:]).sum(1)
+
+
 def similarities(embed: Callable[[list[str]], np.ndarray]) -> Callable[[Column], Column]:
     """A column function: cosine of each sentence with the next; a zero vector is like nothing."""
 
@@ -108,9 +115,7 @@ def similarities(embed: Callable[[list[str]], np.ndarray]) -> Callable[[Column],
         for batch in batches:
             lists = [[] if x is None else list(x) for x in batch]
             flat = embed([s for x in lists for s in x]) if any(lists) else np.zeros((0, 1))
-            norm = np.linalg.norm(flat, axis=1)
-            unit = flat / np.where(norm > 0, norm, 1)[:, None]
-            near = (unit[:-1] * unit[1:]).sum(1)
+            near = next_to(flat)
             begin = np.cumsum([0, *(len(x) for x in lists)])
             yield pd.Series([None if x is None else near[a : max(a, b - 1)].tolist() for x, a, b in zip(batch, begin[:-1], begin[1:], strict=True)])
 
@@ -226,7 +231,8 @@ def chunks(df: DataFrame, strategy: str = "adaptive", cfg: ChunkConfig | None =
 
 
 def first_of_each(df: DataFrame, key: str = "chunk_id", order: str = "document_id") -> DataFrame:
-    """One row per key, the least by ``order``; the others are repeats."""
+    """One row per key, the least by ``order`` and text; the others are repeats."""
     from pyspark.sql import Window
 
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("__n = 1").drop("__n")
+    ties = [order, "text"] if "text" in df.columns else [order]
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*ties))).where("__n = 1").drop("__n")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from ragweave.config import ROUTES, RerankPolicy, RetrievalConfig
 from ragweave.functions import text as X
 
+log = logging.getLogger(__name__)
 #: A query side is broadcast while it has at most so many rows; beyond, both sides are shuffled.
 BROADCAST_QUERIES = 100_000
 #: Characters of texts that are broadcast with it.
@@ -236,13 +240,36 @@ def rerank_lexical(hits: DataFrame, top_n: int | Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order))
 
 
-def rerank_model(hits: DataFrame, top_n: int, score) -> DataFrame:
+def rerank_model(hits: DataFrame, top_n: int | Column, score) -> DataFrame:
     """As ``rerank_lexical`` with a pandas UDF ``score(query, text)``; only the rows to rescore reach it."""
-    scored = hits.where(F.col("rank") <= max(top_n, 1)).withColumn("rerank_score", score("query", "text"))
+    kept = hits.where(F.col("rank") <= F.greatest(F.lit(top_n) if isinstance(top_n, int) else top_n, F.lit(1)))
+    scored = kept.withColumn("rerank_score", score("query", "text"))
     order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
     return scored.withColumn("rank", F.row_number().over(order))
 
 
+def reranker(kind: str = "auto", load: Callable[[], Callable] | None = None) -> tuple[str, Callable[[DataFrame, object], DataFrame]]:
+    """The reranker that was chosen, "model" or "lexical", and its function of hits and how many to rescore.
+
+    ``load()`` gives the model's pandas UDF ``score(query, text)``. "model" raises its errors; "auto" takes the
+    model if it loads and the lexical reranker if there is none or it doesn't.
+    """
+    if kind not in ("auto", "model", "lexical"):
+        raise ValueError("a reranker is auto, model or lexical")
+    if kind == "model" and load is None:
+        raise ValueError("there is no model to load")
+    if kind == "lexical" or load is None:
+        return "lexical", rerank_lexical
+    try:
+        score = load()
+    except Exception as e:  # whatever keeps a model from loading
+        if kind == "model":
+            raise
+        log.warning("the reranking model was not loaded, hits are reranked lexically: %s", e)
+        return "lexical", rerank_lexical
+    return "model", lambda hits, top_n: rerank_model(hits, top_n, score)
+
+
 def route_plans(spark) -> DataFrame:
     """route, top_k, candidate_k, rerank, rerank_top_n and strict: one row per route."""
     return spark.createDataFrame([(r, *v) for r, v in ROUTES.items()], "route string, top_k int, candidate_k int, rerank boolean, rerank_top_n int, strict boolean")

@@ -15,7 +15,7 @@ from ragweave.config import IngestConfig
 from ragweave.functions import measures as M
 from ragweave.functions import text as X
 from ragweave.functions.session import settled, shared_dir, ship, stable_unions
-from ragweave.operators import chunking, evaluation, guardrails, ingest, profiling, ranking, routing
+from ragweave.operators import chunking, evaluation, guardrails, ingest, profiling, ranking, routing, table_functions
 from ragweave.plans.answer import Answering
 from ragweave.plans.registry import query
 from ragweave.sources import catalog, shard_source, stores
@@ -341,6 +341,14 @@ def chunk_structure(spark, sf_dir):
     return _chunks(spark, sf_dir, "structure")
 
 
+@query("chunk_lateral", f"WITH RECURSIVE {_SENT}, {_STRUCTURE} SELECT {_CHUNK_COLUMNS.format('structure')} FROM walk")
+def chunk_lateral(spark, sf_dir):
+    """The table function of the chunkers, beside each passage in SQL."""
+    table_functions.register(spark, "ragweave_chunk")
+    return spark.sql("""SELECT concat_ws(':', p.document_id, 'structure', c.chunk_index) AS chunk_id, p.document_id, c.chunk_index, c.start_sentence, c.end_sentence, c.text, c.char_length, c.sentence_count
+        FROM {passages} p, LATERAL ragweave_chunk(p.text, 'structure') c""", passages=_passages(spark, sf_dir).select("document_id", "text"))
+
+
 @query("chunk_semantic")
 def chunk_semantic(spark, sf_dir):
     return _chunks(spark, sf_dir, "semantic")

@@ -127,11 +127,25 @@ def latencies(rows: DataFrame, stages: list[str]) -> DataFrame:
     return M.beside_groups(every.groupBy("stage").agg(F.count("ms").alias("n")), M.latency(every, ["stage"], "ms"), ["stage"])
 
 
-def warm_up(spark: SparkSession, parts: dict[str, DataFrame]) -> dict[str, float]:
-    """Read each table once, so that later runs find files listed and workers started; seconds by name."""
-    out = {}
-    for name, df in parts.items():
+def warm_up(spark: SparkSession, parts: dict[str, DataFrame], models: tuple[embedding.Model, ...] = (), probe: DataFrame | None = None) -> dict[str, float]:
+    """Read each table once, load the models in the workers, so that later runs find files listed and models loaded; seconds by name.
+
+    A task for each core embeds one text with each model; a core whose worker gets no task loads it later.
+    ``probe``, the plan of a small request, is run last and timed as "warm_request".
+    """
+    out: dict[str, float] = {}
+
+    def timed(name: str, run) -> None:
         at = time.time()
-        df.limit(1).count()
+        run()
         out[name] = round(time.time() - at, 3)
+
+    for name, df in parts.items():
+        timed(name, df.limit(1).count)
+    cores = spark.sparkContext.defaultParallelism
+    for model in models:
+        texts = spark.range(0, cores, 1, cores).select(embedding.vectors(model, F.concat(F.lit("warm-up "), F.col("id").cast("string"))))
+        timed(model.name, texts.write.format("noop").mode("overwrite").save)
+    if probe is not None:
+        timed("warm_request", probe.write.format("noop").mode("overwrite").save)
     return out
