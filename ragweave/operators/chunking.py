@@ -11,7 +11,8 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,8 @@ from ragweave.functions import text as X
 SPANS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
 NO_SPANS = "array<struct<first:int,last:int>>"
 STRATEGIES = ("structure", "semantic", "sliding", "adaptive")
+#: Sentences, and their characters, whose vectors are made at once.
+SLAB, SLAB_CHARS = 1024, 1 << 18
 
 
 def _span(first: Column, last: Column) -> Column:
@@ -74,28 +77,90 @@ def structure(df: DataFrame, lengths: str, out: str, cfg: ChunkConfig, only: Col
 
 
 class HashedNgrams:
-    """Sentence vectors of hashed character n-grams: case and white space don't count; unit length."""
+    """Sentence vectors of hashed character n-grams: case and white space don't count; unit length.
+
+    An n-gram is packed into a number: its characters' places in an alphabet that grows as characters are
+    met, 12 bits each, and its length. All n-grams of many sentences are then looked up at once in a table of
+    fixed size, whose entries newer n-grams take over. Longer n-grams, and sentences of more different
+    characters than there are places, are looked up one by one.
+    """
+
+    #: Bits of a character's place, and of the table's size; n-grams that are looked up at once.
+    PLACE, TABLE, STEP = 12, 21, 1 << 18
 
     def __init__(self, cfg: ChunkConfig | None = None):
         self.cfg = cfg or ChunkConfig()
         self.cells: dict[str, int] = {}
+        self.table: tuple[np.ndarray, ...] | None = None  # made where it is used: an embedder is sent to the workers
+        self.letters = 0
 
     def _cell(self, gram: str) -> int:
+        digest = hashlib.blake2b(gram.encode(), digest_size=8).digest()
+        return int.from_bytes(digest, "big") % self.cfg.dimensions
+
+    def _kept(self, gram: str) -> int:
         cell = self.cells.get(gram)
         if cell is None:
             if len(self.cells) > 500_000:
                 self.cells.clear()
-            digest = hashlib.blake2b(gram.encode(), digest_size=8).digest()
-            cell = self.cells[gram] = int.from_bytes(digest, "big") % self.cfg.dimensions
+            cell = self.cells[gram] = self._cell(gram)
         return cell
 
+    def _placed(self, codes: np.ndarray) -> np.ndarray | None:
+        """The characters' places, from 1; None if these alone are more than there are places."""
+        for _ in range(2):
+            if self.table is None:
+                self.table = np.zeros(0x110000, np.uint16), np.zeros(1 << self.TABLE, np.uint64), np.zeros(1 << self.TABLE, np.int32)
+                self.letters = 0
+            places = self.table[0]
+            new = np.unique(codes[places[codes] == 0])
+            if self.letters + len(new) < 1 << self.PLACE:
+                places[new] = np.arange(self.letters + 1, self.letters + len(new) + 1)
+                self.letters += len(new)
+                return places[codes]
+            self.table = None
+        return None
+
+    def _looked_up(self, keys: np.ndarray, text: str, at: np.ndarray, n: int) -> np.ndarray:
+        """The cells of the n-grams of ``text`` that begin ``at``."""
+        _, known, cells = self.table
+        slot = (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.TABLE)
+        out, missed = cells[slot], np.flatnonzero(known[slot] != keys)
+        if len(missed):
+            _, first, back = np.unique(keys[missed], return_index=True, return_inverse=True)
+            out[missed] = np.array([self._cell(text[i : i + n]) for i in at[missed[first]].tolist()], np.int32)[back]
+            # Of several n-grams with a slot the last one stays, in both arrays.
+            known[slot[missed]], cells[slot[missed]] = keys[missed], out[missed]
+        return out
+
+    def _counts(self, texts: list[str]) -> np.ndarray:
+        """How often each text has n-grams of each cell."""
+        width, low, high = self.cfg.dimensions, self.cfg.ngram_low, self.cfg.ngram_high
+        text = "".join(texts)
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        place = self._placed(codes) if 0 < low and high * self.PLACE <= 60 else None
+        if place is None:
+            out = np.zeros((len(texts), width))
+            for row, s in enumerate(texts):
+                if grams := [s[i : i + n] for n in range(low, high + 1) for i in range(len(s) - n + 1)]:
+                    out[row] = np.bincount([self._kept(g) for g in grams], minlength=width)
+            return out
+        out, lengths = np.zeros(len(texts) * width), np.array([len(s) for s in texts], np.int64)
+        ends = np.cumsum(lengths)
+        for begin in range(0, len(codes), self.STEP):
+            at = np.arange(begin, min(begin + self.STEP, len(codes)))
+            row = np.searchsorted(ends, at, "right")
+            for n in range(low, high + 1):
+                whole = at + n <= ends[row]
+                some = at[whole]
+                keys = np.full(len(some), n, np.uint64) << np.uint64(60)
+                for k in range(n):
+                    keys |= place[some + k].astype(np.uint64) << np.uint64(self.PLACE * k)
+                out += np.bincount(row[whole] * width + self._looked_up(keys, text, some, n), minlength=len(out))
+        return out.reshape(len(texts), width)
+
     def __call__(self, sentences: list[str]) -> np.ndarray:
-        out = np.zeros((len(sentences), self.cfg.dimensions))
-        for row, s in enumerate(sentences):
-            bare = "".join(s.casefold().split())
-            grams = [bare[i : i + n] for n in range(self.cfg.ngram_low, self.cfg.ngram_high + 1) for i in range(len(bare) - n + 1)]
-            if grams:
-                out[row] = np.bincount([self._cell(g) for g in grams], minlength=self.cfg.dimensions)
+        out = self._counts(["".join(s.casefold().split()) for s in sentences])
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm > 0, norm, 1)
 
@@ -107,17 +172,40 @@ def next_to(flat: np.ndarray) -> np.ndarray:
     return (unit[:-1] * unit[1:]).sum(1)
 
 
+def slabs(sentences: Iterator[str]) -> Iterator[list[str]]:
+    """The sentences in lists of up to ``SLAB`` and, a single one aside, ``SLAB_CHARS`` characters."""
+    some, chars = [], 0
+    for s in sentences:
+        if some and (len(some) == SLAB or chars + len(s) > SLAB_CHARS):
+            yield some
+            some, chars = [], 0
+        some.append(s)
+        chars += len(s)
+    if some:
+        yield some
+
+
 def similarities(embed: Callable[[list[str]], np.ndarray]) -> Callable[[Column], Column]:
-    """A column function: cosine of each sentence with the next; a zero vector is like nothing."""
+    """A column function: cosine of each sentence with the next; a zero vector is like nothing.
+
+    A task holds the vectors of one slab of sentences, however many rows or sentences a batch has.
+    """
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            lists = [[] if x is None else list(x) for x in batch]
-            flat = embed([s for x in lists for s in x]) if any(lists) else np.zeros((0, 1))
-            near = next_to(flat)
-            begin = np.cumsum([0, *(len(x) for x in lists)])
-            yield pd.Series([None if x is None else near[a : max(a, b - 1)].tolist() for x, a, b in zip(batch, begin[:-1], begin[1:], strict=True)])
+            flat, near, last = batch.flatten(), [], None
+            for slab in slabs(s for at in range(0, len(flat), SLAB) for s in flat.slice(at, SLAB).to_pylist()):
+                vectors = np.asarray(embed(slab))
+                near.append(next_to(vectors if last is None else np.concatenate([last, vectors])))
+                last = vectors[-1:]
+            found = np.concatenate([*near, [0.0]]) if near else np.zeros(0)  # a place for each sentence; a row's last one is left out
+            size = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends, kept = np.cumsum(size), np.maximum(size - 1, 0)
+            inner = np.ones(len(found), bool)
+            inner[ends[size > 0] - 1] = False
+            offsets = pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32), mask=np.append(batch.is_null().to_numpy(zero_copy_only=False), False))
+            yield pa.ListArray.from_arrays(offsets, pa.array(found[inner], pa.float64()))
 
     return run
 
