@@ -1,14 +1,9 @@
-"""Text functions as column expressions; they stay in the JVM but for NFC."""
+"""Text functions as column expressions; they stay in the JVM."""
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: What a text is cleaned of and split at.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
@@ -39,28 +34,20 @@ def squeeze(c: Column) -> Column:
     return F.btrim(F.regexp_replace(c, SPACE, " "), F.lit(" "))
 
 
-@F.pandas_udf(T.StringType())
-def _compose(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        yield batch.str.normalize("NFC")
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _compose_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        yield batch.map(lambda xs: None if xs is None else [None if x is None else unicodedata.normalize("NFC", x) for x in xs])
+def _composed(c: Column) -> Column:
+    """Canonical composition of texts that aren't null, by the library that Spark's collations use."""
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
 
 
 def nfc(c: Column) -> Column:
-    """Unicode canonical composition; the JVM has no function for it, so texts that may change go to Python as nulls stay."""
-    open_ = c.rlike(NOT_COMPOSED)
-    return F.when(open_, _compose(F.when(open_, c))).otherwise(c)
+    """Unicode canonical composition (ICU's); only texts that may change are composed."""
+    return F.when(c.rlike(NOT_COMPOSED), _composed(c)).otherwise(c)
 
 
 def nfc_each(c: Column) -> Column:
     """``nfc`` of the elements of an array."""
     open_ = F.exists(c, lambda x: F.coalesce(x.rlike(NOT_COMPOSED), F.lit(False)))
-    return F.when(open_, _compose_all(F.when(open_, c))).otherwise(c)
+    return F.when(open_, F.transform(c, nfc)).otherwise(c)
 
 
 def cleaned(c: Column, leading: bool = False, compose: bool = False) -> Column:
