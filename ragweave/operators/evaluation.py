@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ragweave.functions import measures as M
 from ragweave.functions import text as X
+from ragweave.functions.session import settled
 from ragweave.operators import routing
 from ragweave.operators.ranking import beside, few_texts
 
@@ -125,7 +126,9 @@ def stratified(rows: DataFrame, cap: int, order: list) -> DataFrame:
 
 def chunk_metrics(chunks: DataFrame, passages: DataFrame) -> DataFrame:
     """One row per strategy: counts, lengths, chunks per passage and coverage of gold passages."""
-    per_doc = chunks.groupBy("chunk_strategy", "document_id").agg(F.count("*").alias("k"))
+    # Texts are cut once: what follows reads the chunks' sizes many times.
+    chunks = settled(chunks.select("chunk_strategy", "document_id", "char_length", "sentence_count"))
+    per_doc = settled(chunks.groupBy("chunk_strategy", "document_id").agg(F.count("*").alias("k")))
     spread = per_doc.groupBy("chunk_strategy").agg(F.round(F.avg("k"), 3).alias("chunks_per_passage"), F.count("*").alias("chunked_passages"))
     sizes = chunks.groupBy("chunk_strategy").agg(
         F.count("*").alias("chunks"), F.round(F.avg("char_length"), 2).alias("avg_chars"),
@@ -136,7 +139,7 @@ def chunk_metrics(chunks: DataFrame, passages: DataFrame) -> DataFrame:
     middle = M.percentiles(per_doc, ["chunk_strategy"], {"median_chunks": ("k", 50)})
     ranks = ranks.join(middle, "chunk_strategy").withColumns({"p90_chars": F.col("p90_chars").cast("int")} | {c: F.round(c, 3) for c in ("median_chars", "median_sentences", "median_chunks")})
     total = passages.agg(F.count("*").alias("passages"), F.count_if("is_selected").alias("gold"))
-    covered = passages.where("is_selected").select("document_id").distinct().join(chunks.select("chunk_strategy", "document_id").distinct(), "document_id").groupBy("chunk_strategy").agg(F.count("*").alias("covered"))
+    covered = passages.where("is_selected").select("document_id").distinct().join(per_doc.select("chunk_strategy", "document_id"), "document_id").groupBy("chunk_strategy").agg(F.count("*").alias("covered"))
     out = sizes.join(spread, "chunk_strategy").join(ranks, "chunk_strategy").join(covered, "chunk_strategy", "left").join(F.broadcast(total), F.lit(True))
     out = out.withColumns({"zero_chunk_passages": F.col("passages") - F.col("chunked_passages"), "gold_coverage_pct": F.round(100.0 * F.coalesce("covered", F.lit(0)) / F.nullif("gold", F.lit(0)), 2)})
     return out.drop("covered", "chunked_passages", "passages", "gold")
@@ -155,10 +158,11 @@ def length_profile(df: DataFrame, by: str) -> DataFrame:
     """Characters, words, sentences and paragraphs of texts by group, with index percentiles."""
     text = F.coalesce("text", F.lit(""))
     some = (X.squeeze_ends(text) != "").cast("int")
-    df = df.select(
+    # Texts are measured once: each pass for percentiles reads the counts.
+    df = settled(df.select(
         by, F.length(text).alias("chars"), F.size(F.filter(F.split(X.squeeze_ends(text), X.SPACE), lambda w: w != "")).alias("words"),
         F.greatest(F.size(X.profile_sentences(text)), some).alias("sentences"), F.greatest(F.size(X.paragraphs(text)), some).alias("paragraphs"),
-    )
+    ))
     out = [F.count("*").alias("n")]
     for c in ("chars", "words", "sentences", "paragraphs"):
         out += [F.min(c).cast("double").alias(f"{c}_min"), F.max(c).cast("double").alias(f"{c}_max"), F.round(F.avg(c), 2).alias(f"{c}_mean")]
