@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ragweave.config import AnswerConfig, RerankPolicy, RetrievalConfig, RoutingConfig
 from ragweave.functions import text as X
-from ragweave.functions.session import stable_unions
+from ragweave.functions.session import settled, stable_unions
 from ragweave.operators import generation, guardrails, ranking, routing
 
 
@@ -47,10 +47,10 @@ class Answering:
         depth = asked.select("query_id", "candidate_k", "top_k")
         cut = [(name, ranking.beside(df, depth, "query_id").where(F.col("rank") <= F.col("candidate_k")).drop("candidate_k", "top_k")) for name, df in lists]
         fused = ranking.fuse(cut, self.retrieval.rrf_k, F.lit(1 << 30))
-        fused = ranking.beside(fused, depth, "query_id").where(F.col("rank") <= F.col("top_k"))
+        fused = settled(ranking.beside(fused, depth, "query_id").where(F.col("rank") <= F.col("top_k")))  # top_k rows a question
         texts = self.docs.select("doc_id", "text", "language")
         named = asked.select("query_id", F.col("text").alias("query"), "rerank_top_n")
-        return ranking.beside(fused.join(texts, "doc_id"), named, "query_id", text="query").withColumn("score", F.col("rrf"))
+        return ranking.beside(ranking.beside(texts, fused, "doc_id"), named, "query_id", text="query").withColumn("score", F.col("rrf"))
 
     def run(self, questions: DataFrame) -> DataFrame:
         """One response per question (query_id, text): status, answer, sources, route and how it came about."""

@@ -477,7 +477,7 @@ def rerank_signals(spark, sf_dir):
   FROM hits h JOIN benchmark b ON b.item_id = h.query_id JOIN documents d USING (doc_id))
 SELECT query_id, doc_id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, old) AS rank FROM r""")
 def lexical_rerank(spark, sf_dir):
-    hits = _hybrid(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    hits = ranking.beside(documents(spark, sf_dir).select("doc_id", "text"), settled(_hybrid(spark, sf_dir)), "doc_id")  # ten a question
     hits = ranking.beside(hits, questions(spark, sf_dir).withColumnRenamed("text", "query"), "query_id", text="query")
     return ranking.rerank_lexical(hits, 12).select("query_id", "doc_id", "rerank_score", "rank")
 
@@ -566,7 +566,7 @@ def rerank_decision(spark, sf_dir):
 
 
 def _hits(spark, sf_dir) -> DataFrame:
-    h = _hybrid(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", "text", "language"), "doc_id")
+    h = ranking.beside(documents(spark, sf_dir).select("doc_id", "text", "language"), settled(_hybrid(spark, sf_dir)), "doc_id")  # ten a question
     return h.withColumn("score", F.col("rrf"))
 
 
@@ -668,7 +668,7 @@ u AS (SELECT 'all' AS dimension, 'all' AS value, * FROM e UNION ALL SELECT 'rout
 SELECT dimension, value, count(r10) AS n, round(avg(r1), 4) AS recall_at_1, round(avg(r5), 4) AS recall_at_5, round(avg(r10), 4) AS recall_at_10, round(avg(mrr), 4) AS mrr,
   round(avg(lat), 3) AS lat_mean, round(quantile_cont(lat, 0.5), 3) AS lat_p50, round(quantile_cont(lat, 0.7), 3) AS lat_p70, CAST(max(lat) AS DOUBLE) AS lat_p100 FROM u GROUP BY 1, 2""")
 def metric_breakdown(spark, sf_dir):
-    rows = routing.features(_per_query(spark, sf_dir))
+    rows = settled(routing.features(_per_query(spark, sf_dir)))  # a row a question, read by each pass for percentiles
     return evaluation.breakdowns(rows, ["route", "query_type", "complexity", "language"], "n_chars")
 
 
@@ -814,7 +814,7 @@ def system_comparison(spark, sf_dir):
     q = questions(spark, sf_dir)
     lists = [(name, settled(df)) for name, df in hybrid_lists(spark, sf_dir, q, 20)]
     fused = settled(ranking.fuse(lists))
-    hits = ranking.beside(fused.join(documents(spark, sf_dir).select("doc_id", "text"), "doc_id"), q.withColumnRenamed("text", "query"), "query_id", text="query")
+    hits = ranking.beside(ranking.beside(documents(spark, sf_dir).select("doc_id", "text"), fused, "doc_id"), q.withColumnRenamed("text", "query"), "query_id", text="query")
     systems = [*((name, df.where("rank <= 10")) for name, df in lists), ("hybrid", fused), ("hybrid+rerank", ranking.rerank_lexical(hits, 12))]
     named = lambda name, c: F.concat(F.lit(f"{name}:"), F.col(c).cast("string"))
     ranked = gold = asked = None
