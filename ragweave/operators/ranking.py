@@ -19,8 +19,8 @@ BROADCAST_QUERIES = 100_000
 #: Characters of texts that are broadcast with it.
 BROADCAST_CHARS = 64_000_000
 SCORE_DIGITS = 6
-#: Queries of a block that are scored at once.
-SLAB = 512
+#: Scores that a task holds at once.
+CELLS = 1 << 20
 #: Why a question is reranked or not, which callers match on.
 REASONS = {
     "fast": "route_fast", "sure": "hybrid confidence was sufficient", "unasked": "route_does_not_request",
@@ -128,6 +128,11 @@ def sound(df: DataFrame) -> DataFrame:
     return df.where("embedding is not null").where(~F.exists("embedding", lambda x: x.isNull())).withColumn("size", F.size("embedding"))
 
 
+def slab(docs: int) -> int:
+    """Queries of a block that are scored at once with so many documents."""
+    return max(1, CELLS // max(docs, 1))
+
+
 def meet(rows: DataFrame, asked: DataFrame, keys: list[str], k: int, metric: str) -> DataFrame:
     """query_id, doc_id and score of the best ``k`` of each block of ``rows`` for each query of the block of ``asked`` with its keys.
 
@@ -140,9 +145,9 @@ def meet(rows: DataFrame, asked: DataFrame, keys: list[str], k: int, metric: str
             return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
         ids, docs = left["query_id"].to_numpy(), right["doc_id"].to_numpy()
         matrices = [np.stack(x["embedding"].to_numpy()).astype(np.float64) for x in (left, right)]
-        n, parts = min(k, len(docs)), []
-        for at in range(0, len(ids), SLAB):
-            scores = np.round(vector_scores(matrices[0][at : at + SLAB], matrices[1], metric), SCORE_DIGITS)
+        n, step, parts = min(k, len(docs)), slab(len(docs)), []
+        for at in range(0, len(ids), step):
+            scores = np.round(vector_scores(matrices[0][at : at + step], matrices[1], metric), SCORE_DIGITS)
             least = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n]
             q, d = np.nonzero(scores >= least)
             parts.append(pd.DataFrame({"query_id": ids[at + q], "doc_id": docs[d], "score": scores[q, d]}))
