@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, rang
 NOT_COMPOSED = r"[^\x{0}-\x{2FF}]"
 TOKEN = r"([\p{L}\p{N}]+)"
 TOKEN_WITH_MARKS = r"([\p{L}\p{M}\p{N}]+)"
+BETWEEN_TOKENS, BETWEEN_TOKENS_WITH_MARKS = r"[^a-z0-9\p{L}\p{N}]+", r"[^a-z0-9\p{L}\p{M}\p{N}]+"
+#: Fixed value: characters whose lower case hangs on those beside them, or is a token's character where they are none, or the reverse.
+NOT_FOLDED_WHOLE = "İΣ\ua7cb\ua7dc"
 SENTENCE_END = r"(?U)(?<=[.!?।؟۔…])\s+"
 CLAIM_END = r"(?U)(?<=[.!?।؟۔])\s+"
 #: Function words that grounding leaves out.
@@ -67,8 +72,14 @@ def dedupe_key(c: Column) -> Column:
 
 
 def tokens(c: Column, marks: bool = False) -> Column:
-    """Folded runs of letters and digits. Combining marks end a token unless ``marks``."""
-    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TOKEN_WITH_MARKS if marks else TOKEN), F.lit(1)), folded)
+    """Folded runs of letters and digits. Combining marks end a token unless ``marks``.
+
+    A text is folded as a whole and cut between its tokens, unless it has characters for which that differs.
+    """
+    text = F.coalesce(c, F.lit(""))
+    each = F.transform(F.regexp_extract_all(text, F.lit(TOKEN_WITH_MARKS if marks else TOKEN), F.lit(1)), folded)
+    whole = F.array_remove(F.split(folded(text), BETWEEN_TOKENS_WITH_MARKS if marks else BETWEEN_TOKENS), "")
+    return F.when(reduce(Column.__or__, (F.contains(text, F.lit(x)) for x in NOT_FOLDED_WHOLE)), each).otherwise(whole)
 
 
 def _split(c: Column, end: str) -> Column:
