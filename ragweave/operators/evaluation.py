@@ -9,7 +9,7 @@ from ragweave.functions import measures as M
 from ragweave.functions import text as X
 from ragweave.functions.session import settled
 from ragweave.operators import routing
-from ragweave.operators.ranking import beside, few_texts
+from ragweave.operators.ranking import beside
 
 
 def per_query(ranked: DataFrame, gold: DataFrame, queries: DataFrame) -> DataFrame:
@@ -30,26 +30,26 @@ def holding(docs: DataFrame, queries: DataFrame, width: int = 3) -> DataFrame:
     """query_id and doc_id of the documents (doc_id, text) whose text contains the query's (query_id, text).
 
     A text that holds another has its tokens in a row, but for the first and the last, which may be
-    parts of longer ones. Runs of up to ``width`` of them are hashed and joined, and what meets is
-    compared. Queries of fewer than three tokens have no such run; they are compared with all texts.
+    parts of longer ones. Runs of up to ``width`` of them are hashed and joined, a row a place in a text, and the
+    pairs that meet are compared, each once. Queries of fewer than three tokens have no such run; they are compared with all texts.
     """
-    def runs(n: int) -> Column:
-        at = F.sequence(F.lit(1), F.size("t") - n + 1)
-        return F.when(F.size("t") >= n, F.transform(at, lambda i: F.xxhash64(F.slice("t", i, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
-
-    asked = queries.select("query_id", F.col("text").alias("qt"), X.tokens(F.col("text")).alias("q"))
-    inner = asked.where(F.size("q") > 2).select("query_id", "qt", F.slice("q", F.lit(2), F.least(F.size("q") - 2, F.lit(width))).alias("run"))
+    # At the end of a text runs are shorter: they may meet a shorter query's, and are compared.
+    run = lambda t, i, n: F.xxhash64(*(F.get(F.col(t), i + j) for j in range(n)))
+    asked = queries.select(F.col("query_id").alias("query_id"), F.col("text").alias("qt"), X.tokens(F.col("text")).alias("q"))
+    inner = asked.where(F.size("q") > 2).select("query_id", F.slice("q", F.lit(2), F.least(F.size("q") - 2, F.lit(width))).alias("run"))
     widths = [r["n"] for r in inner.select(F.size("run").alias("n")).distinct().collect()]  # ``width`` at most
-    keyed = inner.select("query_id", "qt", F.xxhash64("run").alias("h"))
-    rows = docs.select("doc_id", "text", F.inline(F.array(F.struct(X.tokens(F.col("text")).alias("t")))))
-    every = F.array_distinct(F.concat(F.array().cast("array<bigint>"), *(runs(n) for n in widths)))
-    if few_texts(keyed, "qt"):  # the text goes along to the comparison, in the same stage
-        met = rows.select("doc_id", "text", F.explode(every).alias("h")).join(F.broadcast(keyed), "h")
-    else:
-        pairs = rows.select("doc_id", F.explode(every).alias("h")).join(keyed.select("query_id", "h"), "h").select("query_id", "doc_id").distinct()
-        met = pairs.join(docs.select("doc_id", "text"), "doc_id").join(asked.select("query_id", "qt"), "query_id")
+    keyed = inner.select("query_id", run("run", F.lit(0), width).alias("h")).distinct()
+    found = docs.select(F.lit(None).cast(asked.schema["query_id"].dataType).alias("query_id"), "doc_id", "text", F.lit("").alias("qt")).where("false")
+    if widths:
+        rows = docs.select("doc_id", F.inline(F.array(F.struct(X.tokens(F.col("text")).alias("t")))))
+        places = rows.select("doc_id", "t", F.posexplode("t").alias("i", "w"))
+        hashes = [run("t", F.col("i"), n).alias("h") for n in widths]
+        places = places.select("doc_id", hashes[0] if len(hashes) == 1 else F.explode(F.array(*hashes)).alias("h"))
+        pairs = settled(beside(places, keyed, "h").select(F.col("query_id").alias("__q"), F.col("doc_id").alias("__d")).distinct())
+        texts = beside(docs.select("doc_id", "text"), pairs, F.col("doc_id").eqNullSafe(F.col("__d")))
+        met = beside(texts, asked.where(F.size("q") > 2).select("query_id", "qt"), F.col("query_id").eqNullSafe(F.col("__q")), text="qt")
+        found = met.select("query_id", "doc_id", "text", "qt")
     short = asked.where((F.size("q") <= 2) & F.col("qt").isNotNull())
-    found = met.select("query_id", "doc_id", "text", "qt")
     if not short.isEmpty():
         found = found.unionByName(beside(docs, short, F.expr("contains(text, qt)"), text="qt").select("query_id", "doc_id", "text", "qt"))
     return found.where("contains(text, qt)").select("query_id", "doc_id")
