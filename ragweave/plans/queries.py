@@ -288,10 +288,10 @@ def ingest_shards(spark, sf_dir):
     """Validation shards of two languages and one that isn't there, read by the shard source with pushed filters."""
     d = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("query_id"), F.col("text").alias("query"), F.lit("q").alias("query_type"), "language", (F.col("doc_id") % 3 == 0).alias("train"))
     root = f"{shared_dir(spark)}/ragweave/shards/{uuid.uuid4().hex}"
-    d.withColumn("split", F.when(F.col("train"), "train").otherwise("validation")).drop("train").repartition("split", "language").write.partitionBy("split", "language").parquet(root)
+    d.withColumn("split", F.when(F.col("train"), "train").otherwise("validation")).drop("train").write.partitionBy("split", "language").parquet(root)
     files = spark.read.parquet(root).select("_metadata.file_path", "split", "language").distinct().toDF("path", "split", "lang")
     found = shard_source.catalog_of(files)
-    found["validation"]["xx"] = f"{root}/nowhere.parquet"
+    found.setdefault("validation", {})["xx"] = f"{root}/nowhere.parquet"
     rows = shard_source.read(spark, found).where("split = 'validation' and shard_lang in ('de', 'fr', 'xx')")
     return rows.select("shard_lang", F.col("query_id").cast("long").alias("query_id"), "query", F.when(F.col("error").isNotNull(), "unreadable").alias("error"))
 

@@ -33,7 +33,7 @@ def _counts(df: DataFrame) -> dict:
 def ingest_run(spark: SparkSession, shards: DataFrame | dict, languages: list[str], out: str, cfg: IngestConfig | None = None) -> dict:
     """Ingest the shards of ``languages``: examples and passages as JSON Lines below ``out``, and a report, which is returned and written.
 
-    ``shards`` is a catalog or what a report had of one ({split: {lang: path}}). The source is read
+    ``shards`` is a catalog or what a report had of one ({split: {lang: path or paths}}). The source is read
     once: what was seen and given is observed while the examples are written. A shard that can't be
     opened is an error in the report, of which it has the first ``ERRORS``; the others go on.
     """
@@ -42,7 +42,7 @@ def ingest_run(spark: SparkSession, shards: DataFrame | dict, languages: list[st
     errors = [f"{lang}: no {cfg.split} shard; there are {', '.join(sorted(have)) or 'none'}" for lang in languages if lang not in have]
     raw = shard_source.read(spark, {cfg.split: {lang: have[lang] for lang in languages if lang in have}}, cfg.examples_per_language)
     seen, failed, given, before = (Observation(n) for n in ("seen", "failed", "given", "before"))
-    failures = F.collect_list(F.when(F.col("error").isNotNull(), F.concat_ws(": ", "shard_lang", "error")))  # a row a shard at most
+    failures = F.collect_list(F.when(F.col("error").isNotNull(), F.concat_ws(": ", "shard_lang", "error")))  # a row a part of a shard at most
     raw = raw.observe(failed, failures.alias("errors"), F.array_sort(F.collect_set(F.when(F.col("error").isNull(), F.col("shard_lang")))).alias("languages"))
     clean = ingest.examples(raw.where("error is null"), cfg, seen).observe(before, F.coalesce(F.sum(F.size("passages")), F.lit(0)).alias("passages"))
     clean = ingest.deduped(clean, cfg.dedupe_scope) if cfg.dedupe else clean
